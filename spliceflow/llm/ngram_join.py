@@ -6,7 +6,7 @@
    Documents with one set are one *class*; classes with identical prefix and size are one *group*.
 3. Groups meet on prefix shingles under the size and position filters. First each group is held
    against the leader it shares most shingles with, and members against their group's first one;
-   links come from comparing whole shingle sets.
+   pairs whose set bitmaps differ too much go, and links come from comparing whole shingle sets.
 4. Pairs left to look at lie between components found so far: posting lists, reduced to the
    different (size, position, component) they hold, are filtered pair by pair, expanded to members
    and verified. A pair inside one component can no longer change the result.
@@ -88,8 +88,24 @@ def ordered(grams: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarr
     return grams[np.lexsort((grams, weight))]
 
 
+def bitmap(grams: np.ndarray) -> bytes:
+    """Parities of how many hashes fall on each of 2n to 4n bits."""
+    size = max(64, 1 << int(2 * len(grams) - 1).bit_length())
+    return np.packbits(np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def most_shared(na: int, a: bytes, nb: int, b: bytes) -> int:
+    """An upper bound of the intersection: each differing parity is a shingle of one set alone."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return (na + nb - int(np.bitwise_count(x ^ y).sum())) // 2
+
+
 def sets(docs: DataFrame, width: int, num: int, den: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n, fp (of the set), gk (of prefix and size), prefix array<long>; without shingles the last three are null."""
+    """doc_id, n, fp (of the set), gk (of prefix and size), bits, prefix array<long>; without shingles all from fp on are null."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)  # HEAVY entries of 16 bytes at most
     key = uuid.uuid4().hex
 
@@ -100,7 +116,7 @@ def sets(docs: DataFrame, width: int, num: int, den: int, heavy: tuple[np.ndarra
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                n, fp, gk, prefix = [], [], [], []
+                n, fp, gk, bits, prefix = [], [], [], [], []
                 for text in _texts(part):
                     grams = shingles(text, width)
                     n.append(len(grams))
@@ -108,18 +124,31 @@ def sets(docs: DataFrame, width: int, num: int, den: int, heavy: tuple[np.ndarra
                         head = ordered(grams, _state[key])[: len(grams) - -(-num * len(grams) // den) + 1].view(np.int64)
                         fp.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
                         gk.append(hashlib.blake2b(head.tobytes() + len(grams).to_bytes(8, "little"), digest_size=16).digest())
+                        bits.append(bitmap(grams))
                         prefix.append(head)
                     else:
-                        fp.append(None), gk.append(None), prefix.append(None)
-                cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(gk, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "fp", "gk", "prefix"])
+                        fp.append(None), gk.append(None), bits.append(None), prefix.append(None)
+                cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(gk, pa.binary()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "fp", "gk", "bits", "prefix"])
 
-    return id_text(docs).mapInArrow(work, "doc_id long, n long, fp binary, gk binary, prefix array<long>")
+    return id_text(docs).mapInArrow(work, "doc_id long, n long, fp binary, gk binary, bits binary, prefix array<long>")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, name: str) -> DataFrame:
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int, name: str) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets meet the threshold."""
-    pairs = table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-pairs")
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [
+                (r["a"], r["b"]) for r in batch.to_pylist()
+                if (num + den) * most_shared(r["na"], r["ba"], r["nb"], r["bb"]) >= num * (r["na"] + r["nb"])
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda s: classes.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"b{s}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "ba", "nb", "bb")
+    pairs = table(pairs.mapInArrow(likely, "a long, b long"), f"{name}-pairs")
     need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = table(id_text(docs).join(need, "doc_id", "left_semi"), f"{name}-texts")
 
@@ -155,7 +184,7 @@ def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -
     """doc_id, n_shingles, component_id; documents link when den * intersection >= num * union."""
     all_sets = table(sets(docs, width, num, den, heavy_shingles(docs, width)), "sets")
     full = all_sets.where(F.col("n") > 0).where(F.col("doc_id").isNotNull())
-    classes = table(full.groupBy("fp", "gk", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = table(full.groupBy("fp", "gk", "n", "bits").agg(F.min("doc_id").alias("rep")), "classes")
     groups = full.groupBy("gk", "n", "prefix").agg(F.min("doc_id").alias("gid"))
     groups = table(groups, "groups")
     members = table(classes.join(groups.select("gk", "gid"), "gk").select("rep", "gid", "n"), "members")
@@ -168,7 +197,7 @@ def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -
     votes = met.groupBy("gid", F.col("l.gid").alias("lead")).agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("gid").agg(F.max(F.struct("votes", (-F.col("lead")).alias("m"))).alias("x")).select(F.col("gid").alias("a"), (-F.col("x.m")).alias("b"))
     inside = members.where("rep <> gid").select(F.col("rep").alias("a"), F.col("gid").alias("b"))
-    first = verify(best.unionByName(inside), docs, width, num, den, "first")
+    first = verify(best.unionByName(inside), classes, docs, width, num, den, "first")
     known = table(connected_components(first), "known")
 
     parts = members.join(known.select(F.col("id").alias("rep"), "component"), "rep", "left")
@@ -191,7 +220,7 @@ def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -
     pairs = pairs.unionByName(within.select(F.col("gid").alias("gid_a"), "component_a", F.col("gid").alias("gid_b"), "component_b"))
     who = lambda s, to: parts.select(F.col("gid").alias(f"gid_{s}"), F.col("component").alias(f"component_{s}"), F.col("rep").alias(to))
     pairs = pairs.join(who("a", "a"), ["gid_a", "component_a"]).join(who("b", "b"), ["gid_b", "component_b"]).select("a", "b")
-    second = verify(pairs, docs, width, num, den, "second")
+    second = verify(pairs, classes, docs, width, num, den, "second")
 
     final = connected_components(first.unionByName(second))
     named = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
