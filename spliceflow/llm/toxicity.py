@@ -143,7 +143,7 @@ def features(word: str) -> list[str]:
     return ["=" + word] + ["^" + word[:k] for k in (3, 4, 5, 6) if len(word) > k]
 
 
-def fit_linear(names: list[str], docs: list[tuple[int, list[int]]], rounds: int = 300) -> tuple[dict[str, float], float]:
+def fit_linear(names: list[str], docs: list[tuple[int, list[int]]], rounds: int = 1500) -> tuple[dict[str, float], float]:
     """Weights and bias of a ridge-penalised logistic model over 0/1 features."""
     y = np.array([d[0] for d in docs], np.float64)
     rows = np.repeat(np.arange(len(docs)), [len(d[1]) for d in docs])
@@ -153,12 +153,12 @@ def fit_linear(names: list[str], docs: list[tuple[int, list[int]]], rounds: int
     for _ in range(rounds):
         z = np.bincount(rows, weights=w[cols], minlength=len(docs)) + b
         r = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        gw = np.bincount(cols, weights=r[rows], minlength=len(names)) / n + 1e-4 * w
+        gw = np.bincount(cols, weights=r[rows], minlength=len(names)) / n + 1e-5 * w
         gb = r.mean() if len(r) else 0.0
         g2 += gw * gw
         b2 += gb * gb
-        w -= 0.5 * gw / np.sqrt(g2)
-        b -= 0.5 * gb / np.sqrt(b2)
+        w -= gw / np.sqrt(g2)
+        b -= gb / np.sqrt(b2)
     return {x: float(v) for x, v in zip(names, w) if v}, float(b)
 
 
@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, sample: int =
     n1, n0 = (found.where(F.col("toxic") == k).count() for k in (1, 0))
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
     stat = found.select("toxic", F.explode("found").alias("f")).groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    stat = stat.where((F.col("a") >= 4) & (odds > 1.0)).orderBy((odds * F.sqrt("a")).desc(), "f").limit(top)
+    stat = stat.where((F.col("a") >= 3) & (odds > 1.0)).orderBy((odds * F.sqrt("a")).desc(), "f").limit(top)
     names = [r["f"] for r in stat.select("f").collect()]
     number = {x: i for i, x in enumerate(names)}
     pick = docs.sparkSession.createDataFrame([(x, i) for x, i in number.items()] or [("", -1)], "f string, i int")
