@@ -23,7 +23,8 @@ from spliceflow.llm.common import id_text
 
 LEAF = 4096
 #: Remembered chunks a worker; all are forgotten beyond it.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+_TAIL = ".,!?;:"
 Token = tuple[int, int, int]
 _state: dict[str, tuple] = {}
 
@@ -37,7 +38,6 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 def load(path: str):
     from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "true"
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
@@ -93,7 +93,9 @@ def encode_unsplit(tokenizer, text: str, leaf: int = LEAF) -> list[int]:
     if len(text) <= leaf:
         return tokenizer.encode(text, add_special_tokens=False).ids
     cuts = list(range(0, len(text), leaf)) + [len(text)]
+    os.environ["TOKENIZERS_PARALLELISM"] = "true"
     made = tokenizer.encode_batch([text[a:b] for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     level = [(a, b, _tokens(e, a)) for a, b, e in zip(cuts, cuts[1:], made)]
     while len(level) > 1:
         level = [
@@ -109,14 +111,28 @@ def chunks(text: str) -> list[str]:
 
 class Encoder:
     def __init__(self, path: str, leaf: int = LEAF):
-        self.tokenizer, self.leaf, self.known = load(path), leaf, {}
+        self.tokenizer, self.leaf = load(path), leaf
+        self.known, self.pieces = {}, {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+    @staticmethod
+    def parts(c: str) -> list[str]:
+        """A chunk of letters before end marks is those two; ASCII letters in any case are one word."""
+        word = c.rstrip(_TAIL)
+        if not word.isalpha():
+            return [c]
+        return [word.lower() if word.isascii() else word, *([c[len(word) :]] if len(word) < len(c) else [])]
 
     def learn(self, texts: list[list[str]]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list({c for cs in texts for c in cs if c not in self.known and len(c) <= self.leaf})
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[c] = (len(e.ids), " ".join(map(str, e.ids)), " ".join(e.tokens))
+        if len(self.known) > REMEMBERED or len(self.pieces) > REMEMBERED:
+            self.known, self.pieces = {}, {}
+        known, pieces = self.known, self.pieces
+        new = [(c, self.parts(c)) for c in set().union(*texts) if c not in known and len(c) <= self.leaf]
+        todo = list({p for _, ps in new for p in ps if p not in pieces})
+        for p, e in zip(todo, self.tokenizer.encode_batch(todo, add_special_tokens=False)):
+            pieces[p] = (len(e.ids), " ".join(map(str, e.ids)), " ".join(e.tokens))
+        for c, ps in new:
+            known[c] = pieces[ps[0]] if len(ps) == 1 else tuple(a + b if isinstance(a, int) else f"{a} {b}" for a, b in zip(pieces[ps[0]], pieces[ps[1]]))
 
     def chunk(self, c: str) -> tuple[int, str, str]:
         got = self.known.get(c)
