@@ -124,10 +124,10 @@ def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, share:
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\p{L}{4,}+"), F.lit(0)))).alias("term"))
     terms = both.select("term").distinct()
     counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term", "left_semi")
-    total = docs.select(F.count(F.lit(1)).alias("n"))
-    rows = both.join(each, "entity").join(counts, "term").join(F.broadcast(total))  # one row
-    worth = F.log2(F.col("n") / F.col("n_entity"))
-    told = F.log2(F.col("n_both") * F.col("n") / (F.col("n_entity") * F.col("n_term")))
+    total = F.lit(docs.select("doc_id").count())
+    rows = both.join(each, "entity").join(counts, "term")
+    worth = F.log2(total / F.col("n_entity"))
+    told = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
     return rows.where((worth > 0) & (told >= F.lit(share) * worth)).select("entity", "term")
 
 
