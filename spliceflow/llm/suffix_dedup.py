@@ -192,6 +192,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     flat = found.select("eid", "th", F.explode(F.arrays_zip("core", "lo", "hi")).alias("x")).select("eid", "th", "x.core", "x.lo", "x.hi")
     place = F.xxhash64("th", "lo")
     twice = flat.select("core", place.alias("p")).groupBy("core").agg(F.min("p").alias("x"), F.max("p").alias("y")).where("x <> y").select("core")
+    twice = table(twice, "twice")  # joined from a table, a frequent core's rows can be split
     hits = table(flat.join(twice, "core", "left_semi"), "hits")
     wanted = hits.join(classes.select("eid", "th"), ["eid", "th"], "left_semi").distinct()
     wanted = table(wanted.groupBy("eid", "th").agg(F.collect_list(F.struct("core", "lo", "hi")).alias("wanted")), "wanted")
