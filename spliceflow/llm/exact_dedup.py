@@ -180,6 +180,7 @@ def exact_dedup(docs: DataFrame, split: int | None = None) -> DataFrame:
         "digest", "keep_id",
         F.when(F.coalesce("texts", F.lit(1)) == 1, F.col("size")).otherwise(F.raise_error(F.lit("two texts share a digest")).cast("long")).alias("group_size"),
     )
+    classes = table(classes, "checked")  # joined from a table, a large group's rows can be split
     return keys.join(classes, "digest").select(
         "doc_id", "keep_id", "group_size",
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
