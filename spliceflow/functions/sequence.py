@@ -28,8 +28,8 @@ def a_count(seq: Column) -> Column:
 
 def polya_window(genome: Column, start: Column, end: Column, strand: Column, width: int = 20) -> Column:
     """``width`` bases after a read's 3' end: from index ``end`` on the plus strand, and the reverse
-    complement of those up to and with index ``start`` on the minus strand."""
+    complement of those before index ``start`` (1-based: the first aligned base) on the minus strand."""
     after = F.substring(genome, (end + 1).cast("int"), F.lit(width))
-    first = F.greatest(start - width + 1, F.lit(0))
-    before = F.substring(genome, (first + 1).cast("int"), (start + 1 - first).cast("int"))
+    first = F.greatest(start - width, F.lit(0))
+    before = F.substring(genome, (first + 1).cast("int"), (start - first).cast("int"))
     return F.when(strand == "+", after).otherwise(reverse_complement(before))

@@ -271,7 +271,7 @@ def sam_flag_classes(spark, sf_dir):
 _RC = "translate(reverse({}), 'ACGTacgtNnRYSWKMBVDH', 'TGCAtgcaNnYRSWMKVBHD')"
 
 
-@query(f"""WITH {v.SEQ}, w AS (SELECT id, CASE WHEN id % 2 = 0 THEN substr(seq, 41, 20) ELSE {_RC.format("substr(seq, 22, 20)")} END AS downstream FROM seqs WHERE length(seq) >= 60)
+@query(f"""WITH {v.SEQ}, w AS (SELECT id, CASE WHEN id % 2 = 0 THEN substr(seq, 41, 20) ELSE {_RC.format("substr(seq, 21, 20)")} END AS downstream FROM seqs WHERE length(seq) >= 60)
 SELECT id, downstream, CAST(length(downstream) - length(replace(downstream, 'A', '')) AS BIGINT) AS a_count FROM w""")
 def polya_window(spark, sf_dir):
     s = v.sequences(spark, sf_dir).where(F.length("seq") >= 60)
