@@ -32,7 +32,7 @@ from spliceflow.llm.components import connected_components
 from spliceflow.llm.shingles import shingles
 
 #: Most frequent shingles kept in the order's list, and counters a task holds while it looks for them.
-HEAVY, COUNTERS = 1 << 18, 1 << 21
+HEAVY, COUNTERS = 1 << 20, 1 << 21
 _state: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -45,8 +45,12 @@ def heavy_shingles(docs: DataFrame, width: int, most: int = HEAVY) -> tuple[np.n
 
     def merge(keys: np.ndarray, counts: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         u, n = np.unique(np.concatenate(parts), return_counts=True)
-        k, at = np.unique(np.concatenate([keys, u]), return_inverse=True)
-        c = np.bincount(at, weights=np.concatenate([counts, n]).astype(np.float64)).astype(np.int64)
+        k = np.concatenate([keys, u])
+        order = np.argsort(k, kind="stable")
+        k = k[order]
+        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        c = np.add.reduceat(np.concatenate([counts, n])[order], first)
+        k = k[first]
         if len(k) > COUNTERS:
             kept = c > np.partition(c, len(c) - COUNTERS)[len(c) - COUNTERS]
             k, c = k[kept], c[kept]
@@ -63,14 +67,17 @@ def heavy_shingles(docs: DataFrame, width: int, most: int = HEAVY) -> tuple[np.n
                 if held > COUNTERS:
                     keys, counts = merge(keys, counts, parts)
                     parts, held = [], 0
-        if parts:
+        if held:
             keys, counts = merge(keys, counts, parts)
-        often = np.flatnonzero(counts >= 3)
+        often = np.flatnonzero(counts >= 2)
         if len(often) > most:
             often = often[np.argpartition(-counts[often], most)[:most]]
         yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["h", "n"])
 
-    found = id_text(docs).select("text").mapInArrow(work, "h long, n long")
+    # The more texts a task counts, the rarer the shingles it sees twice; all cores still have work.
+    rows = id_text(docs).select("text")
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // 8))
+    found = rows.coalesce(tasks).mapInArrow(work, "h long, n long")
     top = found.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).toArrow()
     keys = top.column("h").to_numpy().astype(np.int64).view(np.uint64)
     counts = top.column("n").to_numpy().astype(np.int64)

@@ -10,7 +10,7 @@ import xxhash
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Remembered word hashes a worker.
-REMEMBERED = 1_000_000
+REMEMBERED = 150_000
 
 
 class _Words(dict):
