@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from spliceflow.llm.common import hash_unit, sample_rate, table
 
 SAMPLE, FEATURES = 4000, 3000
-REMEMBERED = 300_000
+REMEMBERED = 80_000
 # The letters that a symbol may stand for.
 LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
