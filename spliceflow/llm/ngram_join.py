@@ -78,7 +78,16 @@ def heavy_shingles(docs: DataFrame, width: int, most: int = HEAVY) -> tuple[np.n
     rows = id_text(docs).select("text")
     tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // 8))
     found = rows.coalesce(tasks).mapInArrow(work, "h long, n long")
-    top = found.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).toArrow()
+    found = table(found.groupBy("h").agg(F.sum("n").alias("n")), "frequent")
+    # A histogram over eighths of powers of two gives the least count that keeps the list within ``most``.
+    step = F.floor(F.log2("n") * 8).cast("int")
+    floor, kept = 1 << 30, 0
+    for r in sorted(found.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        kept += r["count"]
+        if kept > most:
+            break
+        floor = r["step"]
+    top = found.where(step >= floor).toArrow()
     keys = top.column("h").to_numpy().astype(np.int64).view(np.uint64)
     counts = top.column("n").to_numpy().astype(np.int64)
     order = np.argsort(keys)
