@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,71 +11,67 @@ from pyspark.sql import functions as F
 from spliceflow.functions import alignment as al
 from spliceflow.functions.render import bed_line
 from spliceflow.operators import loci
+from spliceflow.operators.alignments import CLEAN, walk
+from spliceflow.operators.nocap import nocap_members
 
-_OP = re.compile(r"([0-9]+)([MIDNSHP=X])")
-# The bases that a code stands for here (K, M, Y, R and the three-base codes are not the usual ones).
-BASES = {
-    "A": "A", "T": "T", "C": "C", "G": "G", "S": "CG", "W": "AT", "K": "AC", "M": "GT", "Y": "AG", "R": "CT",
-    "V": "CGT", "H": "AGT", "D": "ACT", "B": "ACG", "N": "ATCG",
-}
-_MATCH = {a + b for a in BASES for b in BASES if set(BASES[a]) & set(BASES[b])}
-
-
-def error_counts(cigar: str, seq: str, ref: str) -> tuple[int, int, int, int, int]:
-    """Bases hard-clipped, soft-clipped, inserted, deleted and mismatching; ``ref`` is the genome from
-    the alignment's start on."""
-    hard = soft = ins = dele = mis = at = to = 0
-    for n, op in ((int(a), b) for a, b in _OP.findall(cigar)):
-        if op == "H":
-            hard += n
-        elif op == "S":
-            soft += n
-            at += n
-        elif op == "I":
-            ins += n
-            at += n
-        elif op == "D":
-            dele += n
-            to += n
-        elif op == "N":
-            to += n
-        else:
-            x, y = seq[at : at + n].upper(), ref[to : to + n]
-            if x != y:
-                mis += sum(a + b not in _MATCH for a, b in zip(y, x))
-            at += n
-            to += n
-    return hard, soft, ins, dele, mis
-
-
-def read_metrics(sam: DataFrame, genome: DataFrame, min_coverage: float = 99.0, min_identity: float = 85.0, how: str = "ident_cov") -> DataFrame:
-    """Per mapped read: error counts, coverage, identity, acceptance, exon bounds (1-based, end exclusive).
-
-    Only the stretch of genome that a read spans goes to the counting kernel.
-    """
+
+def _aligned(sam: DataFrame, genome: DataFrame) -> DataFrame:
+    """Mapped primary rows with exon bounds and the stretch of genome (``ref``) that each spans."""
     rows = sam.withColumn("flag_class", al.flag_class(F.col("flag"))).where(F.col("flag_class").isin("forward_strand", "reverse_strand"))
     rows = rows.withColumn("x", al.exons(al.cigar_ops(F.col("cigar")), F.col("start_pos")))
     names = genome.select(F.col("id").alias("scaffold"), F.col("seq").alias("genome"))
     span = (F.element_at("x.ends", -1) - F.col("start_pos")).cast("int")
-    rows = rows.join(names, "scaffold", "left").withColumn("ref", F.substring(F.coalesce("genome", F.lit("")), F.col("start_pos").cast("int"), span)).drop("genome")
+    rows = rows.join(names, "scaffold", "left").withColumn("ref", F.substring(F.coalesce("genome", F.lit("")), F.col("start_pos").cast("int"), span))
+    return rows.select("ord", "read_id", "flag_class", "scaffold", "start_pos", F.col("x.starts").alias("starts"), F.col("x.ends").alias("ends"), "cigar", "seq", "ref")
+
+
+def read_metrics(sam: DataFrame, genome: DataFrame, min_coverage: float = 99.0, min_identity: float = 85.0, how: str = "ident_cov", near: int = 10) -> DataFrame:
+    """Per mapped read: error counts, coverage, identity, acceptance, exon bounds (1-based, end
+    exclusive), and for each junction the errors up to ``near`` bases before and after it."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            got = [error_counts(c, s, r) for c, s, r in zip(f["cigar"], f["seq"], f["ref"])]
-            for i, name in enumerate(("hard", "soft", "ins", "dele", "mis")):
-                f[name] = [g[i] for g in got]
-            f["length"] = [len(s) + g[0] for s, g in zip(f["seq"], got)]
-            yield f[["ord", "read_id", "flag_class", "scaffold", "starts", "ends", "cigar", "length", "hard", "soft", "ins", "dele", "mis"]]
-
-    rows = rows.select("ord", "read_id", "flag_class", "scaffold", F.col("x.starts").alias("starts"), F.col("x.ends").alias("ends"), "cigar", "seq", "ref")
-    schema = "ord long, read_id string, flag_class string, scaffold string, starts array<long>, ends array<long>, cigar string, length long, hard long, soft long, ins long, dele long, mis long"
-    rows = rows.mapInPandas(work, schema)
+            got = [walk(c, s, r, p, near) for c, s, r, p in zip(f["cigar"], f["seq"], f["ref"], f["start_pos"])]
+            for name in ("hard", "soft", "ins", "dele", "mis", "sj_pre", "sj_post"):
+                f[name] = [getattr(g, name) for g in got]
+            f["length"] = [len(s) + g.hard for s, g in zip(f["seq"], got)]
+            yield f[["ord", "read_id", "flag_class", "scaffold", "starts", "ends", "cigar", "length", "hard", "soft", "ins", "dele", "mis", "sj_pre", "sj_post"]]
+
+    schema = (
+        "ord long, read_id string, flag_class string, scaffold string, starts array<long>, ends array<long>, cigar string, length long, hard long, soft long, ins long, dele long, mis long,"
+        "sj_pre array<string>, sj_post array<string>"
+    )
+    rows = _aligned(sam, genome).mapInPandas(work, schema)
     c = F.col
     cov = al.coverage(c("length"), c("hard"), c("soft"))
     ident = al.identity(c("length"), c("hard"), c("soft"), c("ins"), c("dele"), c("mis"), how)
     return rows.withColumn("coverage", cov).withColumn("identity", ident).withColumn("accepted", (c("coverage") >= min_coverage) & (c("identity") >= min_identity))
 
 
+def variation(sam: DataFrame, genome: DataFrame) -> DataFrame:
+    """(scaf, pos, vtype, alt, read_id): clips, mismatches, insertions and deletions of every mapped
+    read, accepted or not; places are 0-based."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [
+                (s, pos, kind, alt, r)
+                for s, r, c, q, g, p in zip(f["scaffold"], f["read_id"], f["cigar"], f["seq"], f["ref"], f["start_pos"])
+                for pos, kind, alt in walk(c, q, g, p, -1).variation
+            ]
+            yield pd.DataFrame(rows, columns=["scaf", "pos", "vtype", "alt", "read_id"])
+
+    return _aligned(sam, genome).mapInPandas(work, "scaf string, pos long, vtype string, alt string, read_id string")
+
+
+def strand_conflicts(sam: DataFrame) -> DataFrame:
+    """Mapped reads whose flag and XS tag name different strands."""
+    strand = F.when(F.col("flag") == 0, "+").when(F.col("flag") == 16, "-")
+    return sam.where(strand.isNotNull() & F.col("xs_strand").isin("+", "-") & (strand != F.col("xs_strand"))).select(
+        "read_id", F.col("scaffold").alias("scaff_name"), "start_pos", "cigar", F.concat(strand, "xs_strand").alias("strands")
+    )
+
+
 def check_single(accepted: DataFrame) -> DataFrame:
     """An error where a read has two accepted alignments; the rows as they are otherwise."""
     n = accepted.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), F.first("ord").alias("o"))
@@ -98,52 +93,111 @@ def numbered(genes: DataFrame, models: DataFrame) -> DataFrame:
     return models.withColumn("model_no", within).join(ranked.select("gene", "gene_no"), "gene")
 
 
-def collapse_capped(accepted: DataFrame, five: int = 10, junction: int = 10, three: int = 10, longest_ends: bool = False, merge_dup: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Models (0-based BED bounds, G numbers, BED line) and members (model id, read id).
-
-    Reads of one structure are compared once; votes count all of them.
-    """
-    rows = accepted.select(F.col("ord").alias("tx"), "read_id", F.col("scaffold").alias("scaf"), F.when(F.col("flag_class") == "forward_strand", "+").otherwise("-").alias("strand"), "starts", "ends")
-    rows = rows.withColumn("n", F.size("starts")).withColumn("ts", F.col("starts")[0]).withColumn("te", F.element_at("ends", -1)).withColumn("src", F.lit("reads"))
-    exon = rows.select("tx", "scaf", "strand", F.posexplode(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e"))).alias("k", "x")).select("tx", "scaf", "strand", "k", "x.s", "x.e")
-    gene = loci.gene_groups(exon)
-    rows = rows.join(gene, "tx")
+def _capped_members(rows: DataFrame, five: int, junction: int, three: int) -> DataFrame:
+    """(tx, gene, model, tie, at): components of matching reads. Reads of one structure are compared once."""
     one = rows.groupBy("gene", "scaf", "strand", "n", "starts", "ends", "ts").agg(F.min("tx").alias("tx"))
     pairs = loci.capped_pairs(one, five, junction, three)
     side = lambda c: one.select(F.col("tx").alias(c), F.col("gene").alias(f"g{c}"), F.col("starts").alias(f"s{c}"), F.col("ends").alias(f"e{c}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where("ga = gb").where(overlapping(F.col("sa"), F.col("ea"), F.col("sb"), F.col("eb"))).select("a", "b")
     group = loci.components(pairs, "a", "b").select(F.col("id").alias("rep"), "component")
     members = rows.join(one.select("gene", "strand", "starts", "ends", F.col("tx").alias("rep")), ["gene", "strand", "starts", "ends"]).join(group, "rep", "left")
-    members = members.withColumn("model", F.coalesce("component", "rep"))
-    both = F.explode(F.array(F.struct(F.lit("s").alias("side"), F.col("x.s").alias("coord")), F.struct(F.lit("e").alias("side"), F.col("x.e").alias("coord"))))
-    edge = members.select("model", "n", F.posexplode(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e"))).alias("k", "x")).select("model", "n", "k", both.alias("y")).select("model", "n", "k", "y.side", "y.coord", F.lit(0).alias("prio"))
-    if longest_ends:
-        outer = ((F.col("side") == "s") & (F.col("k") == 0)) | ((F.col("side") == "e") & (F.col("k") == F.col("n") - 1))
-        won = loci.vote(edge.where(~outer), ["model", "k"]).unionByName(loci.vote(edge.where(outer), ["model", "k"], outermost=True))
+    model = F.coalesce("component", "rep")
+    return members.select("tx", "gene", model.cast("string").alias("model"), model.alias("tie"), F.col("tx").alias("at"))
+
+
+def _edges(members: DataFrame, priority: bool) -> DataFrame:
+    """One row an exon edge: model, i (exon from the 3' end), g (from the left), side, coord, prio, err, at.
+
+    With ``priority`` an edge with errors on its own side of the junction ranks 2 behind, on the other side 1.
+    """
+    x = members.select("model", "strand", "n", "most", "at", "sj_pre", "sj_post", F.posexplode(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e"))).alias("k", "x"))
+    plus = F.col("strand") == "+"
+    before, here = F.greatest(F.col("k") - 1, F.lit(0)), F.col("k")
+    dirty = lambda c, j: (F.get(F.col(c), j) != CLEAN).cast("int")
+    rank = lambda edge, r: F.when(F.lit(not priority) | edge, F.lit(0)).otherwise(r)
+    s_prio = rank(F.col("k") == 0, 2 * dirty("sj_post", before) + dirty("sj_pre", before))
+    e_prio = rank(F.col("k") == F.col("n") - 1, 2 * dirty("sj_pre", here) + dirty("sj_post", here))
+    err = F.when(F.col("k") == 0, "na").otherwise(F.concat(F.get("sj_pre", before), F.lit(">"), F.get("sj_post", before)))
+    sides = F.array(
+        F.struct(F.lit("s").alias("side"), F.col("x.s").alias("coord"), s_prio.alias("prio"), err.alias("err")),
+        F.struct(F.lit("e").alias("side"), F.col("x.e").alias("coord"), e_prio.alias("prio"), F.lit(None).cast("string").alias("err")),
+    )
+    x = x.withColumn("i", F.when(plus, F.col("n") - 1 - F.col("k")).otherwise(F.col("k")))
+    x = x.withColumn("g", F.when(plus, F.col("most") - 1 - F.col("i")).otherwise(F.col("i")))
+    return x.withColumn("y", F.explode(sides)).select("model", "strand", "n", "most", "at", "i", "g", "y.*")
+
+
+def collapse(
+    accepted: DataFrame, capped: bool = False, five: int = 10, junction: int = 10, three: int = 10, longest_ends: bool = False, merge_dup: bool = True, priority: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Models (0-based BED bounds, G numbers, BED line, report columns) and members (model id, read).
+
+    ``capped``: reads are whole, models are components of matching reads. Otherwise 5' ends may be
+    missing: a read may be in several models, and reads with fewer exons have no say on the 5' edge
+    at which they begin. ``longest_ends`` takes the outermost terminal edges, ``priority`` prefers
+    edges without errors beside the junction, ``merge_dup`` joins models with equal bounds.
+    """
+    strand = F.when(F.col("flag_class") == "forward_strand", "+").otherwise("-")
+    rows = accepted.select(F.col("ord").alias("tx"), "read_id", F.col("scaffold").alias("scaf"), strand.alias("strand"), "starts", "ends", "sj_pre", "sj_post", "coverage", "identity")
+    rows = rows.withColumn("n", F.size("starts")).withColumn("ts", F.col("starts")[0]).withColumn("te", F.element_at("ends", -1)).withColumn("src", F.lit("reads"))
+    exon = rows.select("tx", "scaf", "strand", F.posexplode(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e"))).alias("k", "x")).select("tx", "scaf", "strand", "k", "x.s", "x.e")
+    rows = rows.join(loci.gene_groups(exon), "tx")
+    if capped:
+        of = _capped_members(rows, five, junction, three)
     else:
-        won = loci.vote(edge, ["model", "k"])
-    pick = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("coord"))))
-    bounds = won.groupBy("model").agg(pick("s").alias("starts"), pick("e").alias("ends"))
-    where = members.groupBy("model").agg(F.first("gene").alias("gene"), F.first("scaf").alias("scaf"), F.first("strand").alias("strand"))
-    built = bounds.join(where, "model")
+        of = nocap_members(rows, five, junction, three).select("tx", "gene", F.concat_ws("-", "gene", "nth").alias("model"), F.col("nth").alias("tie"), "at")
+    members = rows.join(of.drop("gene"), "tx")
+    members = members.join(members.groupBy("model").agg(F.max("n").alias("most")), "model")
+
+    edge, plus = _edges(members, priority), F.col("strand") == "+"
+    is5 = (F.col("side") == "s") == plus
+    top = (F.col("i") == F.col("most") - 1) & is5
+    if not capped:
+        edge = edge.where(~(is5 & (F.col("i") == F.col("n") - 1) & (F.col("i") < F.col("most") - 1)))
+    outer = (top if not capped or longest_ends else F.lit(False)) | ((F.col("i") == 0) & ~is5 if longest_ends else F.lit(False))
+    won = loci.vote(edge.where(~outer), ["model", "i", "g"], with_prio=True).unionByName(loci.vote(edge.where(outer), ["model", "i", "g"], outermost=True, with_prio=True))
+    pick = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("coord", "wobble"))))
+    ranks = lambda s: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("g", "prio")))), lambda x: x["prio"].cast("string")), ",")
+    bounds = won.groupBy("model").agg(pick("s").alias("s"), pick("e").alias("e"), ranks("s").alias("collapse_sj_start_err"), ranks("e").alias("collapse_sj_end_err"))
+    said = edge.where("side = 's' AND (g > 0 OR most = 1)").join(won.where("side = 's'").select("model", "i", "prio", "coord"), ["model", "i", "prio", "coord"])
+    said = said.groupBy("model", "g", "err").agg(F.min("at").alias("at")).groupBy("model", "g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "err"))), lambda x: x["err"]), "-").alias("line"))
+    said = said.groupBy("model").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "line"))), lambda x: x["line"]), ";").alias("collapse_error_nuc"))
+    where = members.groupBy("model").agg(*(F.first(c).alias(c) for c in ("gene", "scaf", "strand", "tie")))
+    built = bounds.join(said, "model").join(where, "model").withColumns({"starts": F.col("s.coord"), "ends": F.col("e.coord"), "start_wobble": F.col("s.wobble"), "end_wobble": F.col("e.wobble")}).drop("s", "e")
     if merge_dup:
-        same = built.groupBy("gene", "scaf", "strand", "starts", "ends").agg(F.min("model").alias("kept"), F.collect_list("model").alias("all"))
-        built = same.select(F.col("kept").alias("model"), "gene", "scaf", "strand", "starts", "ends", "all")
+        kept = [c for c in built.columns if c not in ("gene", "scaf", "strand", "starts", "ends")]
+        same = built.groupBy("gene", "scaf", "strand", "starts", "ends").agg(F.min_by(F.struct(*kept), "tie").alias("kept"), F.collect_list("model").alias("all"))
+        built = same.select("gene", "scaf", "strand", "starts", "ends", "kept.*", "all")
     else:
         built = built.withColumn("all", F.array("model"))
     inter = F.flatten(F.zip_with("starts", "ends", lambda a, b: F.array(a, b)))
-    built = built.withColumn("key", F.concat(F.array(F.col("starts")[0], F.element_at("ends", -1)), inter, F.array("model")))
+    built = built.withColumn("key", F.concat(F.array(F.col("starts")[0], F.element_at("ends", -1)), inter, F.array("tie")))
     found = loci.islands(rows, ["scaf"], "ts", "te", ["te", "tx"], "locus")
     appear = rows.groupBy("scaf").agg(F.min("tx").alias("g1"))
-    genes = found.groupBy("gene", "scaf", "strand").agg(F.min("locus").alias("g2"), F.min(F.col("ends")[0] * 0 + F.col("starts")[0]).alias("g3")).join(appear, "scaf").withColumn("g4", F.col("strand"))
+    genes = found.groupBy("gene", "scaf", "strand").agg(F.min("locus").alias("g2"), F.min("ts").alias("g3")).join(appear, "scaf").withColumn("g4", F.col("strand"))
     out = numbered(genes.select("gene", "g1", "g2", "g3", "g4"), built)
-    gid = F.concat(F.lit("G"), F.col("gene_no").cast("string"))
-    out = out.withColumn("gene_id", gid).withColumn("trans_id", F.concat("gene_id", F.lit("."), F.col("model_no").cast("string")))
+    out = out.withColumn("gene_id", F.concat(F.lit("G"), F.col("gene_no").cast("string"))).withColumn("trans_id", F.concat("gene_id", F.lit("."), F.col("model_no").cast("string")))
     less = lambda c: F.transform(c, lambda x: x - 1)
     out = out.withColumn("starts", less("starts")).withColumn("ends", less("ends"))
     out = out.withColumn("line", bed_line(F.col("scaf"), F.concat_ws(";", "gene_id", "trans_id"), F.col("strand"), F.col("starts"), F.col("ends")))
-    member_of = out.select("trans_id", F.explode("all").alias("model")).join(members.select("model", "read_id", "tx"), "model").select("trans_id", "read_id", F.col("tx").alias("ord"))
-    return out.select("gene_no", "model_no", "gene_id", "trans_id", "scaf", "strand", "starts", "ends", "line"), member_of
+    mine = members.select("model", "read_id", "strand", "scaf", "starts", "ends", "coverage", "identity", "tx")
+    member_of = out.select("trans_id", F.explode("all").alias("model")).join(mine, "model").dropDuplicates(["trans_id", "tx"]).withColumn("starts", less("starts")).withColumn("ends", less("ends"))
+    member_of = member_of.withColumn("line", bed_line(F.col("scaf"), F.concat_ws(";", "trans_id", "read_id"), F.col("strand"), F.col("starts"), F.col("ends")))
+    report = ("start_wobble", "end_wobble", "collapse_sj_start_err", "collapse_sj_end_err", "collapse_error_nuc")
+    return out.select("gene_no", "model_no", "gene_id", "trans_id", "scaf", "strand", "starts", "ends", *report, "line"), member_of.select("trans_id", "read_id", F.col("tx").alias("ord"), "coverage", "identity", "line")
+
+
+def trans_report(models: DataFrame, members: DataFrame) -> DataFrame:
+    """Per model: reads, best and worst coverage and identity, wobble, and errors at the chosen edges."""
+    n = members.groupBy("trans_id").agg(
+        F.count(F.lit(1)).alias("num_clusters"), *(al.round2(f(c)).alias(f"{a}_{b}") for c, b in (("coverage", "coverage"), ("identity", "quality_percent")) for f, a in ((F.max, "high"), (F.min, "low"))),
+    )
+    csv = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    rows = models.join(n, "trans_id").withColumn("start_wobble_list", csv("start_wobble")).withColumn("end_wobble_list", csv("end_wobble")).withColumnRenamed("trans_id", "transcript_id")
+    return rows.select(
+        "gene_no", "model_no", "transcript_id", "num_clusters", "high_coverage", "low_coverage", "high_quality_percent", "low_quality_percent", "start_wobble_list", "end_wobble_list",
+        "collapse_sj_start_err", "collapse_sj_end_err", "collapse_error_nuc",
+    )
 
 
 def polya_report(accepted: DataFrame, genome: DataFrame, percent: float = 70.0) -> DataFrame:

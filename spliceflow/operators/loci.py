@@ -122,7 +122,7 @@ def grouped_models(m: DataFrame, **thresholds: int) -> DataFrame:
     return members.join(group, "rep", "left").select("tx", F.coalesce("component", "rep").alias("model"))
 
 
-def vote(members: DataFrame, keys: list[str], outermost: bool = False, wobble_of_winner: bool = False) -> DataFrame:
+def vote(members: DataFrame, keys: list[str], outermost: bool = False, wobble_of_winner: bool = False, with_prio: bool = False) -> DataFrame:
     """Bounds of a model from member edges (keys, side 's'/'e', prio, coord).
 
     The lowest priority number wins, then the coordinate most members have, then the outermost one;
@@ -136,4 +136,5 @@ def vote(members: DataFrame, keys: list[str], outermost: bool = False, wobble_of
     if wobble_of_winner:
         top = seen.groupBy(*keys, "side", "prio").agg(F.max("coord").alias("hi"), F.min("coord").alias("lo"))
         best = best.drop("hi", "lo").withColumn("prio", -F.col("b.r.p")).join(top, [*keys, "side", "prio"])
-    return best.select(*keys, "side", F.col("b.coord").alias("coord"), (F.col("hi") - F.col("lo")).alias("wobble"))
+    prio = [(-F.col("b.r.p")).alias("prio")] if with_prio else []
+    return best.select(*keys, "side", F.col("b.coord").alias("coord"), (F.col("hi") - F.col("lo")).alias("wobble"), *prio)

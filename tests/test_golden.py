@@ -37,11 +37,19 @@ def test_read_metrics(metrics):
         assert abs(r["coverage"] - float(w[3])) < 0.011 and abs(r["identity"] - float(w[4])) < 0.011
 
 
-def test_collapse_capped(metrics):
-    models, members = collapse.collapse_capped(collapse.check_single(metrics[0].where("accepted")))
-    assert lines(models) == text("tests/golden/collapse.bed")
-    want = sorted(x.split("\t")[3] for x in text("tests/golden/collapse_trans_read.bed"))
-    assert sorted(f"{r['trans_id']};{r['read_id']}" for r in members.collect()) == want
+@pytest.mark.parametrize("capped, golden", [(True, "golden"), (False, "golden_nocap")])
+def test_collapse(metrics, capped, golden):
+    models, members = collapse.collapse(collapse.check_single(metrics[0].where("accepted")), capped)
+    models, members = models.cache(), members.cache()
+    assert lines(models) == text(f"tests/{golden}/collapse.bed")
+    assert sorted(r["line"] for r in members.collect()) == sorted(text(f"tests/{golden}/collapse_trans_read.bed"))
+    report = collapse.trans_report(models, members).orderBy("gene_no", "model_no").drop("gene_no", "model_no").collect()
+    want = [x.split("\t") for x in text(f"tests/{golden}/collapse_trans_report.txt")[1:]]
+    got = [[str(c) for c in r] for r in report]
+    assert [g[:10] for g in got] == [w[:10] for w in want]
+    # The order of one exon's texts is that in which its reads were met.
+    spread = lambda x: [sorted(p.split("-")) for p in x.split(";")]
+    assert [spread(g[10]) for g in got] == [spread(w[10]) for w in want]
 
 
 def test_polya(metrics):
