@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,91 @@ def gtf_features(m: DataFrame) -> DataFrame:
     return gene.unionByName(trans).unionByName(exon)
 
 
+def _gtf_line(source: str, attributes: Column) -> Column:
+    s = lambda c: F.col(c).cast("string")
+    return F.concat_ws("\t", "scaf", F.lit(source), "feature", s("start"), s("end"), F.lit("."), "strand", F.lit("."), attributes)
+
+
+def _quoted(pairs: list[tuple[str, str]], tail: str = "") -> Column:
+    return F.concat(F.concat_ws(" ", *(F.when(F.col(c).isNotNull(), F.concat(F.lit(f'{k} "'), F.col(c).cast("string"), F.lit('";'))) for k, c in pairs)), F.lit(tail))
+
+
+def bed_to_gtf(m: DataFrame, source: str = "PBRI") -> DataFrame:
+    """``m``: ord, gene, trans, scaf, strand, starts, ends (BED). (gene_ord, ord, place, line): gene,
+    transcript and exon lines, genes in order of appearance, exons from the left, numbered from the 5' end."""
+    gene = m.groupBy("gene").agg(F.min("ord").alias("gene_ord"), F.min_by("scaf", "ord").alias("scaf"), F.min_by("strand", "ord").alias("strand"), (F.min(F.col("starts")[0]) + 1).alias("start"), F.max(F.element_at("ends", -1)).alias("end"))
+    rows = m.join(gene.select("gene", "gene_ord"), "gene")
+    none = F.lit(None)
+    head = gene.select("gene_ord", F.lit(-1).cast("long").alias("ord"), F.lit(0).alias("place"), "scaf", "strand", "gene", none.cast("string").alias("trans"), F.lit("gene").alias("feature"), "start", "end", none.cast("int").alias("number"))
+    whole = rows.select("gene_ord", "ord", F.lit(0).alias("place"), "scaf", "strand", "gene", "trans", F.lit("transcript").alias("feature"), (F.col("starts")[0] + 1).alias("start"), F.element_at("ends", -1).alias("end"), none.cast("int").alias("number"))
+    exon = _numbered_exons(rows).select("gene_ord", "ord", (F.col("k") + 1).alias("place"), "scaf", "strand", "gene", "trans", F.lit("exon").alias("feature"), "start", "end", "number")
+    return head.unionByName(whole).unionByName(exon).select("gene_ord", "ord", "place", _gtf_line(source, _quoted([("gene_id", "gene"), ("transcript_id", "trans"), ("exon_number", "number"), ("uniq_trans_id", "trans")])).alias("line"))
+
+
+def _numbered_exons(rows: DataFrame) -> DataFrame:
+    x = rows.withColumn("n", F.size("starts")).select("*", F.posexplode(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e"))).alias("k", "x"))
+    number = F.when(F.col("strand") == "+", F.col("k") + 1).otherwise(F.col("n") - F.col("k"))
+    return x.withColumn("number", number).withColumn("start", F.col("x.s") + 1).withColumn("end", F.col("x.e")).drop("x")
+
+
+def coding_features(exons: DataFrame) -> DataFrame:
+    """``exons``: strand, start, end, number, cds_start, cds_end (1-based inclusive; 1 to 0: no CDS), left,
+    right (the transcript's). Adds sect, sub, feature, start, end for exon, CDS, codons and UTRs.
+
+    A start codon needs a base of the transcript before it. On the minus strand the 3' UTR takes in
+    the stop codon's first base.
+    """
+    s, e, a, b = (F.col(c) for c in ("start", "end", "cds_start", "cds_end"))
+    plus, coding = F.col("strand") == "+", ~((a == 1) & (b == 0))
+    beyond, ahead = s > b, a > e
+    edge = ~beyond & ~ahead & ~((s > a) & (e < b))
+    has_b, has_a = edge & (s < b) & (e >= b), edge & (a > s) & (a <= e)
+    lo = F.when(has_a, F.when(plus, a).otherwise(a + 3)).otherwise(s)
+    hi = F.when(has_b, F.when(plus, b - 3).otherwise(b)).otherwise(e)
+    first = F.when(plus, has_a & (a != F.col("left"))).otherwise(has_b & (b != F.col("right")))
+    last = F.when(plus, has_b).otherwise(has_a)
+    at_a, at_b = (a, a + 2), (b - 2, b)
+    below = F.when(ahead, e).when(has_a, F.when(plus, a - 1).otherwise(a))  # end of what lies left of the CDS
+    above = F.when(beyond, s).when(has_b, b + 1)  # start of what lies right of it
+    left_utr, right_utr = (below.isNotNull() & (below >= s), s, below), (above.isNotNull() & (above <= e), above, e)
+
+    def row(sect: int, sub: int, name: str, when: Column, x: Column, y: Column) -> Column:
+        return F.when(when, F.struct(F.lit(sect).alias("sect"), F.lit(sub).alias("sub"), F.lit(name).alias("feature"), x.cast("long").alias("start"), y.cast("long").alias("end")))
+
+    side = lambda p, q, i: F.when(plus, p[i]).otherwise(q[i])
+    found = F.array_compact(F.array(
+        row(1, 0, "exon", F.lit(True), s, e),
+        row(1, 1, "CDS", coding & ~beyond & ~ahead & (hi >= lo), lo, hi),
+        row(1, 2, "start_codon", coding & first, side(at_a, at_b, 0), side(at_a, at_b, 1)),
+        row(1, 3, "stop_codon", coding & last, side(at_b, at_a, 0), side(at_b, at_a, 1)),
+        row(2, 0, "five_prime_utr", coding & side(left_utr, right_utr, 0), side(left_utr, right_utr, 1), side(left_utr, right_utr, 2)),
+        row(3, 0, "three_prime_utr", coding & side(right_utr, left_utr, 0), side(right_utr, left_utr, 1), side(right_utr, left_utr, 2)),
+    ))
+    return exons.withColumn("y", F.explode(found)).drop("start", "end").select("*", "y.*").drop("y")
+
+
+def bed_to_gtf_orf(m: DataFrame, source: str = "PBRI") -> DataFrame:
+    """``m``: ord, id_line (gene;trans;protein;degrade;match;nmd;..), scaf, strand, starts, ends, cds_start,
+    cds_end (BED). (gene_ord, ord, sect, place, sub, line) with coding features."""
+    ids = F.split("id_line", ";")
+    part = lambda i, to: F.coalesce(F.get(ids, i), F.lit("")).alias(to)
+    m = m.select(
+        "ord", "scaf", "strand", "starts", "ends", (F.col("cds_start") + 1).alias("cds_start"), "cds_end", (F.col("starts")[0] + 1).alias("left"), F.element_at("ends", -1).alias("right"),
+        *(part(i, c) for i, c in enumerate(("gene", "trans", "protein", "degrade", "match", "nmd"))), F.lit("tama").alias("made"),
+    )
+    gene = m.groupBy("gene").agg(F.min("ord").alias("gene_ord"), F.min_by("scaf", "ord").alias("scaf"), F.min_by("strand", "ord").alias("strand"), F.min("left").alias("start"), F.max("right").alias("end"))
+    rows = m.join(gene.select("gene", "gene_ord"), "gene")
+    flat = lambda sect, place, sub, line: (sect.alias("sect"), place.cast("int").alias("place"), sub.alias("sub"), line.alias("line"))
+    zero, gid, tid = F.lit(0), ("gene_id", "gene"), ("transcript_id", "trans")
+    made = [("gene_source", "made"), ("transcript_source", "made")]
+    head = gene.withColumn("made", F.lit("tama")).withColumn("feature", F.lit("gene")).select("gene_ord", F.lit(-1).cast("long").alias("ord"), *flat(zero, zero, zero, _gtf_line(source, _quoted([gid, made[0]], " "))))
+    whole = rows.withColumn("feature", F.lit("transcript")).withColumn("start", F.col("left")).withColumn("end", F.col("right"))
+    whole = whole.select("gene_ord", "ord", *flat(zero, zero, zero, _gtf_line(source, _quoted([gid, tid, *made], " "))))
+    tags = [("prot_id", "protein"), ("degrade_flag", "degrade"), ("match_flag", "match"), ("nmd_flag", "nmd")]
+    part_rows = coding_features(_numbered_exons(rows)).select("gene_ord", "ord", *flat(F.col("sect"), F.col("number"), F.col("sub"), _gtf_line(source, _quoted([gid, tid, ("exon_number", "number"), *made, *tags], " "))))
+    return head.unionByName(whole).unionByName(part_rows)
+
+
 def from_gtf_exons(features: DataFrame) -> DataFrame:
     """Models from exon rows alone: (tx, scaf, strand, starts, ends) in 0-based half-open bounds."""
     packed = features.where("feature = 'exon'").groupBy("tx", "scaf", "strand").agg(F.array_sort(F.collect_list(F.struct((F.col("start") - 1).alias("s"), F.col("end").alias("e")))).alias("x"))

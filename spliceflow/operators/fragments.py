@@ -75,4 +75,5 @@ def absorb_fragments(models: DataFrame, wobble: int = 10, ends: int = 500, perce
             "start": [r["s"][0] for r in rows], "end": [r["e"][-1] for r in rows],
         })
 
-    return models.select("gene", "tx", "starts", "ends").groupBy("gene").applyInPandas(work, "gene long, tx long, absorbed_by long, start long, end long")
+    kind = models.schema["gene"].dataType.simpleString()
+    return models.select("gene", "tx", "starts", "ends").groupBy("gene").applyInPandas(work, f"gene {kind}, tx long, absorbed_by long, start long, end long")
