@@ -10,7 +10,7 @@ def _csv(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
 
 
-def bed_line(scaffold: Column, id_line: Column, strand: Column, starts: Column, ends: Column, score: str = "40", rgb: str = "255,0,0", thick: tuple[Column, Column] | None = None, span: tuple[Column, Column] | None = None) -> Column:
+def bed_line(scaffold: Column, id_line: Column, strand: Column, starts: Column, ends: Column, score: str = "40", rgb: str | Column = "255,0,0", thick: tuple[Column, Column] | None = None, span: tuple[Column, Column] | None = None) -> Column:
     """A BED12 line from absolute exon bounds."""
     start, end = span or (F.element_at(starts, 1), F.element_at(ends, -1))
     a, b = thick or (start, end)

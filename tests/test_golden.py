@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from spliceflow.operators import collapse, merge, reads
 from spliceflow.sources import readers
@@ -60,10 +61,78 @@ def test_polya(metrics):
 @pytest.mark.parametrize("folder, name, golden", [("merge", "filelist_merge", "golden_merge/merged"), ("merge_nocap", "fl_nocap", "golden_merge_nocap/nocap"), ("merge_nocap", "fl_mixed", "golden_merge_nocap/mixed")])
 def test_merge(spark, folder, name, golden):
     models, source = merge.merge(merge.manifest(spark, f"{HERE}/test_data/{folder}/{name}.txt", readers.bed12))
-    cut = lambda x: x.split("\t")[:8] + x.split("\t")[9:]  # noqa: E731  colours belong to the sink
-    assert [cut(x) for x in lines(models)] == [cut(x) for x in text(f"tests/{golden}.bed")]
-    want = sorted(x.split("\t")[3] for x in text(f"tests/{golden}_merge.txt"))
-    assert sorted(f"{r['trans_id']};{r['source']}_{r['source_trans']}" for r in source.collect()) == want
+    models, source = models.cache(), source.cache()
+    assert lines(models) == text(f"tests/{golden}.bed")
+    assert sorted(r["line"] for r in source.collect()) == sorted(text(f"tests/{golden}_merge.txt"))
+    got = [[str(c) for c in r[2:]] for r in merge.trans_report(models, source).orderBy("gene_no", "model_no").collect()]
+    want = [x.split("\t") for x in text(f"tests/{golden}_trans_report.txt")[1:]]
+    assert [g[:5] + sorted(g[7].split(",")) for g in got] == [w[:5] + sorted(w[7].split(",")) for w in want]
+    assert [[c.count(";") for c in g[5:7]] for g in got] == [[c.count(";") for c in w[5:7]] for w in want]
+    if "mixed" not in golden and "nocap" not in golden:
+        assert [g[5:7] for g in got] == [w[5:7] for w in want]
+    got = ["\t".join(str(c) for c in r[1:]) for r in merge.gene_report(source).orderBy("gene_no").collect()]
+    assert got == text(f"tests/{golden}_gene_report.txt")[1:]
+
+
+def test_merge_ids_and_cds(spark):
+    found = merge.manifest(spark, f"{HERE}/test_data/merge_nocap/fl_mixed.txt", readers.bed12)
+    name = found[0].name
+    models, source = merge.merge(found, ids_of=(name,), cds_of=(name,))
+    of = {}
+    for r in source.where(F.col("source") == name).orderBy("tx").collect():
+        of.setdefault(r["trans_id"], []).extend([r["source_gene"], r["source_trans"]])
+    for r in models.collect():
+        cells = r["line"].split("\t")
+        assert cells[3].split(";") == [r["gene_id"], r["trans_id"], *of.get(r["trans_id"], [])]
+    with pytest.raises(ValueError):
+        merge.merge(found, ids_of=("absent",))
+
+
+def _support(spark, bed):
+    return readers.levels(spark, f"{HERE}/tests/golden_p5/levels_no_merge.txt"), bed.select("ord", F.col("gene_id").alias("gene"), F.col("trans_id").alias("trans"), F.size("exon_starts").alias("n_exons"))
+
+
+def test_single_read_and_polya(spark):
+    bed = readers.bed12(spark, f"{HERE}/tests/golden/collapse.bed")
+    support, m = _support(spark, bed)
+    line = {x.split("\t")[3]: x for x in text("tests/golden/collapse.bed")}
+    polya = spark.createDataFrame([("testmerge", x.split("\t")[0], float(x.split("\t")[3])) for x in text("tests/golden/collapse_polya.txt")[1:]], "source string, read_id string, a_percent double")
+    for kept, golden in ((reads.single_read(m, support), "single_read"), (reads.polya_filter(m, support, polya), "polya")):
+        rows = reads.renumbered(m, kept).orderBy("ord").collect()
+        got = []
+        for r in rows:
+            if r["new_gene"]:
+                cells = line[f"{r['gene']};{r['trans']}"].split("\t")
+                got.append("\t".join([*cells[:3], f"{r['new_gene']};{r['new_trans']}", *cells[4:]]))
+        assert got == text(f"tests/golden_p5/{golden}.bed")
+        if golden == "single_read":
+            gone = [line[f"{r['gene']};{r['trans']}"] for r in rows if not r["new_gene"]]
+            assert gone == text("tests/golden_p5/single_read_singleton.bed")
+
+
+def test_levels(spark):
+    got = {(r["gene"], r["trans"]): (str(r["gene_reads"]), str(r["trans_reads"])) for r in reads.support_levels(readers.levels(spark, f"{HERE}/tests/golden_p5/levels_no_merge.txt")).collect()}
+    assert got == {(w[0], w[1]): (w[2], w[3]) for w in (x.split("\t") for x in text("tests/golden_p5/levels_no_merge.txt")[1:])}
+
+
+def test_degradation(spark):
+    def tally(folder):
+        bed = readers.bed12(spark, f"{HERE}/tests/{folder}/collapse_trans_read.bed")
+        # Column 4 holds the model and the read.
+        return reads.degradation_tally(bed.select(F.substring_index("gene_id", ".", 1).alias("gene"), F.col("gene_id").alias("trans"), F.col("trans_id").alias("read_id"), F.size("exon_starts").alias("n_exons"))).first()
+
+    capped, loose = tally("golden"), tally("golden_nocap")
+    want = [x.rpartition(" = ")[2] for x in text("tests/golden_p5/degradation.txt")]
+    assert [str(reads.degradation_signature(capped[0], loose[0])), *(str(x) for pair in zip(capped, loose) for x in pair)] == want
+
+
+def test_model_changes(spark):
+    support = readers.levels(spark, f"{HERE}/test_data/p5/mc_levels.txt")
+    counts, genes, trans = reads.model_changes_report(support, "ref", "alt")
+    folder = "tests/golden_p5/model_changes_diff"
+    assert sorted(f"{r['name']}: {r['n']}" for r in counts.collect()) == sorted(text(f"{folder}_report.txt"))
+    assert sorted("\t".join(r) for r in genes.collect()) == sorted(text(f"{folder}_one_source_genes.txt")[1:])
+    assert sorted("\t".join(r) for r in trans.collect()) == sorted(text(f"{folder}_one_source_trans.txt")[1:])
 
 
 def test_degradation_signature():
