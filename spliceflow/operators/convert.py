@@ -116,6 +116,29 @@ def reshuffle_ids(rows: DataFrame, column: str, order: list[int], delimiter: str
     return rows.withColumn(column, F.array_join(F.array(*(F.element_at(need, i) for i in order)), delimiter))
 
 
+def ensembl_ids(rows: DataFrame, column: str, packed: bool = False, only_match: bool = False, delimiter: str = ";") -> DataFrame:
+    """Ids led by the database's gene and transcript: fields 3 and 4, or with ``packed`` field 3 split at
+    its comma. Ids of up to three fields have none and, but for ``packed``, repeat their own;
+    ``only_match`` drops rows without. A database id without ENS is an error."""
+    parts = F.split(F.col(column), f"\\Q{delimiter}\\E", -1)
+    own = [F.get(parts, 0), F.coalesce(F.get(parts, 1), F.lit(""))]
+    long = F.size(parts) > 3
+    pair = F.split(F.get(parts, 2), ",", -1) if packed else F.slice(parts, 3, 2)
+    known = long & (F.size(pair) > 1)
+
+    def checked(i: int) -> Column:
+        x = F.get(pair, i)
+        return F.when(x.contains("ENS"), x).otherwise(F.raise_error(F.concat(F.lit("not an Ensembl id: "), x)))
+
+    alone = [F.when(long, o).otherwise("") for o in own] if packed else own
+    lead = [F.when(known, checked(i)).otherwise(alone[i]) for i in (0, 1)]
+    behind = 4 if packed else 5
+    rest = F.when(long, F.slice(parts, behind, F.size(parts))).otherwise(F.array().cast("array<string>"))
+    if only_match:
+        rows = rows.where(known | F.lit(packed) & long & own[0].contains("ENS"))
+    return rows.withColumn(column, F.array_join(F.concat(F.array(*lead, *own), rest), ";"))
+
+
 def split_chunks(records: DataFrame, total: int, parts: int) -> DataFrame:
     """Chunk number of each record by its place; there may be fewer chunks than asked for."""
     return records.withColumn("chunk", F.floor(F.col("rec_no") / max(1, -(-total // parts))).cast("long"))

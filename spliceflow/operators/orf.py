@@ -69,3 +69,76 @@ def extract_cds(rows: DataFrame) -> DataFrame:
         F.zip_with("starts", "ends", lambda s, e: F.struct(F.greatest(s, F.col("cds_start")).alias("s"), F.least(e, F.col("cds_end")).alias("e"))), lambda x: x["s"] < x["e"],
     )
     return rows.where("cds_end > 0").withColumn("x", x).where(F.size("x") > 0).select("tx", F.col("x.s").alias("starts"), F.col("x.e").alias("ends"))
+
+
+def seek(seqs: DataFrame, lengths: int = 4) -> DataFrame:
+    """``seqs``: rec_no, id, seq. (rec_no, place, header, protein): the longest reading frames of each
+    record; one marked missing_nucleotides (no protein) where a codon holds another letter than ACGT."""
+    upper = seqs.select("rec_no", F.col("id").alias("name"), F.col("rec_no").alias("id"), F.upper("seq").alias("seq"))
+    odd = upper.where(F.col("seq").rlike("[^ACGT]") & (F.length("seq") >= 3))
+    bad = odd.select("rec_no", F.lit(0).alias("place"), F.concat("name", F.lit(":missing_nucleotides")).alias("header"), F.lit(None).cast("string").alias("protein"))
+    first = top_orfs(orfs(upper), lengths).withColumnRenamed("id", "rec_no")
+    read = frames(upper).select(F.col("id").alias("rec_no"), "frame", F.col("protein").alias("whole"))
+    rows = first.join(read, ["rec_no", "frame"]).join(upper.select("rec_no", "name"), "rec_no")
+    rows = rows.withColumn("protein", F.substring("whole", F.col("start").cast("int"), F.col("length").cast("int")))
+    s = lambda c: c.cast("string")
+    n1, n2 = F.col("frame") - 1 + 3 * (F.col("start") - 1), F.col("frame") + 1 + 3 * F.col("stop")
+    tail = F.concat_ws(":", F.concat(F.lit("F"), s(F.col("frame"))), s(n1), s(n2), s(F.col("start")), s(F.col("stop")), s(F.col("length")), F.substring("protein", 1, 1))
+    order = F.row_number().over(Window.partitionBy("rec_no").orderBy(F.desc("length"), "frame", "tail"))
+    rows = rows.withColumn("tail", tail).withColumn("place", order)
+    return rows.select("rec_no", "place", F.concat_ws(":", "name", "tail").alias("header"), "protein").unionByName(bad)
+
+
+def add_cds(models: DataFrame, parsed: DataFrame, lengths: DataFrame, include_stop: bool = False, junction_distance: int = 50) -> DataFrame:
+    """``models``: ord, id_line, strand, starts, ends; ``parsed``: id, frame, nuc_start, nuc_end, rel_start,
+    subject, match; ``lengths``: id, length of the transcript. Adds cds_start, cds_end and the new id_line.
+
+    Models without a parsed frame, and those with missing nucleotides, get the bounds 0 and 0. A CDS
+    end on an exon boundary is the next exon's start.
+    """
+    c, total = F.col, F.lit(0).cast("long")
+    rows = models.join(parsed.select(c("id").alias("id_line"), "frame", *(c(x).cast("long").alias(x) for x in ("nuc_start", "nuc_end", "rel_start")), "subject", "match"), "id_line", "left")
+    rows = rows.join(lengths.select(c("id").alias("id_line"), c("length").cast("long").alias("length")), "id_line", "left")
+    behind = c("nuc_end") + 1 if include_stop else c("nuc_end") - 2
+    plus = c("strand") == "+"
+    rows = rows.withColumn("from", F.when(plus, c("nuc_start")).otherwise(c("length") - behind)).withColumn("to", F.when(plus, behind).otherwise(c("length") - c("nuc_start")))
+    none = F.struct(total.alias("at"), total.alias("i"), total.alias("si"), total.alias("s"), total.alias("ei"), total.alias("e"))
+
+    def step(a, x):
+        after = a["at"] + x["e"] - x["s"]
+        starts, ends = (c("from") >= a["at"]) & (c("from") < after), (c("to") >= a["at"]) & (c("to") <= after)
+        return F.struct(
+            after.alias("at"), (a["i"] + 1).alias("i"), F.when(starts, a["i"]).otherwise(a["si"]).alias("si"), F.when(starts, x["s"] + c("from") - a["at"]).otherwise(a["s"]).alias("s"),
+            F.when(ends, a["i"]).otherwise(a["ei"]).alias("ei"), F.when(ends, x["s"] + c("to") - a["at"]).otherwise(a["e"]).alias("e"),
+        )
+
+    rows = rows.withColumn("h", F.aggregate(F.arrays_zip(c("starts").alias("s"), c("ends").alias("e")), none, step))
+    last = F.size("starts") - 1 - c("h.ei")
+    far = F.when(plus, (last > 0) & (F.element_at("starts", -1) - c("h.e") > junction_distance)).otherwise((c("h.si") > 0) & (c("h.s") - c("ends")[0] > junction_distance))
+    nmd = F.when(far, F.concat(F.lit("NMD"), F.when(plus, last).otherwise(c("h.si")).cast("string"))).otherwise("prot_ok")
+    degrade = F.when(c("rel_start") == 1, "5prime_degrade").otherwise("full_length")
+    absent, missing = c("match").isNull(), c("match") == "missing_nucleotides"
+    line = F.when(absent, F.concat_ws(";", "id_line", F.lit("none;missing;no_orf;missing;na"))).when(missing, F.concat_ws(";", "id_line", "subject", F.lit("missing"), "match", F.lit("missing;missing")))
+    out = rows.withColumn("id_line_", line.otherwise(F.concat_ws(";", "id_line", "subject", degrade, "match", nmd, "frame")))
+    for x, h in (("cds_start", "h.s"), ("cds_end", "h.e")):
+        out = out.withColumn(x, F.when(absent | missing, F.lit(0)).otherwise(c(h)))
+    return out.drop("id_line", "h", "from", "to", "frame", "nuc_start", "nuc_end", "rel_start", "subject", "match", "length").withColumnRenamed("id_line_", "id_line")
+
+
+def coding_models(models: DataFrame, include_stop: bool = False) -> DataFrame:
+    """Models cut to their CDS, ids prefixed with ``cds;``; those without one (0 to 0) go. With
+    ``include_stop`` the three spliced bases behind it are taken in."""
+    c, plus = F.col, F.col("strand") == "+"
+    pairs = F.arrays_zip(c("starts").alias("s"), c("ends").alias("e"))
+    inside = F.filter(pairs, lambda x: x["s"] < c("cds_end"))
+    rows = models.where("NOT (cds_start = 0 AND cds_end = 0)").withColumn("cds_end", F.least(F.element_at(inside, -1)["e"], c("cds_end")))
+    if include_stop:
+        zero = F.lit(0).cast("long")
+        ahead = F.aggregate(pairs, zero, lambda a, x: a + F.greatest(F.least(x["e"], c("cds_end") - 1) - x["s"], F.lit(0)))
+        back = F.aggregate(pairs, zero, lambda a, x: a + F.greatest(x["e"] - F.greatest(x["s"], c("cds_start") + 1), F.lit(0)))
+        moved = spliced_to_genome(c("strand"), c("starts"), c("ends"), F.when(plus, ahead).otherwise(back) + 3)
+        rows = rows.withColumn("moved", moved).withColumn("cds_start", F.when(plus, c("cds_start")).otherwise(c("moved"))).withColumn("cds_end", F.when(plus, c("moved") + 1).otherwise(c("cds_end"))).drop("moved")
+    cut = F.filter(F.transform(pairs, lambda x: F.struct(F.greatest(x["s"], c("cds_start")).alias("s"), F.least(x["e"], c("cds_end")).alias("e"))), lambda x: x["s"] < x["e"])
+    rows = rows.withColumn("x", cut).where(F.size("x") > 0)
+    rows = rows.withColumns({"starts": c("x.s"), "ends": c("x.e"), "id_line": F.concat(F.lit("cds;"), c("id_line"))}).drop("x")
+    return rows.withColumns({"cds_start": c("starts")[0], "cds_end": F.element_at("ends", -1)})
