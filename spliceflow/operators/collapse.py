@@ -141,13 +141,14 @@ def collapse(
     rows = accepted.select(F.col("ord").alias("tx"), "read_id", F.col("scaffold").alias("scaf"), strand.alias("strand"), "starts", "ends", "sj_pre", "sj_post", "coverage", "identity")
     rows = rows.withColumn("n", F.size("starts")).withColumn("ts", F.col("starts")[0]).withColumn("te", F.element_at("ends", -1)).withColumn("src", F.lit("reads"))
     exon = rows.select("tx", "scaf", "strand", F.posexplode(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e"))).alias("k", "x")).select("tx", "scaf", "strand", "k", "x.s", "x.e")
-    rows = rows.join(loci.gene_groups(exon), "tx")
+    rows = loci.kept(rows.join(loci.gene_groups(exon), "tx"))
     if capped:
         of = _capped_members(rows, five, junction, three)
     else:
         of = nocap_members(rows, five, junction, three).select("tx", "gene", F.concat_ws("-", "gene", "nth").alias("model"), F.col("nth").alias("tie"), "at")
     members = rows.join(of.drop("gene"), "tx")
-    members = members.join(members.groupBy("model").agg(F.max("n").alias("most")), "model")
+    # Votes, reports and members all read this table.
+    members = loci.kept(members.join(members.groupBy("model").agg(F.max("n").alias("most")), "model"))
 
     edge, plus = _edges(members, priority), F.col("strand") == "+"
     is5 = (F.col("side") == "s") == plus
@@ -156,6 +157,7 @@ def collapse(
         edge = edge.where(~(is5 & (F.col("i") == F.col("n") - 1) & (F.col("i") < F.col("most") - 1)))
     outer = (top if not capped or longest_ends else F.lit(False)) | ((F.col("i") == 0) & ~is5 if longest_ends else F.lit(False))
     won = loci.vote(edge.where(~outer), ["model", "i", "g"], with_prio=True).unionByName(loci.vote(edge.where(outer), ["model", "i", "g"], outermost=True, with_prio=True))
+    won = loci.kept(won)
     pick = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("coord", "wobble"))))
     ranks = lambda s: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("g", "prio")))), lambda x: x["prio"].cast("string")), ",")
     bounds = won.groupBy("model").agg(pick("s").alias("s"), pick("e").alias("e"), ranks("s").alias("collapse_sj_start_err"), ranks("e").alias("collapse_sj_end_err"))
@@ -180,6 +182,7 @@ def collapse(
     less = lambda c: F.transform(c, lambda x: x - 1)
     out = out.withColumn("starts", less("starts")).withColumn("ends", less("ends"))
     out = out.withColumn("line", bed_line(F.col("scaf"), F.concat_ws(";", "gene_id", "trans_id"), F.col("strand"), F.col("starts"), F.col("ends")))
+    out = loci.kept(out)
     mine = members.select("model", "read_id", "strand", "scaf", "starts", "ends", "coverage", "identity", "tx")
     member_of = out.select("trans_id", F.explode("all").alias("model")).join(mine, "model").dropDuplicates(["trans_id", "tx"]).withColumn("starts", less("starts")).withColumn("ends", less("ends"))
     member_of = member_of.withColumn("line", bed_line(F.col("scaf"), F.concat_ws(";", "trans_id", "read_id"), F.col("strand"), F.col("starts"), F.col("ends")))

@@ -16,7 +16,7 @@ def islands(rows: DataFrame, keys: list[str], start: str, end: str, order: list[
     return rows.withColumn("_new", F.when(reach.isNull() | fresh, 1).otherwise(0)).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """Cut lineage between rounds; in the shared folder where the cluster names one."""
     spark = df.sparkSession
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,13 +30,13 @@ def _kept(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component): least id reachable. Labels spread along edges and jump to their own label's label."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = _kept(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    label = _kept(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("component")))
+    both = kept(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    label = kept(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("component")))
     while True:
         near = both.join(label.select(F.col("id").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("m"))
         spread = label.join(near.select(F.col("u").alias("id"), "m"), "id").select("id", F.least("component", "m").alias("next"), "component")
         jump = spread.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        new = _kept(spread.join(jump, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("to"), "component"))
+        new = kept(spread.join(jump, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("to"), "component"))
         changed = new.where("to <> component").limit(1).count()
         label = new.select("id", F.col("to").alias("component"))
         if not changed:

@@ -21,13 +21,13 @@ def relation(a: tuple[list[int], list[int]], b: tuple[list[int], list[int]], fiv
     """
     (p5, p3), (q5, q3) = (a, b) if len(a[0]) >= len(b[0]) else (b, a)
     last, even = len(q5) - 1, len(p5) == len(q5)
-    apart = [i for i in range(last + 1) if p5[i] >= q3[i] or q5[i] >= p3[i]]
-    if last in apart:
-        return DIFFERENT
+    apart = False
     for i in range(last + 1):
-        if i in apart:
-            continue
-        if abs(p3[i] - q3[i]) > (three if i == 0 else junction) or (i < last and abs(p5[i] - q5[i]) > junction):
+        if p5[i] >= q3[i] or q5[i] >= p3[i]:
+            if i == last:
+                return DIFFERENT
+            apart = True
+        elif abs(p3[i] - q3[i]) > (three if i == 0 else junction) or (i < last and abs(p5[i] - q5[i]) > junction):
             return DIFFERENT
     ahead = q5[last] - p5[last]
     if abs(ahead) <= (five if even else junction):
