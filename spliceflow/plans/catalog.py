@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spliceflow.functions import alignment as al
 from spliceflow.functions import sequence as sq
 from spliceflow.functions.render import bed_line
-from spliceflow.operators import convert, fragments, loci, orf, reads, variants
+from spliceflow.operators import cleanup, convert, fragments, loci, nocap, orf, reads, variants
 from spliceflow.plans import views as v
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -410,10 +410,14 @@ def saturation_curve(spark, sf_dir):
 _CH = "s AS (SELECT user_id // 5 AS gene, user_id AS trans, CASE WHEN event_id % 2 = 0 THEN 'ref' ELSE 'alt' END AS source, CASE WHEN user_id % 2 = 0 THEN event_id // 4 % 700 ELSE 100000 + (user_id // 5) * 10 + event_id % 7 END AS read_id FROM events WHERE event_id % 3 <> 0)"
 
 
-def _changes(spark, sf_dir):
+def _change_rows(spark, sf_dir) -> DataFrame:
     e = v.read(spark, sf_dir, "events").where("event_id % 3 <> 0")
     rows = e.select(F.floor(F.col("user_id") / 5).alias("gene"), F.col("user_id").alias("trans"), F.when(F.col("event_id") % 2 == 0, "ref").otherwise("alt").alias("source"), F.when(F.col("user_id") % 2 == 0, F.floor(F.col("event_id") / 4) % 700).otherwise(F.floor(F.col("user_id") / 5) * 10 + F.col("event_id") % 7 + 100000).alias("read_id"))
-    return reads.model_changes(rows.withColumn("gene", F.col("gene").cast("string")).withColumn("trans", F.col("trans").cast("string")), "ref", "alt")
+    return rows.withColumn("gene", F.col("gene").cast("string")).withColumn("trans", F.col("trans").cast("string"))
+
+
+def _changes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return reads.model_changes(_change_rows(spark, sf_dir), "ref", "alt")
 
 
 @query(f"WITH {_CH} SELECT read_id, string_agg(DISTINCT CAST(gene AS VARCHAR), ',' ORDER BY CAST(gene AS VARCHAR)) AS genes FROM s GROUP BY read_id HAVING count(DISTINCT gene) > 1")
@@ -487,3 +491,65 @@ def id_reshuffle(spark, sf_dir):
 @query(f"WITH {v.SEQ} SELECT CAST(length(regexp_extract(seq, 'A*$')) AS INTEGER) AS tail, count(*) AS reads FROM seqs GROUP BY 1")
 def tail_histogram(spark, sf_dir):
     return convert.tail_runs(v.sequences(spark, sf_dir))
+
+
+# ---- kernels and reports ----------------------------------------------------------------------------
+
+
+@query()
+def nocap_models(spark, sf_dir):
+    """Groups of models without a cap, by gene: order-dependent, so without SQL."""
+    m = _models(spark, sf_dir).join(loci.gene_groups(v.exons(spark, sf_dir)), "tx").withColumn("read_id", F.col("tx").cast("string"))
+    return nocap.nocap_members(m, 10, 2, 5)
+
+
+@query()
+def polya_trim(spark, sf_dir):
+    """Tails found by a state machine over runs, so without SQL."""
+    rows = v.sequences(spark, sf_dir).select(F.col("id").alias("rec_no"), F.col("id").cast("string").alias("description"), "seq")
+    return cleanup.trim(rows).select("rec_no", F.length("trimmed").alias("kept"), F.length("tail").alias("tail"), "polya_count", "status")
+
+
+@query(f"""WITH {v.EXON}, {v.MODEL}, m AS (SELECT tx, strand, unnest(starts) + 1 AS s, unnest(ends) AS e, unnest(range(1, n + 1)) AS k, n, ts + 1 AS l, te AS r, ts + tx % 40 + 1 AS a, te - tx % 25 AS b FROM model),
+f AS (SELECT *, CASE WHEN strand = '+' THEN k ELSE n - k + 1 END AS number, s > b AS beyond, a > e AS ahead, s > a AND e < b AS within FROM m),
+g AS (SELECT *, NOT beyond AND NOT ahead AND NOT within AND s < b AND e >= b AS hb, NOT beyond AND NOT ahead AND NOT within AND a > s AND a <= e AS ha, strand = '+' AS p FROM f),
+x AS (SELECT tx, number, 'exon' AS feature, s AS start, e AS "end" FROM g
+UNION ALL SELECT tx, number, 'CDS', CASE WHEN ha THEN CASE WHEN p THEN a ELSE a + 3 END ELSE s END, CASE WHEN hb THEN CASE WHEN p THEN b - 3 ELSE b END ELSE e END FROM g WHERE NOT beyond AND NOT ahead
+UNION ALL SELECT tx, number, 'start_codon', CASE WHEN p THEN a ELSE b - 2 END, CASE WHEN p THEN a + 2 ELSE b END FROM g WHERE (p AND ha AND a <> l) OR (NOT p AND hb AND b <> r)
+UNION ALL SELECT tx, number, 'stop_codon', CASE WHEN p THEN b - 2 ELSE a END, CASE WHEN p THEN b ELSE a + 2 END FROM g WHERE (p AND hb) OR (NOT p AND ha)
+UNION ALL SELECT tx, number, CASE WHEN p THEN 'five_prime_utr' ELSE 'three_prime_utr' END, s, CASE WHEN ahead THEN e WHEN p THEN a - 1 ELSE a END FROM g WHERE ahead OR ha
+UNION ALL SELECT tx, number, CASE WHEN p THEN 'three_prime_utr' ELSE 'five_prime_utr' END, CASE WHEN beyond THEN s ELSE b + 1 END, e FROM g WHERE beyond OR hb)
+SELECT tx, number, feature, start, "end" FROM x WHERE "end" >= start""")
+def coding_features(spark, sf_dir):
+    m = _models(spark, sf_dir)
+    x = m.select("tx", "strand", F.size("starts").alias("n"), (F.col("ts") + 1).alias("left"), F.col("te").alias("right"), (F.col("ts") + F.col("tx") % 40 + 1).alias("cds_start"), (F.col("te") - F.col("tx") % 25).alias("cds_end"), F.posexplode(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e"))).alias("k", "x"))
+    number = F.when(F.col("strand") == "+", F.col("k") + 1).otherwise(F.col("n") - F.col("k")).cast("long")
+    x = x.withColumn("number", number).withColumn("start", F.col("x.s") + 1).withColumn("end", F.col("x.e")).drop("k", "x")
+    return convert.coding_features(x).select("tx", "number", "feature", "start", "end")
+
+
+@query(f"""WITH {_SM}, {_SC}, kept AS (SELECT gene, trans FROM c WHERE NOT (in_gene = 1 AND sources = 1 AND reads = 1 AND n_exons = 1) AND (reads >= 60 OR n_exons > 1)),
+g AS (SELECT gene, row_number() OVER (ORDER BY min(m.trans)) AS gn FROM models m WHERE gene IN (SELECT gene FROM kept) GROUP BY gene)
+SELECT kept.gene, kept.trans, 'G' || gn AS new_gene, 'G' || gn || '.' || row_number() OVER (PARTITION BY kept.gene ORDER BY kept.trans) AS new_trans FROM kept JOIN g USING (gene)""")
+def renumbered_models(spark, sf_dir):
+    m, s = _support_models(spark, sf_dir)
+    kept = reads.single_read(m, s, level="transcript", min_reads=60)
+    return reads.renumbered(m.withColumn("ord", F.col("trans")), kept).where("new_gene IS NOT NULL").select("gene", "trans", "new_gene", "new_trans")
+
+
+@query(f"""WITH {_SM}, t AS (SELECT gene, count(*) AS models, max(n_exons) AS exons, count(*) FILTER (n_exons = 1) AS singles FROM models GROUP BY gene), r AS (SELECT gene, count(DISTINCT read_id) AS reads FROM support GROUP BY gene), j AS (SELECT * FROM t JOIN r USING (gene))
+SELECT CAST(coalesce(sum(models) FILTER (exons > 1 AND reads > 1), 0) AS BIGINT) AS multi_exon_multi_read_trans, CAST(sum(models) AS BIGINT) AS trans, CAST(sum(singles) AS BIGINT) AS single_exon_trans, CAST(sum(models - singles) AS BIGINT) AS multi_exon_trans,
+count(*) AS genes, count(*) FILTER (exons < 2) AS single_exon_genes, count(*) FILTER (exons > 1) AS multi_exon_genes, count(*) FILTER (exons < 2 AND reads = 1) AS single_exon_single_read_genes, count(*) FILTER (exons > 1 AND reads < 2) AS multi_exon_single_read_genes FROM j""")
+def degradation_tally(spark, sf_dir):
+    m, s = _support_models(spark, sf_dir)
+    return reads.degradation_tally(s.join(m, ["gene", "trans"]))
+
+
+_ONE = f"WITH {_CH}, r AS (SELECT read_id FROM s GROUP BY read_id HAVING count(DISTINCT gene) > 1), moved AS (SELECT DISTINCT gene FROM s WHERE read_id IN (SELECT read_id FROM r)), k AS (SELECT gene, min(source) AS source FROM s GROUP BY gene HAVING count(DISTINCT source) = 1)"
+
+
+@query(f"{_ONE} SELECT source, CAST(gene AS VARCHAR) AS gene FROM moved JOIN k USING (gene) UNION ALL SELECT 'genes', CAST(count(*) AS VARCHAR) FROM moved UNION ALL SELECT 'reads', CAST(count(*) AS VARCHAR) FROM r")
+def model_changes_report(spark, sf_dir):
+    counts, genes, _ = reads.model_changes_report(_change_rows(spark, sf_dir), "ref", "alt")
+    total = lambda name, to: counts.where(F.col("name") == name).select(F.lit(to).alias("source"), F.col("n").cast("string").alias("gene"))
+    return genes.unionByName(total("num_merge_diff_gene", "genes")).unionByName(total("num_diff_gene_reads", "reads"))
