@@ -144,12 +144,14 @@ def _sort_shard(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        core, sid, off, key = [], [], [], []
-        for c, s, x in zip(batch.column("core").to_pylist(), batch.column("sid").to_pylist(), batch.column("bits").to_pylist()):
-            for i in range(len(x) - LENGTH + 1):
-                core.append(c), sid.append(s), off.append(i), key.append(hashlib.blake2b(x[i : i + LENGTH], digest_size=16).digest())
-        yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), pa.array(sid, pa.binary()), pa.array(off, pa.int32()), pa.array(key, pa.binary())], ["core", "sid", "a", "key"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            core, sid, off, key = [], [], [], []
+            for c, s, x in zip(batch.column("core").to_pylist(), batch.column("sid").to_pylist(), batch.column("bits").to_pylist()):
+                for i in range(len(x) - LENGTH + 1):
+                    core.append(c), sid.append(s), off.append(i), key.append(hashlib.blake2b(x[i : i + LENGTH], digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), pa.array(sid, pa.binary()), pa.array(off, pa.int32()), pa.array(key, pa.binary())], ["core", "sid", "a", "key"])
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
