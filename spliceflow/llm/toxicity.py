@@ -6,8 +6,9 @@ resembles, a separator for nothing and a run of one letter for one or two of it;
 under a character trigram model picks the cheapest reading. The restored words then go to a linear
 model over words and word beginnings.
 
-The character model and the linear model are fitted on a bounded sample of labelled rows
-(``SAMPLE`` of each label); every text is scored whole.
+The character model counts the words (of two letters or more: single ones are mostly parts of
+disguised words) of all texts. The linear model is fitted on a bounded sample of labelled rows
+(``SAMPLE`` toxic ones and twice as many clean ones); every text is scored whole.
 
 Defined cases: a null or empty text, and every text when no labelled row exists, gets the score of
 no evidence (below 0.5); a label other than 0 or 1 is ignored; repeated rows give repeated results;
@@ -49,16 +50,25 @@ class CharModel:
     """Trigram letter model with add-constant smoothing, from word counts."""
 
     def __init__(self, words: dict[str, int]):
-        self.three: dict[str, float] = defaultdict(float)
-        self.two: dict[str, float] = defaultdict(float)
-        letters = set()
+        three: dict[str, float] = defaultdict(float)
         for w, n in words.items():
             s = "^^" + w + "$"
-            letters.update(w)
             for i in range(2, len(s)):
-                self.three[s[i - 2 : i + 1]] += n
-                self.two[s[i - 2 : i]] += n
-        self.three, self.two, self.size = dict(self.three), dict(self.two), len(letters) + 2
+                three[s[i - 2 : i + 1]] += n
+        self._count(three)
+
+    @classmethod
+    def counted(cls, three: dict[str, float]) -> "CharModel":
+        """From the counts of trigrams of ``^^word$``."""
+        model = cls.__new__(cls)
+        model._count(three)
+        return model
+
+    def _count(self, three: dict[str, float]) -> None:
+        two: dict[str, float] = defaultdict(float)
+        for t, n in three.items():
+            two[t[:2]] += n
+        self.three, self.two, self.size = dict(three), dict(two), len(set("".join(three)) - set("^$")) + 2
 
     def cost(self, context: str, char: str) -> float:
         return -math.log((self.three.get(context + char, 0.0) + 0.1) / (self.two.get(context, 0.0) + 0.1 * self.size))
@@ -177,8 +187,17 @@ def _map(docs: DataFrame, columns: list[str], schema: str, shared, make, each) -
     return docs.select(*columns).mapInArrow(work, schema)
 
 
+def trigrams(docs: DataFrame) -> DataFrame:
+    """t, n: the trigrams of ``^^word$`` over the words of all texts; their number is bounded by the alphabet."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(docs["text"].cast("string"), F.lit(""))), F.lit(r"\p{L}{2,}+"), F.lit(0))
+    words = docs.select(F.explode(found).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    s = F.concat(F.lit("^^"), F.col("w"), F.lit("$"))
+    each = F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(s, i, F.lit(3)))
+    return words.select("n", F.explode(each).alias("t")).groupBy("t").agg(F.sum("n").alias("n"))
+
+
 def train(docs: DataFrame, labels: DataFrame, train_rows: Column, sample: int = SAMPLE, top: int = FEATURES):
-    """(char model, weights, bias) from a bounded sample of labelled rows; ``train_rows`` is over doc_id."""
+    """(char model of all texts; weights, bias from a bounded sample of labelled rows); ``train_rows`` is over doc_id."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
     known = known.where(train_rows & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
     have = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -189,8 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, sample: int =
     # At most about 3 * sample rows of two numbers.
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
     rows = table(rows, "labelled")
-    words = rows.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}{2,24})"), 1)).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(20000)
-    model = CharModel({r["w"]: r["count"] for r in words.collect()})
+    model = CharModel.counted({r["t"]: float(r["n"]) for r in trigrams(docs).collect()})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(tool: Restorer, part: pa.RecordBatch) -> pa.RecordBatch:
@@ -234,7 +252,7 @@ class Scorer(Restorer):
 
 def score(docs: DataFrame, model) -> DataFrame:
     """doc_id, score, predicted; reads doc_id and text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 20,000 words' trigrams, FEATURES weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: the alphabet's trigrams, FEATURES weights
 
     def each(tool: Scorer, part: pa.RecordBatch) -> pa.RecordBatch:
         got = [tool.score(t or "") for t in part.column("text").to_pylist()]

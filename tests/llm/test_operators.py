@@ -198,6 +198,17 @@ def test_toxicity_decoder_and_model(spark):
     assert all(got[i]["predicted"] == x for i, x in labels)
 
 
+def test_char_model_counts_all_texts(spark):
+    rng = random.Random(8)
+    rows = [(i, words(rng, 20)) for i in range(40)] + [(100 + i, "wyvern zephyr Wyvern x") for i in range(5)] + [(200, None), (201, "q" * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    want = toxicity.CharModel(collections.Counter(w for _, t in rows for w in (t or "").lower().split() if len(w) > 1))
+    got = toxicity.train(docs, marks, F.lit(True), sample=3)[0]
+    assert (got.three, got.two, got.size) == (want.three, want.two, want.size)
+    assert got.three["wyv"] == 10 and got.three["qqq"] == 28
+
+
 def test_viterbi_is_the_cheapest_reading():
     model = toxicity.CharModel({"hello": 5, "hall": 3, "shell": 2})
 
