@@ -3,8 +3,9 @@
 Writers hide words by look-alike symbols, by blanks or dots between letters and by repeating
 letters. Each suspicious token becomes a lattice in which a symbol may stand for the letters it
 resembles, a separator for nothing and a run of one letter for one or two of it; a Viterbi search
-under a character trigram model picks the cheapest reading. The restored words then go to a linear
-model over words and word beginnings.
+under a character trigram model picks the cheapest reading, whatever the token's length. Where
+letters are set apart by separators, a second search may also read one as the end of a word. The
+restored words of both readings then go to a linear model over words and word beginnings.
 
 The character model counts the words (of two letters or more: single ones are mostly parts of
 disguised words) of all texts. The linear model is fitted on a bounded sample of labelled rows
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from spliceflow.llm.common import hash_unit, sample_rate, table
 
 SAMPLE, FEATURES = 4000, 3000
-REMEMBERED = 80_000
+REMEMBERED, SHORT, BREAK = 80_000, 64, 1.0
 # The letters that a symbol may stand for.
 LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
@@ -99,21 +100,33 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return steps
 
 
-def decode(token: str, model: CharModel) -> str:
-    """The cheapest reading of a token."""
-    beam: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
+def decode(token: str, model: CharModel, breaks: bool = False) -> str:
+    """The cheapest reading of a token; with ``breaks`` a separator may also end a word, which gives a blank."""
+    beam, back = {"^^": 0.0}, []
     for read in lattice(token):
-        after: dict[str, tuple[float, str]] = {}
-        for context, (cost, text) in beam.items():
+        if breaks and ("", 0.2) in read:
+            read = [*read, (" ", BREAK)]
+        after: dict[str, float] = {}
+        came: dict[str, tuple[str, str]] = {}
+        for context, cost in beam.items():
             for letters, extra in read:
                 c, total = context, cost + extra
-                for x in letters:
-                    total += model.cost(c, x)
-                    c = c[1] + x
-                if c not in after or (total, text + letters) < after[c]:
-                    after[c] = (total, text + letters)
+                if letters == " ":
+                    c, total = "^^", total + model.cost(c, "$")
+                else:
+                    for x in letters:
+                        total += model.cost(c, x)
+                        c = c[1] + x
+                if c not in after or total < after[c]:
+                    after[c], came[c] = total, (context, letters)
         beam = after
-    return min((cost + model.cost(c, "$"), text) for c, (cost, text) in beam.items())[1]
+        back.append(came)
+    c = min(beam, key=lambda c: (beam[c] + model.cost(c, "$"), c))
+    out = []
+    for came in reversed(back):
+        c, letters = came[c]
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 def suspicious(core: str) -> bool:
@@ -121,29 +134,35 @@ def suspicious(core: str) -> bool:
 
 
 class Restorer:
-    """Token -> restored word; remembers what it has seen."""
+    """Token -> restored words; remembers the short ones it has seen."""
 
     def __init__(self, model: CharModel):
         self.model = model
-        self.known: dict[str, str] = {}
+        self.known: dict[str, tuple[str, ...]] = {}
 
-    def token(self, raw: str) -> str:
+    def read(self, disguised: str) -> tuple[str, ...]:
+        """The reading as one word and, if separators allow others, the words of the reading with word ends."""
+        one = decode(disguised, self.model)
+        if not any(c in SEPARATORS for c in disguised):
+            return (one,)
+        return (one, *decode(disguised, self.model, breaks=True).split())
+
+    def token(self, raw: str) -> tuple[str, ...]:
         got = self.known.get(raw)
         if got is None:
-            if len(self.known) > REMEMBERED:
-                self.known = {}
             core = raw.strip(_EDGE)
-            # A whole token of more than 64 characters is no disguised word.
-            got = decode(core, self.model) if len(core) <= 64 and suspicious(core) else core
-            self.known[raw] = got
+            got = self.read(core) if suspicious(core) else (core,)
+            if len(raw) <= SHORT:  # a longer one is read anew each time
+                if len(self.known) > REMEMBERED:
+                    self.known = {}
+                self.known[raw] = got
         return got
 
     def words(self, text: str) -> set[str]:
         low = text.lower()
-        out = {self.token(t) for t in set(low.split())}
+        out = {w for t in set(low.split()) for w in self.token(t)}
         for m in _SPACED.finditer(low):
-            if len(m[0]) <= 128:
-                out.add(decode(m[0], self.model))
+            out.update(self.read(m[0]))
         out.discard("")
         return out
 

@@ -226,6 +226,20 @@ def test_viterbi_is_the_cheapest_reading():
         assert min(cost(t, c) for t, c in every) == pytest.approx(min(cost(t, c) for t, c in every if t == got))
 
 
+def test_disguises_of_any_length():
+    rng = random.Random(6)
+    pool = [w for w in words(rng, 60).split() if len(w) > 3]
+    model = toxicity.CharModel({**{w: 50 for w in pool}, "scoundrel": 50, "villain": 50})
+    tool = toxicity.Restorer(model)
+    assert "scoundrel" in tool.words("sc" + "o" * 90 + "undrel")
+    assert "scoundrel" in tool.words(" ".join("scoundrel" if i == 20 else pool[i] for i in range(30)).replace("o", "0"))
+    assert {"scoundrel", "villain"} <= tool.words("~".join([*pool[:12], "scoundrel", *pool[12:20], "villain"]))
+    spaced = " ".join("".join([*pool[:25], "scoundrel"]))
+    assert len(spaced) > 128 and "scoundrel" in tool.words(spaced)
+    assert {"villain", "scoundrel"} <= tool.words(" ".join("villainscoundrel"))
+    assert toxicity.decode("a0" * 20000, model)
+
+
 def test_sharding(spark):
     owner = sharding.fill([f"shard-{i}" for i in range(7)], 101)
     sizes = collections.Counter(owner)
