@@ -1,11 +1,12 @@
 """Personal data: pattern spans, and terms that the corpus shows to reveal them.
 
 Base spans are the leftmost non-overlapping matches of four patterns. An *entity* is one such value
-(e-mail addresses without case, numbers by their digits); a *term* is a word of at least four
-letters within ``REACH`` characters of it. Over the corpus, IC(e) = -log2 p(e) is what an entity is
+(e-mail addresses without case, numbers by their digits); a *term* is a word of three letters or
+more, or a shorter one with a capital, anywhere in a document with it. Over the corpus, IC(e) = -log2 p(e) is what an entity is
 worth and PMI(e, t) = log2 p(e, t) / (p(e) p(t)) is what a term tells of it, with p over documents.
 A term seen with an entity in ``SUPPORT`` documents or more whose PMI is at least ``SHARE`` of IC
-discloses the entity: its occurrences beside the entity become spans of kind ``term``.
+discloses the entity: all its occurrences in the documents that hold the entity become spans of
+kind ``term``, but for those inside base spans.
 ``sanitise`` replaces spans by their kind.
 
 Everything is DataFrame operations. The patterns are written with possessive quantifiers and
@@ -34,7 +35,8 @@ PATTERNS = {
 }
 #: A text without this has no match of the kind.
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-REACH, SUPPORT, SHARE = 64, 5, 0.9
+SUPPORT, SHARE = 5, 0.9
+_WORD = r"(?<!\p{L})(?:\p{L}{3,}+|\p{Lu}\p{L}?+)(?!\p{L})"
 SPAN = "array<struct<s:long,k:int,e:long,v:string>>"
 
 
@@ -93,42 +95,39 @@ def entity(span: Column) -> Column:
     return F.when(span["k"] == 0, email).when(span["k"] == 1, F.concat(F.lit("ip:"), span["v"])).otherwise(F.concat(F.when(span["k"] == 2, F.lit("card:")).otherwise(F.lit("phone:")), F.regexp_replace(span["v"], "[^0-9]", "")))
 
 
-def context(text: Column, spans: Column, size: Column) -> Column:
-    """Terms beside each span as structs (entity, term, s, e); words cut by the reach or inside a span do not count."""
-
-    def near(x: Column) -> Column:
-        left = F.greatest(x["s"] - REACH, F.lit(0))
-        right = F.least(x["e"] + REACH, size)
-        cut = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
-        words = F.concat(found(cut(left, x["s"]), r"\p{L}{4,}+", 4, left), found(cut(x["e"], right), r"\p{L}{4,}+", 4, x["e"]))
-        whole = lambda w: ((w["s"] > left) | (left == 0)) & ((w["e"] < right) | (right == size))
-        words = F.filter(words, lambda w: whole(w) & ~F.exists(spans, lambda y: (y["s"] < w["e"]) & (y["e"] > w["s"])))
-        return F.transform(words, lambda w: F.struct(entity(x).alias("entity"), F.lower(w["v"]).alias("term"), w["s"].alias("s"), w["e"].alias("e")))
-
-    return F.flatten(F.transform(spans, near))
+def terms(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), base spans and their context, one row per row."""
+    """doc_id, th (hash of the text), base spans and, where there are any, the text, one row per row."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("th"), "text", base_spans(F.col("text")).alias("base"))
-    return rows.select("doc_id", "th", "base", F.when(F.size("base") > 0, context(F.col("text"), F.col("base"), F.length("text"))).alias("context"))
-
-
-def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """(entity, term) pairs above the disclosure threshold; ``near`` has (doc_id, th, entity, term) rows."""
-    seen = table(near.select("doc_id", "th", "entity", "term").distinct(), "seen")
-    both = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
-    each = seen.select("doc_id", "th", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    text = F.lower(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\p{L}{4,}+"), F.lit(0)))).alias("term"))
-    terms = both.select("term").distinct()
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term", "left_semi")
+    return rows.select("doc_id", "th", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"))
+
+
+def disclosing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+    """doc_id, th, term: the terms to hide in each document of ``scanned``."""
+    held = scanned.where(F.size("base") > 0).dropDuplicates(["doc_id", "th"])
+    entities = table(held.select("doc_id", "th", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")), "entities")
+    each = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
+    words = docs.select(F.explode(terms(F.coalesce(docs["text"].cast("string"), F.lit("")))).alias("term"))
+    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = F.lit(docs.select("doc_id").count())
-    rows = both.join(each, "entity").join(counts, "term")
     worth = F.log2(total / F.col("n_entity"))
-    told = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
-    return rows.where((worth > 0) & (told >= F.lit(share) * worth)).select("entity", "term")
+    told = lambda both: F.log2(both * total / (F.col("n_entity") * F.col("n_term")))
+    # With both = n_entity, the most there can be, common words fall out before pairs are counted.
+    tops = each.agg(F.max(F.pow("n_entity", F.lit(share)) * F.pow(total, F.lit(1 - share))).alias("most"))
+    counts = counts.crossJoin(F.broadcast(tops)).where(F.col("n_term") <= F.col("most") * 1.001).drop("most")
+    there = held.select("doc_id", "th", F.explode(terms(F.col("text"))).alias("term")).join(counts, "term")
+    there = there.select(F.col("doc_id").alias("t_id"), F.col("th").alias("t_th"), "term", "n_term")
+    held_by = entities.join(each, "entity")
+    pairs = held_by.join(there, held_by["doc_id"].eqNullSafe(there["t_id"]) & (held_by["th"] == there["t_th"])).drop("t_id", "t_th")
+    pairs = table(pairs.where((worth > 0) & (told(F.col("n_entity")) >= F.lit(share) * worth)), "pairs")
+    good = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
+    good = good.where(told(F.col("n_both")) >= F.lit(share) * worth).select("entity", "term")
+    return pairs.join(good, ["entity", "term"], "left_semi").select("doc_id", "th", "term").distinct()
 
 
 def _joined(spans: Column) -> Column:
@@ -140,14 +139,11 @@ def _joined(spans: Column) -> Column:
 def all_spans(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """doc_id, th, base and spans (base and terms), one row per row of ``docs``."""
     scanned = table(scan(docs), "scanned")
-    near = scanned.where(F.size("context") > 0).select("doc_id", "th", F.explode("context").alias("x")).select("doc_id", "th", "x.*")
-    near = table(near.distinct(), "near")
-    pairs = table(disclosing(docs, near, support, share), "disclosing")
-    hit = near.join(pairs, ["entity", "term"], "left_semi")
-    terms = hit.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", F.lit(len(KINDS)).alias("k"), "e", F.col("term").alias("v"))).cast(SPAN).alias("terms"))
-    terms = terms.select(F.col("doc_id").alias("t_id"), F.col("th").alias("t_th"), "terms")
-    on = scanned["doc_id"].eqNullSafe(terms["t_id"]) & (scanned["th"] == terms["t_th"])
-    out = scanned.join(terms, on, "left")
+    hide = disclosing(docs, scanned, support, share).groupBy("doc_id", "th").agg(F.collect_set("term").alias("hide"))
+    hide = hide.select(F.col("doc_id").alias("t_id"), F.col("th").alias("t_th"), "hide")
+    on = scanned["doc_id"].eqNullSafe(hide["t_id"]) & (scanned["th"] == hide["t_th"])
+    words = F.filter(found(F.col("text"), _WORD, len(KINDS)), lambda w: F.array_contains("hide", F.lower(w["v"])) & ~F.exists("base", lambda y: (y["s"] < w["e"]) & (y["e"] > w["s"])))
+    out = scanned.join(hide, on, "left").withColumn("terms", F.when(F.col("hide").isNotNull(), words))
     return out.select("doc_id", "th", "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(SPAN))))).alias("spans"))
 
 
