@@ -6,8 +6,8 @@ a word into pieces. A text's score is the sum of its words' log probabilities, e
 over all segmentations, and the posterior over languages follows from it.
 
 The counts come from a bounded sample of labelled rows (``SAMPLE`` rows, then the ``WORDS`` most
-frequent words of a language); every text is scored whole. Words longer than ``SPAN`` characters
-are scored as consecutive spans.
+frequent words of a language); every text is scored whole. The sums of words longer than ``SPAN``
+characters are taken over logarithms, as their probabilities are too small for floats.
 
 Defined cases: a null text or one without a letter gives ``und`` and score 0; without any labelled
 row every text is ``und``; ties go to the language that sorts first; repeated rows give repeated
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from spliceflow.llm.common import hash_unit, sample_rate
 
 SAMPLE, WORDS, ROUNDS = 6000, 6000, 3
-LONGEST, SPAN = 6, 32
+LONGEST, SPAN = 16, 32
 REMEMBERED = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 _state: dict[str, object] = {}
@@ -41,49 +42,83 @@ def pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    kept = {n for n in names if 0 < len(n) <= LONGEST and n.lstrip("▁").isalpha()} | {"▁"}
+    kept = {n for n in names if n.lstrip("▁").isalpha()} | {"▁"}
+    if max(map(len, kept)) > LONGEST:
+        raise ValueError(f"pieces of more than {LONGEST} characters")
     return sorted(kept)
 
 
-def spans(word: str) -> list[str]:
-    """The word with its start mark, cut into spans of bounded length."""
-    w = "▁" + word
-    return [w[i : i + SPAN] for i in range(0, len(w), SPAN)]
+def beginnings(number: dict[str, int]) -> dict[str, int]:
+    """Piece numbers by piece, and -1 by the beginnings of pieces that are no pieces."""
+    out = {n[:k]: -1 for n in number for k in range(1, len(n))}
+    return out | number
 
 
 class Lattice:
-    """Piece numbers of all substrings of spans of equal length: ids[w, end, length - 1]; -1: no piece."""
-
-    def __init__(self, words: list[str], number: dict[str, int], unknown: int):
-        n = len(words[0])
-        self.n = n
-        get = number.get
-        flat = [
-            get(w[e - k : e], unknown if k == 1 else -1) if k <= e else -1 for w in words for e in range(1, n + 1) for k in range(1, LONGEST + 1)
-        ]
-        self.ids = np.array(flat, np.int32).reshape(len(words), n, LONGEST)
+    """The pieces in words of equal length: row, end, length and piece number of each, sorted by end, then length."""
+
+    def __init__(self, words: list[str], number: dict[str, int], unknown: int, walk: dict[str, int] | None = None):
+        n = self.n = len(words[0])
+        walk = beginnings(number) if walk is None else walk
+        get = walk.get
+        flat = array("i")
+        for row, w in enumerate(words):
+            for s in range(n):
+                i = get(w[s])
+                flat.extend((row, s + 1, 1, unknown if i is None or i < 0 else i))
+                k = 2
+                while i is not None and s + k <= n:
+                    i = get(w[s : s + k])
+                    if i is not None and i >= 0:
+                        flat.extend((row, s + k, k, i))
+                    k += 1
+        found = np.frombuffer(flat, np.int32).reshape(-1, 4)
+        place = found[:, 1].astype(np.int64) * (LONGEST + 1) + found[:, 2]
+        order = np.argsort(place, kind="stable")
+        self.rows, self.ids, place = found[order, 0], found[order, 3], place[order]
+        self.size = len(words)
+        starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        ends = np.r_[starts[1:], len(place)]
+        self.cells = [(*divmod(c, LONGEST + 1), a, b) for c, a, b in zip(place[starts].tolist(), starts.tolist(), ends.tolist())]
 
     def probability(self, p: np.ndarray) -> np.ndarray:
-        """p: (pieces + 1, languages), last row zero. Gives (words, end, length, languages)."""
+        """p: (pieces + 2, languages). Gives (found pieces, languages)."""
         return p[self.ids]
 
-    def forward(self, q: np.ndarray) -> np.ndarray:
-        a = np.zeros((q.shape[0], self.n + 1, q.shape[3]))
-        a[:, 0] = 1.0
-        for e in range(1, self.n + 1):
-            for k in range(1, min(e, LONGEST) + 1):
-                a[:, e] += a[:, e - k] * q[:, e - 1, k - 1]
+    def _sums(self, q: np.ndarray, first: int, log: bool) -> np.ndarray:
+        out = np.full((self.size, self.n + 1, q.shape[1]), -np.inf if log else 0.0)
+        out[:, first] = 0.0 if log else 1.0
+        return out
+
+    def forward(self, q: np.ndarray, log: bool = False) -> np.ndarray:
+        """Sums over all ways to cut each beginning; with ``log`` q and the sums are logarithms."""
+        a = self._sums(q, 0, log)
+        for e, k, x, y in self.cells:
+            r = self.rows[x:y]
+            if log:
+                a[r, e] = np.logaddexp(a[r, e], a[r, e - k] + q[x:y])
+            else:
+                a[r, e] += a[r, e - k] * q[x:y]
         return a
 
-    def backward(self, q: np.ndarray) -> np.ndarray:
-        b = np.zeros((q.shape[0], self.n + 1, q.shape[3]))
-        b[:, self.n] = 1.0
-        for s in range(self.n - 1, -1, -1):
-            for k in range(1, min(self.n - s, LONGEST) + 1):
-                b[:, s] += b[:, s + k] * q[:, s + k - 1, k - 1]
+    def backward(self, q: np.ndarray, log: bool = False) -> np.ndarray:
+        b = self._sums(q, self.n, log)
+        for e, k, x, y in reversed(self.cells):
+            r = self.rows[x:y]
+            if log:
+                b[r, e - k] = np.logaddexp(b[r, e - k], b[r, e] + q[x:y])
+            else:
+                b[r, e - k] += b[r, e] * q[x:y]
         return b
 
 
+def batches(words: list[str]) -> Iterator[list[int]]:
+    """Places of words of equal length, some 64,000 letters at a time."""
+    for n, at in by_length(words).items():
+        step = max(1, min(2000, 64000 // n))
+        yield from (at[x : x + step] for x in range(0, len(at), step))
+
+
 def by_length(words: list[str]) -> dict[int, list[int]]:
     out: dict[int, list[int]] = defaultdict(list)
     for i, w in enumerate(words):
@@ -100,24 +135,27 @@ def fit(counts: list[tuple[str, str, int]], names: list[str], rounds: int = ROUN
     p[: unknown + 1] = 1.0 / (unknown + 1)
     weight: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
     for lang, word, n in counts:
-        for s in spans(word):
-            weight[s][langs.index(lang)] += n
+        weight["▁" + word][langs.index(lang)] += n
     words = list(weight)
     w = np.array([weight[x] for x in words]).reshape(len(words), len(langs))
-    lattices = [(Lattice([words[i] for i in at[x : x + 2000]], number, unknown), np.array(at[x : x + 2000])) for at in by_length(words).values() for x in range(0, len(at), 2000)]
+    walk = beginnings(number)
+    lattices = [(Lattice([words[i] for i in at], number, unknown, walk), np.array(at)) for at in batches(words)]
     for _ in range(rounds):
         expected = np.full(p.shape, 0.02)
         expected[-1] = 0
         for lat, at in lattices:
+            log = lat.n > SPAN
             q = lat.probability(p)
-            a, b = lat.forward(q), lat.backward(q)
-            z = np.maximum(a[:, lat.n], 1e-300)
-            for e in range(1, lat.n + 1):
-                for k in range(1, min(e, LONGEST) + 1):
-                    ids = lat.ids[:, e - 1, k - 1]
-                    r = a[:, e - k] * q[:, e - 1, k - 1] * b[:, e] / z * w[at]
-                    for lang in range(len(langs)):
-                        expected[:, lang] += np.bincount(np.where(ids < 0, len(p) - 1, ids), weights=r[:, lang], minlength=len(p))
+            q = np.log(q) if log else q
+            a, b = lat.forward(q, log), lat.backward(q, log)
+            z = a[:, lat.n]
+            for e, k, x, y in lat.cells:
+                r = lat.rows[x:y]
+                if log:
+                    share = np.exp(a[r, e - k] + q[x:y] + b[r, e] - z[r])
+                else:
+                    share = a[r, e - k] * q[x:y] * b[r, e] / np.maximum(z[r], 1e-300)
+                np.add.at(expected, lat.ids[x:y], share * w[at[r]])
         expected[-1] = 0
         p = expected / expected.sum(0)
     return langs, number, p
@@ -126,22 +164,22 @@ def fit(counts: list[tuple[str, str, int]], names: list[str], rounds: int = ROUN
 class Scorer:
     def __init__(self, langs: list[str], number: dict[str, int], p: np.ndarray):
         self.langs, self.number, self.p = langs, number, p
+        self.walk = beginnings(number)
         self.known: dict[str, np.ndarray] = {}
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBERED:
             self.known = {}
         new = [w for w in words if w not in self.known]
-        parts = [(i, s) for i, w in enumerate(new) for s in spans(w)]
         total = np.zeros((len(new), len(self.langs)))
-        texts = [s for _, s in parts]
-        owner = np.array([i for i, _ in parts], np.int64)
-        for at in by_length(texts).values():
-            for x in range(0, len(at), 2000):
-                some = at[x : x + 2000]
-                lat = Lattice([texts[i] for i in some], self.number, len(self.number))
-                got = lat.forward(lat.probability(self.p))[:, lat.n]
-                np.add.at(total, owner[some], np.log(np.maximum(got, 1e-290)))
+        texts = ["▁" + w for w in new]
+        for at in batches(texts):
+            lat = Lattice([texts[i] for i in at], self.number, len(self.number), self.walk)
+            q = lat.probability(self.p)
+            if lat.n > SPAN:
+                total[at] = lat.forward(np.log(q), log=True)[:, lat.n]
+            else:
+                total[at] = np.log(np.maximum(lat.forward(q)[:, lat.n], 1e-290))
         self.known.update(zip(new, total))
 
     def text(self, words: Counter) -> tuple[str, float]:
