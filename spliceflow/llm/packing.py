@@ -1,9 +1,8 @@
 """Packing documents into token-budget batches behind optimal length buckets.
 
 A global histogram of lengths feeds a dynamic programme that chooses at most ``buckets`` boundaries
-so that the tokens of padding, each document padded to its bucket's boundary, are least. Lengths
-are exact up to ``EXACT`` and in steps of 1/64 beyond, so the histogram has a bounded number of
-bins. Batches of at most ``budget`` tokens (a longer document is a batch alone) form inside each
+so that the tokens of padding, each document padded to its bucket's boundary, are least. The
+histogram holds every distinct length, so the longest text bounds it. Batches of at most ``budget`` tokens (a longer document is a batch alone) form inside each
 bucket. Numbering is two-level: rows are numbered inside hash chunks of bounded size, and chunk
 totals are summed up, so that no bucket gathers in one task.
 
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from spliceflow.llm.common import id_text, table
 
-BUCKETS, BUDGET, EXACT, CHUNK = 16, 65536, 1024, 4096
+BUCKETS, BUDGET, CHUNK = 16, 65536, 4096
 
 
 def word_count(text: Column) -> Column:
@@ -29,12 +28,6 @@ def word_count(text: Column) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def bin_top(length: Column) -> Column:
-    """The largest length of a length's histogram bin."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 6)
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / step) * step).cast("long")
-
-
 def boundaries(bins: list[tuple[int, int, int]], buckets: int) -> list[int]:
     """Upper boundaries of least padding from (top, documents, tokens), by dynamic programming."""
     bins = sorted(bins)
@@ -49,10 +42,18 @@ def boundaries(bins: list[tuple[int, int, int]], buckets: int) -> list[int]:
     for _ in range(min(buckets, n)):
         now, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
         now[0] = 0.0
-        for j in range(1, n + 1):
-            cost = best[:j] + top[j - 1] * (docs[j] - docs[:j]) - (tokens[j] - tokens[:j])
-            cut[j] = int(np.argmin(cost))
-            now[j] = cost[cut[j]]
+        # The best cut never moves back as j grows: the middle one bounds those on either side.
+        todo = [(1, n, 0, n - 1)]
+        while todo:
+            a, b, low, high = todo.pop()
+            if a > b:
+                continue
+            j = (a + b) // 2
+            at = slice(low, min(j - 1, high) + 1)
+            cost = best[at] + top[j - 1] * (docs[j] - docs[at]) - (tokens[j] - tokens[at])
+            cut[j] = low + int(np.argmin(cost))
+            now[j] = cost[cut[j] - low]
+            todo += [(a, j - 1, low, int(cut[j])), (j + 1, b, int(cut[j]), high)]
         best = now
         cuts.append(cut)
     out, j = [], n
@@ -67,8 +68,8 @@ def boundaries(bins: list[tuple[int, int, int]], buckets: int) -> list[int]:
 def pack(rows: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """``rows``: doc_id, n_tokens. Adds bucket int, padded_len long, batch_id long, slot long."""
     rows = table(rows.select("doc_id", "n_tokens"), "lengths")
-    bins = rows.groupBy(bin_top(F.col("n_tokens")).alias("top")).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens")).collect()
-    tops = boundaries([(r["top"], r["docs"], r["tokens"]) for r in bins], buckets) or [0]
+    bins = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")).collect()
+    tops = boundaries([(r["n_tokens"], r["docs"], r["n_tokens"] * r["docs"]) for r in bins], buckets) or [0]
     total = sum(r["docs"] for r in bins)
     chunks = max(1, -(-total // CHUNK))
     edge, number = F.lit(tops[-1]), F.lit(len(tops) - 1)
