@@ -5,7 +5,7 @@ expectation-maximisation over word counts, where a forward-backward pass sums ov
 a word into pieces. A text's score is the sum of its words' log probabilities, each the forward sum
 over all segmentations, and the posterior over languages follows from it.
 
-The counts come from a bounded sample of labelled rows (``SAMPLE`` rows, then the ``WORDS`` most
+The counts come from a bounded sample of labelled rows (``SAMPLE`` of each language, then the ``WORDS`` most
 frequent words of a language); every text is scored whole. The sums of words longer than ``SPAN``
 characters are taken over logarithms, as their probabilities are too small for floats.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceflow.llm.common import hash_unit, sample_rate
+from spliceflow.llm.common import hash_unit
 
 SAMPLE, WORDS, ROUNDS = 6000, 6000, 3
 LONGEST, SPAN = 16, 32
@@ -193,10 +193,10 @@ class Scorer:
 
 
 def train(docs: DataFrame, train_rows: Column, path: str, sample: int = SAMPLE, words: int = WORDS) -> tuple[list[str], dict[str, int], np.ndarray]:
-    """Fit on a bounded hash sample of the rows that ``train_rows`` admits."""
+    """Fit on a bounded hash sample of each language's rows that ``train_rows`` admits."""
     rows = docs.where(train_rows & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    have = rows.select("doc_id").count()
-    some = rows.where(hash_unit(F.col("doc_id")) < sample_rate(have, sample))
+    have = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("have"))  # one row a language
+    some = rows.join(F.broadcast(have), "lang").where(hash_unit(F.col("doc_id")) < F.lit(sample) / F.col("have"))
     found = some.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word")).groupBy("lang", "word").count()
     # Each of 64 parts of a language's words gives its most frequent ones; the best of those are the best of all.
     by = lambda *keys: F.row_number().over(Window.partitionBy("lang", *keys).orderBy(F.desc("count"), "word"))

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spliceflow.llm import bpe, langid
 
@@ -41,3 +42,12 @@ def test_fit_same_over_logarithms(monkeypatch):
     plain = langid.fit(counts, names)[2]
     monkeypatch.setattr(langid, "SPAN", 0)
     assert np.allclose(plain, langid.fit(counts, names)[2])
+
+
+def test_rare_language_is_learned(spark):
+    rows = [(i, "bakoti koba tiba", "aa") for i in range(3000)] + [(9000 + i, "schung ersch", "zz") for i in range(3)] + [(None, "bakoti", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True), bpe.vocabulary("piece_bpe_32k.model"), sample=20)
+    assert model[0] == ["aa", "zz"]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert all(got[9000 + i] == "zz" for i in range(3)) and got[0] == "aa"
