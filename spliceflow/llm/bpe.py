@@ -1,10 +1,24 @@
-"""BPE encoding and decoding with tree concatenation for long unsplit text.
-
-Blanks, tabs and line ends always separate words in this vocabulary's pre-tokeniser, so a text is
-the concatenation of its blank-separated chunks and a chunk's tokens are remembered. A chunk longer
-than ``LEAF`` characters has no such place: its leaves are encoded in parallel and joined pairwise
-up a tree; at each join a growing window around the seam is encoded again until its tokens agree
-with the left side before the window's core and with the right side behind it.
+"""BPE encoding and decoding by tree concatenation.
+
+Every text is cut in halves, and these again, down to leaves of at most ``LEAF`` characters, wherever
+the middle falls. The leaves of many texts are encoded together; then neighbours are joined pairwise
+up the tree, all joins of one level together. A join encodes a window around its seam again: the
+word that the seam cuts and ``reach`` words on either side. It stands when the window's ids begin
+with those the left side has for its words there and end with those the right side has; else the
+reach doubles until they agree or the window is all of a side. Blanks separate words before merging,
+so words whose ids agree on both sides of the cut one make the rest of either side independent of
+the seam.
+
+A word longer than ``LEAF`` offers no such place. Its leaves carry tokens, and the windows are
+counted in characters: a join stands when the window and the side share one whole token on either
+side of the seam. Each pair of adjacent tokens of the result then stands side by side in one of the
+three encodings, and a sequence whose adjacent pairs all encode to themselves is the encoding of its
+text, as the first merge across a boundary would show in that pair already. That argument needs one
+class of characters throughout, so a word of mixed classes also needs the shared token to end a
+pre-token.
+
+A leaf's words are remembered with their ids, as the library does in its own cache, so equal words
+are merged once a worker; at most ``REMEMBERED`` characters of words are held.
 
 Defined cases: a null text is the empty text (no ids); rows with a null doc_id stay; repeated rows
 give repeated results; an empty table gives an empty result; other columns are not read.
@@ -21,12 +35,12 @@ from pyspark.sql import DataFrame
 
 from spliceflow.llm.common import id_text
 
-LEAF = 4096
-#: Remembered chunks a worker; all are forgotten beyond it.
-REMEMBERED = 500_000
-_TAIL = ".,!?;:"
+LEAF, REACH = 1024, 1
+#: Characters of remembered words a worker; all are forgotten beyond it. Words beyond ``LONG`` characters are not remembered.
+REMEMBERED, LONG = 4_000_000, 64
+WORD_END = "</w>"
 Token = tuple[int, int, int]
-_state: dict[str, tuple] = {}
+_state: dict[str, "Encoder"] = {}
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -44,107 +58,183 @@ def load(path: str):
     return t
 
 
-def _tokens(encoding, shift: int) -> list[Token]:
-    return [(i, a + shift, b + shift) for i, (a, b) in zip(encoding.ids, encoding.offsets)]
-
-
-def _clean(tokens: list[Token], k: int) -> bool:
-    """No character is split between tokens k-1 and k."""
-    return k <= 0 or k >= len(tokens) or tokens[k][1] >= tokens[k - 1][2]
-
-
-def join(tokenizer, text: str, left: list[Token], right: list[Token], start: int, seam: int, end: int) -> list[Token]:
-    """Tokens of text[start:end] from those of text[start:seam] and text[seam:end]."""
-    reach = 32
-    while True:
-        i = len(left)
-        while i > 0 and (left[i - 1][1] > seam - reach or not _clean(left, i)):
-            i -= 1
-        h = i
-        while h > 0 and (i - h < reach or not _clean(left, h)):
-            h -= 1
-        j = 0
-        while j < len(right) and (right[j][1] < seam + reach or not _clean(right, j)):
-            j += 1
-        k = j
-        while k < len(right) and (k - j < reach or not _clean(right, k)):
-            k += 1
-        a = left[h][1] if 0 < h < len(left) else start
-        b = right[k][1] if k < len(right) else end
-        if a == start:
-            h = 0
-        again = _tokens(tokenizer.encode(text[a:b], add_special_tokens=False), a)
-        if a == start and b == end:
-            return again
-        # The left side must agree up to token i, the right side from token j on for half the margin.
-        head_ok = a == start or again[: i - h] == left[h:i]
-        if head_ok and b == end:
-            return left[:h] + again
-        if head_ok:
-            sure = right[j : j + (k - j) // 2]
-            at = next((x for x, t in enumerate(again) if sure and t == sure[0]), None)
-            if at is not None and again[at : at + len(sure)] == sure:
-                return left[:h] + again[:at] + right[j:]
-        reach *= 2
-
-
-def encode_unsplit(tokenizer, text: str, leaf: int = LEAF) -> list[int]:
-    """Ids of a text that offers no place to split."""
-    if len(text) <= leaf:
-        return tokenizer.encode(text, add_special_tokens=False).ids
-    cuts = list(range(0, len(text), leaf)) + [len(text)]
-    os.environ["TOKENIZERS_PARALLELISM"] = "true"
-    made = tokenizer.encode_batch([text[a:b] for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    level = [(a, b, _tokens(e, a)) for a, b, e in zip(cuts, cuts[1:], made)]
-    while len(level) > 1:
-        level = [
-            (pair[0][0], pair[1][1], join(tokenizer, text, pair[0][2], pair[1][2], pair[0][0], pair[1][0], pair[1][1])) if len(pair) == 2 else pair[0]
-            for pair in (level[x : x + 2] for x in range(0, len(level), 2))
-        ]
-    return [t[0] for t in level[0][2]]
-
-
-def chunks(text: str) -> list[str]:
-    return [c for c in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if c]
+class Part:
+    """The encoding of text[start:end]: ids and tokens of each blank-separated word, as joined strings.
+
+    ``head`` and ``tail`` hold the bounds and tokens of a first or last word that spans several leaves.
+    """
+
+    __slots__ = ("start", "end", "ids", "names", "head", "tail")
+
+    def __init__(self, start: int, end: int, ids: list[str], names: list[str], head: tuple | None = None, tail: tuple | None = None):
+        self.start, self.end, self.ids, self.names, self.head, self.tail = start, end, ids, names, head, tail
+
+
+def _back(text: str, start: int, end: int, words: int) -> int:
+    """Where the last ``words`` words of text[start:end] begin."""
+    at = end
+    for _ in range(words):
+        while at > start and text[at - 1] == " ":
+            at -= 1
+        at = text.rfind(" ", start, at) + 1 or start
+    return at
+
+
+def _ahead(text: str, start: int, end: int, words: int) -> int:
+    """Where the first ``words`` words of text[start:end] end."""
+    at = start
+    for _ in range(words):
+        while at < end and text[at] == " ":
+            at += 1
+        at = text.find(" ", at, end)
+        if at < 0:
+            return end
+    return at
 
 
 class Encoder:
-    def __init__(self, path: str, leaf: int = LEAF):
-        self.tokenizer, self.leaf = load(path), leaf
-        self.known, self.pieces = {}, {}
+    def __init__(self, path: str, leaf: int = LEAF, reach: int = REACH):
+        self.tokenizer, self.leaf, self.reach = load(path), leaf, reach
+        self.ids: dict[str, str] = {}
+        self.names: dict[str, str] = {}
+        self.held = 0
+        #: Ids of tokens that end a pre-token.
+        self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith(WORD_END)}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
-    @staticmethod
-    def parts(c: str) -> list[str]:
-        """A chunk of letters before end marks is those two; ASCII letters in any case are one word."""
-        word = c.rstrip(_TAIL)
-        if not word.isalpha():
-            return [c]
-        return [word.lower() if word.isascii() else word, *([c[len(word) :]] if len(word) < len(c) else [])]
-
-    def learn(self, texts: list[list[str]]) -> None:
-        if len(self.known) > REMEMBERED or len(self.pieces) > REMEMBERED:
-            self.known, self.pieces = {}, {}
-        known, pieces = self.known, self.pieces
-        new = [(c, self.parts(c)) for c in set().union(*texts) if c not in known and len(c) <= self.leaf]
-        todo = list({p for _, ps in new for p in ps if p not in pieces})
-        for p, e in zip(todo, self.tokenizer.encode_batch(todo, add_special_tokens=False)):
-            pieces[p] = (len(e.ids), " ".join(map(str, e.ids)), " ".join(e.tokens))
-        for c, ps in new:
-            known[c] = pieces[ps[0]] if len(ps) == 1 else tuple(a + b if isinstance(a, int) else f"{a} {b}" for a, b in zip(pieces[ps[0]], pieces[ps[1]]))
-
-    def chunk(self, c: str) -> tuple[int, str, str]:
-        got = self.known.get(c)
-        if got is None:
-            ids = encode_unsplit(self.tokenizer, c, self.leaf)
-            got = len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False)
-        return got
-
-    def text(self, parts: list[str]) -> tuple[int, str, str]:
-        """Number of ids, the ids joined by a blank, the decoded text."""
-        got = [g for g in map(self.chunk, parts) if g[0]]
-        return sum(g[0] for g in got), " ".join(g[1] for g in got), " ".join(g[2] for g in got)
+    def _encode(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch(texts, add_special_tokens=False)
+
+    def learn(self, words: set[str]) -> None:
+        """Encode unknown words, many in one call; the tokens' places tell whose they are."""
+        if self.held > REMEMBERED:
+            self.ids, self.names, self.held = {}, {}, 0
+        new = [w for w in words if w not in self.ids]
+        if not new:
+            return
+        made = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        ids, names, places = made.ids, made.tokens, made.offsets
+        k, at, n = 0, 0, len(ids)
+        for w in new:
+            at += len(w) + 1
+            first = k
+            while k < n and places[k][0] < at:
+                k += 1
+            self.ids[w] = " ".join(map(str, ids[first:k]))
+            self.names[w] = " ".join(names[first:k])
+            self.held += len(w)
+
+    def leaves(self, start: int, end: int) -> list[tuple[int, int]]:
+        """Halves of halves, down to the leaf size."""
+        if end - start <= self.leaf:
+            return [(start, end)]
+        middle = (start + end) // 2
+        return self.leaves(start, middle) + self.leaves(middle, end)
+
+    def many(self, texts: list[str]) -> list[tuple[int, str, str, int]]:
+        """For each text the number of ids, the ids joined by blanks, the decoded text and the number of joins."""
+        texts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
+        cut = [self.leaves(0, len(t)) for t in texts]
+        words = [[t[a:b].split(" ") for a, b in c] for t, c in zip(texts, cut)]
+        short = {w for leaf in words for ws in leaf for w in ws}
+        long = {w for w in short if len(w) > LONG}
+        self.learn(short - long - {""})
+        rare = list(long)
+        apart = {w: (" ".join(map(str, e.ids)), " ".join(e.tokens)) for w, e in zip(rare, self._encode(rare))}
+        ids, names = self.ids, self.names
+        level: list[list[Part]] = []
+        for c, leaf in zip(cut, words):
+            row = []
+            for (a, b), ws in zip(c, leaf):
+                ws = [w for w in ws if w]
+                if long and not long.isdisjoint(ws):
+                    row.append(Part(a, b, [apart[w][0] if w in apart else ids[w] for w in ws], [apart[w][1] if w in apart else names[w] for w in ws]))
+                else:
+                    row.append(Part(a, b, list(map(ids.__getitem__, ws)), list(map(names.__getitem__, ws))))
+            level.append(row)
+        seams = [len(row) - 1 for row in level]
+        while any(len(row) > 1 for row in level):
+            pairs = [(i, k) for i, row in enumerate(level) for k in range(0, len(row) - 1, 2)]
+            joined = self.join([(texts[i], level[i][k], level[i][k + 1]) for i, k in pairs])
+            after: list[list[Part]] = [[] for _ in level]
+            for (i, _), part in zip(pairs, joined):
+                after[i].append(part)
+            for i, row in enumerate(level):
+                if len(row) % 2:
+                    after[i].append(row[-1])
+            level = after
+        out = []
+        for row, n in zip(level, seams):
+            got = " ".join(filter(None, row[0].ids))
+            out.append((got.count(" ") + 1 if got else 0, got, " ".join(filter(None, row[0].names)), n))
+        return out
+
+    def join(self, pairs: list[tuple[str, Part, Part]]) -> list[Part]:
+        """The joins of one level. Words left and right of a window agree, or the window grows."""
+        out: list[Part | None] = [None] * len(pairs)
+        todo, places = [], []
+        for k, (text, a, b) in enumerate(pairs):
+            cut = text[a.end - 1] != " " and text[b.start] != " "
+            if cut and _ahead(text, b.start, b.end, 1) - _back(text, a.start, a.end, 1) > 4 * self.leaf:
+                out[k] = self._join_long(text, a, b)
+            else:
+                todo.append((k, cut, self.reach))
+        while todo:
+            places = [(_back(pairs[k][0], pairs[k][1].start, pairs[k][1].end, reach + cut), _ahead(pairs[k][0], pairs[k][2].start, pairs[k][2].end, reach + cut)) for k, cut, reach in todo]
+            made = self._encode([pairs[k][0][h:p] for (k, _, _), (h, p) in zip(todo, places)])
+            again = []
+            for (k, cut, reach), (h, p), got in zip(todo, places, made):
+                _, a, b = pairs[k]
+                stop = len(a.ids) - cut
+                # The words beside the seam's own, which a side and the window both hold.
+                left = " ".join(filter(None, a.ids[max(0, stop - reach) : stop])).split()
+                right = " ".join(filter(None, b.ids[cut : cut + reach])).split()
+                ids, end = list(map(str, got.ids)), len(got.ids) - len(right)
+                if len(left) <= end and ids[: len(left)] == left and ids[end:] == right and (cut or len(left) == end):
+                    mid = ([" ".join(ids[len(left) : end])], [" ".join(got.tokens[len(left) : end])]) if cut else ([], [])
+                    out[k] = Part(a.start, b.end, a.ids[:stop] + mid[0] + b.ids[cut:], a.names[:stop] + mid[1] + b.names[cut:], a.head, b.tail)
+                elif h > a.start or p < b.end:
+                    again.append((k, cut, 2 * reach))
+                else:  # the window is both sides
+                    out[k] = Part(a.start, b.end, [" ".join(ids)], [" ".join(got.tokens)])
+            todo = again
+        return out
+
+    def _tokens(self, text: str, start: int, end: int) -> list[Token]:
+        made = self.tokenizer.encode(text[start:end], add_special_tokens=False)
+        return [(i, a + start, b + start) for i, (a, b) in zip(made.ids, made.offsets)]
+
+    def _join_long(self, text: str, a: Part, b: Part) -> Part:
+        """The seam cuts a word of more than a few leaves: join its tokens."""
+        seam, h, p = a.end, _back(text, a.start, a.end, 1), _ahead(text, b.start, b.end, 1)
+        left = a.tail[2] if a.tail and a.tail[:2] == (h, seam) else self._tokens(text, h, seam)
+        right = b.head[2] if b.head and b.head[:2] == (seam, p) else self._tokens(text, seam, p)
+        tokens = self.join_tokens(text, left, right, h, seam, p)
+        ids, names = [" ".join(str(t[0]) for t in tokens)], [" ".join(self.tokenizer.id_to_token(t[0]) for t in tokens)]
+        word = (h, p, tokens)
+        return Part(a.start, b.end, a.ids[:-1] + ids + b.ids[1:], a.names[:-1] + names + b.names[1:], word if h == a.start else a.head, word if p == b.end else b.tail)
+
+    def join_tokens(self, text: str, left: list[Token], right: list[Token], start: int, seam: int, end: int) -> list[Token]:
+        """Tokens of text[start:end], which has no blank, from those of its two sides."""
+        reach = 32
+        while True:
+            i = next((x for x in range(len(left) - 1, -1, -1) if left[x][1] <= seam - reach), 0)
+            j = next((x for x in range(len(right)) if right[x][2] >= seam + reach), len(right) - 1)
+            a = left[i][1] if i else start
+            b = right[j][2] if j < len(right) - 1 else end
+            made = self._tokens(text, a, b)
+            if a == start and b == end:
+                return made
+            alike = text[a:b].isascii() and text[a:b].isalpha()
+            fit = [alike or t[0] in self.ends for t in made]
+            mine, yours = set(left[i:]), set(right[: j + 1])
+            first = 0 if a == start else next((x for x, t in enumerate(made) if fit[x] and t[2] < seam and t in mine), None)
+            last = len(made) - 1 if b == end else next((x for x in range(len(made) - 2, -1, -1) if fit[x] and made[x][1] >= seam and made[x] in yours), None)
+            if first is not None and last is not None and first <= last:
+                head = [] if a == start else left[: left.index(made[first], i)]
+                tail = [] if b == end else right[right.index(made[last]) + 1 :]
+                return head + made[first : last + 1] + tail
+            reach *= 2
 
 
 def encoder(path: str, leaf: int = LEAF) -> Encoder:
@@ -153,26 +243,25 @@ def encoder(path: str, leaf: int = LEAF) -> Encoder:
     return _state[path]
 
 
-def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``ids`` also ids array<int>, decoded."""
+def encode(docs: DataFrame, path: str, ids: bool = True, leaf: int = LEAF) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_joins, and with ``ids`` also ids array<int>, decoded."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, leaf)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [chunks(t or "") for t in part.column("text").to_pylist()]
-                enc.learn(texts)
-                got = [enc.text(t) for t in texts]
+                got = enc.many([t or "" for t in part.column("text").to_pylist()])
                 cols = [
                     part.column("doc_id"), pa.array([g[0] for g in got], pa.int64()),
                     pa.array([hashlib.sha256(g[1].encode()).hexdigest() for g in got]), pa.array([hashlib.sha256(g[2].encode()).hexdigest() for g in got]),
+                    pa.array([g[3] for g in got], pa.int64()),
                 ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_joins"]
                 if ids:
                     cols += [pa.array([[int(x) for x in g[1].split()] for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_joins long" + (", ids array<int>, decoded string" if ids else "")
     return id_text(docs).mapInArrow(work, schema)
