@@ -119,6 +119,16 @@ def batches(words: list[str]) -> Iterator[list[int]]:
         yield from (at[x : x + step] for x in range(0, len(at), step))
 
 
+def words_of(text: str) -> Counter:
+    """Maximal runs of letters, lower case, with their counts; numbers that look like letters end a run."""
+    out = Counter(_WORD.findall(text.lower()))
+    for w in [w for w in out if not w.isalpha()]:
+        n = out.pop(w)
+        for x in "".join(c if c.isalpha() else " " for c in w).split():
+            out[x] += n
+    return out
+
+
 def by_length(words: list[str]) -> dict[int, list[int]]:
     out: dict[int, list[int]] = defaultdict(list)
     for i, w in enumerate(words):
@@ -218,7 +228,7 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, int], np.ndarray]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [Counter(_WORD.findall((t or "").lower())) for t in part.column("text").to_pylist()]
+                texts = [words_of(t or "") for t in part.column("text").to_pylist()]
                 if scorer.langs:
                     scorer.learn(set().union(*texts))
                 got = [scorer.text(t) for t in texts]
