@@ -12,15 +12,15 @@ disguised words) of all texts. The linear model is fitted on a bounded sample of
 (``SAMPLE`` toxic ones and twice as many clean ones); every text is scored whole.
 
 Defined cases: a null or empty text, and every text when no labelled row exists, gets the score of
-no evidence (below 0.5); a label other than 0 or 1 is ignored; repeated rows give repeated results;
-rows with a null doc_id stay; other columns are not read.
+no evidence (below 0.5); a label other than 0 or 1 is ignored; of clashing labels of one doc_id the
+toxic one counts; repeated rows give repeated results; rows with a null doc_id stay; other columns are
+not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -44,7 +44,6 @@ _SPACED = re.compile(r"(?<!\w)\w(?:[ .\-_*]\w){2,}(?!\w)")
 _REPEAT = re.compile(r"(.)\1\1")
 _HAS_LOOK = re.compile("[" + re.escape("".join(LOOKS)) + "]")
 _LETTER = re.compile(r"[^\W\d_]")
-_state: dict[str, object] = {}
 
 
 class CharModel:
@@ -192,13 +191,8 @@ def fit_linear(names: list[str], docs: list[tuple[int, list[int]]], rounds: int
 
 
 def _map(docs: DataFrame, columns: list[str], schema: str, shared, make, each) -> DataFrame:
-    key = uuid.uuid4().hex
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _state:
-            _state.clear()
-            _state[key] = make(shared.value)
-        tool = _state[key]
+        tool = make(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 yield each(tool, batch.slice(at, 256))
@@ -218,7 +212,7 @@ def trigrams(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, train_rows: Column, sample: int = SAMPLE, top: int = FEATURES):
     """(char model of all texts; weights, bias from a bounded sample of labelled rows); ``train_rows`` is over doc_id."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
-    known = known.where(train_rows & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
+    known = known.where(train_rows & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     have = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(have) < 2:
         return CharModel({}), {}, -4.0
@@ -269,13 +263,16 @@ class Scorer(Restorer):
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def score(docs: DataFrame, model) -> DataFrame:
-    """doc_id, score, predicted; reads doc_id and text alone."""
+def score(docs: DataFrame, model, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, score, predicted and the columns of ``keep``; reads doc_id and text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: the alphabet's trigrams, FEATURES weights
+    names = ["doc_id", "score", "predicted", *(keep or [])]
 
     def each(tool: Scorer, part: pa.RecordBatch) -> pa.RecordBatch:
         got = [tool.score(t or "") for t in part.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(got, pa.float64()), pa.array([int(g >= 0.5) for g in got], pa.int32())], ["doc_id", "score", "predicted"])
+        made = [part.column("doc_id"), pa.array(got, pa.float64()), pa.array([int(g >= 0.5) for g in got], pa.int32())]
+        return pa.RecordBatch.from_arrays([*made, *(part.column(c) for c in names[3:])], names)
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return _map(rows, ["doc_id", "text"], "doc_id long, score double, predicted int", shared, Scorer, each)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *names[3:])
+    schema = ", ".join(["doc_id long, score double, predicted int", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names[3:]).schema)])
+    return _map(rows, ["doc_id", "text", *names[3:]], schema, shared, Scorer, each)
