@@ -3,8 +3,9 @@
 A global histogram of lengths feeds a dynamic programme that chooses at most ``buckets`` boundaries
 so that the tokens of padding, each document padded to its bucket's boundary, are least. The
 histogram holds every distinct length, so the longest text bounds it. Batches of at most ``budget`` tokens (a longer document is a batch alone) form inside each
-bucket. Numbering is two-level: rows are numbered inside hash chunks of bounded size, and chunk
-totals are summed up, so that no bucket gathers in one task.
+bucket. Numbering has levels: rows are numbered inside hash chunks of bounded size, and totals of
+chunks are summed up, ``STEP`` at a time, so that no bucket gathers in one task. Rows that repeat a
+doc_id and a length are numbered as one run, which is cut up at the end.
 
 Defined cases: a null or empty text has length 0 and sits in the bucket of its length; ties in the
 programme go to the lower boundary; repeated rows are packed each; rows with a null doc_id are
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from spliceflow.llm.common import id_text, table
 
-BUCKETS, BUDGET, CHUNK = 16, 65536, 4096
+BUCKETS, BUDGET, CHUNK, STEP = 16, 65536, 4096, 1024
 
 
 def word_count(text: Column) -> Column:
@@ -65,6 +66,19 @@ def boundaries(bins: list[tuple[int, int, int]], buckets: int) -> list[int]:
     return sorted(set(out))
 
 
+def _offsets(sizes: DataFrame) -> DataFrame:
+    """bucket, chunk, before: how many rows of a bucket lie in chunks before, from (bucket, chunk, n)."""
+    block = F.floor(F.col("chunk") / STEP).alias("block")
+    sizes = table(sizes.select("bucket", "chunk", "n", block), "sizes")
+    over = lambda keys, by: F.sum("n").over(Window.partitionBy(*keys).orderBy(by)) - F.col("n")
+    blocks = sizes.groupBy("bucket", "block").agg(F.sum("n").alias("n"))
+    if not blocks.where("block > 0").isEmpty():
+        blocks = _offsets(blocks.select("bucket", F.col("block").alias("chunk"), "n")).select("bucket", F.col("chunk").alias("block"), F.col("before").alias("base"))
+    else:
+        blocks = blocks.select("bucket", "block", F.lit(0).cast("long").alias("base"))
+    return sizes.withColumn("inside", over(["bucket", "block"], "chunk")).join(blocks, ["bucket", "block"]).select("bucket", "chunk", (F.col("base") + F.col("inside")).alias("before"))
+
+
 def pack(rows: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """``rows``: doc_id, n_tokens. Adds bucket int, padded_len long, batch_id long, slot long."""
     rows = table(rows.select("doc_id", "n_tokens"), "lengths")
@@ -76,12 +90,21 @@ def pack(rows: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataF
     for i in range(len(tops) - 2, -1, -1):
         edge = F.when(F.col("n_tokens") <= tops[i], F.lit(tops[i])).otherwise(edge)
         number = F.when(F.col("n_tokens") <= tops[i], F.lit(i)).otherwise(number)
-    keyed = rows.select("doc_id", "n_tokens", number.cast("int").alias("bucket"), edge.cast("long").alias("padded_len"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"))
-    sizes = keyed.groupBy("bucket", "chunk").count()
-    before = sizes.select("bucket", "chunk", (F.sum("count").over(Window.partitionBy("bucket").orderBy("chunk")) - F.col("count")).alias("before"))
-    numbered = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("doc_id", "n_tokens")) - 1)
+    alike = rows.groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
+    keyed = alike.select("doc_id", "n_tokens", "n", number.cast("int").alias("bucket"), edge.cast("long").alias("padded_len"), F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(chunks)).alias("chunk"))
+    keyed = table(keyed, "keyed")
+    before = _offsets(keyed.groupBy("bucket", "chunk").agg(F.sum("n").alias("n")))
+    inside = F.sum("n").over(Window.partitionBy("bucket", "chunk").orderBy("doc_id", "n_tokens")) - F.col("n")
+    numbered = keyed.withColumn("inside", inside).join(before, ["bucket", "chunk"])
+    numbered = numbered.select("doc_id", "n_tokens", "bucket", "padded_len", (F.col("before") + F.col("inside")).alias("first"), "n")
+    # A long run of equal rows goes out in parts of ``CHUNK``, dealt to all tasks.
+    starts = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))
+    parts = numbered.where(F.col("n") > CHUNK).withColumn("skip", F.explode(starts))
+    parts = parts.withColumn("first", F.col("first") + F.col("skip")).withColumn("n", F.least(F.lit(CHUNK), F.col("n") - F.col("skip"))).drop("skip")
+    runs = numbered.where(F.col("n") <= CHUNK).unionByName(parts.repartition(F.col("first")))
+    out = runs.withColumn("at", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
     fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("padded_len"), F.lit(1)))).cast("long")
-    out = numbered.join(before, ["bucket", "chunk"]).withColumn("fits", fits).withColumn("at", F.col("before") + F.col("nth"))
+    out = out.withColumn("fits", fits)
     return out.select("doc_id", "n_tokens", "bucket", "padded_len", F.floor(F.col("at") / F.col("fits")).cast("long").alias("batch_id"), F.pmod("at", "fits").cast("long").alias("slot"))
 
 
