@@ -5,9 +5,11 @@ grams, and windows that belong to one position fall into blocks at fixed distanc
 windows therefore lie in blocks with an equal core, the bytes that all windows of a block share.
 Blocks whose core's hash stands at one place only are done. Of the others, the bytes are cut out,
 equal ones are counted, and each shard (a range of cores of bounded size) sorts the suffixes of its
-different strings by induction and reads repeats off the common prefixes. Cores with more than
-``CROWD`` different strings go window by window through a partially aggregated count instead, so no
-task holds them. Of equal texts one goes through all this; the others follow it.
+different strings by induction and reads repeats off the common prefixes. A core with more than
+``CROWD`` different strings is too much for one shard: its strings are cut into blocks of fewer
+windows (``WIDTHS``), which share more bytes, and go through the same again, core by longer core; the
+last blocks hold one window and are their own core. Of equal texts one goes through all this; the
+others follow it.
 
 Defined cases: a null text is the empty text; a text below ``LENGTH`` bytes keeps all of them; a row
 with a null doc_id takes part like others; rows that repeat a doc_id and text are copies; an empty
@@ -17,7 +19,7 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,9 @@ from spliceflow.llm.common import table
 from spliceflow.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM, BLOCK = 200, 40, 96
-#: Bytes a shard sorts, on average; different strings of one core beyond which its windows are counted instead.
+#: Windows a block of a crowded core has at most, each a divisor of the one before.
+WIDTHS = (12, 3, 1)
+#: Bytes a shard sorts, on average; different strings of one core beyond which they are cut further.
 SHARD, CROWD = 1 << 20, 8192
 _B = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,12 +58,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def blocks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(core hash, first window, last window) of each block of a text."""
+def blocks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(core hash, first window, last window, place of the core) of each block of a text."""
     n = len(data)
     if n < LENGTH:
         none = np.empty(0, np.int64)
-        return none, none, none
+        return none, none, none, none
     with np.errstate(over="ignore"):
         power, back = _power(n + 1)
         prefix = np.zeros(n + 1, np.uint64)
@@ -82,7 +86,7 @@ def blocks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = LENGTH - BLOCK + 1
         h = (prefix[core + size] - prefix[core]) * back[core]
         h = _mix(h + _mix(grams[where[cut]] + block[cut].astype(np.uint64)))
-    return h.view(np.int64), cut, last
+    return h.view(np.int64), cut, last, core
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,15 +147,27 @@ def _sort_shard(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["core", "sid", "a", "b"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            core, sid, off, key = [], [], [], []
-            for c, s, x in zip(batch.column("core").to_pylist(), batch.column("sid").to_pylist(), batch.column("bits").to_pylist()):
-                for i in range(len(x) - LENGTH + 1):
-                    core.append(c), sid.append(s), off.append(i), key.append(hashlib.blake2b(x[i : i + LENGTH], digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), pa.array(sid, pa.binary()), pa.array(off, pa.int32()), pa.array(key, pa.binary())], ["core", "sid", "a", "key"])
+def _split(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cuts strings of one block each into blocks of ``width`` windows at fixed distances from their core."""
+
+    def cut(core: int, bits: bytes) -> Iterator[tuple[int, int, bytes]]:
+        place = int(blocks(bits)[3][0])
+        for k in range((place - (len(bits) - LENGTH)) // width, place // width + 1):
+            first, last = max(0, place - k * width - width + 1), min(len(bits) - LENGTH, place - k * width)
+            shared = bits[place - k * width : place - k * width - width + 1 + LENGTH]
+            key = hashlib.blake2b(shared, digest_size=8, key=core.to_bytes(8, "little", signed=True) + bytes([k]))
+            yield int.from_bytes(key.digest(), "little", signed=True), first, bits[first : last + LENGTH]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                got = [(c, s, *x) for c, s, bits in zip(*(batch.column(n).to_pylist() for n in ("core", "sid", "bits"))) for x in cut(c, bits)]
+                cols = zip(*got) if got else [[]] * 5
+                types = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["of", "part", "core", "skip", "bits"])
+
+    return work
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,27 +215,32 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = hits.join(classes.select("eid", "th"), ["eid", "th"], "left_semi").distinct()
     wanted = table(wanted.groupBy("eid", "th").agg(F.collect_list(F.struct("core", "lo", "hi")).alias("wanted")), "wanted")
     cut = rows.select("eid", "th", "text").join(wanted, ["eid", "th"]).mapInArrow(_cut, "core long, eid long, th long, lo int, bits binary")
+    marks = marked(cut, ["eid", "th", "lo"], WIDTHS)
+    at = marks.select("eid", "th", F.struct((F.col("lo") + F.col("a")).alias("first"), (F.col("lo") + F.col("b")).alias("last")).alias("r")).distinct()
+    return classes, at.groupBy("eid", "th").agg(F.collect_list("r").alias("found"))
+
+
+def marked(cut: DataFrame, place: list[str], widths: tuple[int, ...]) -> DataFrame:
+    """The columns of ``place``, a, b: runs of repeated windows in each string of ``cut`` (place, core, bits)."""
     cut = table(cut, "cuts").withColumn("sid", F.unhex(F.md5("bits")))
     # A repeated row is cut repeatedly; its places count once.
-    kinds = cut.select("core", "sid", "bits", place.alias("p")).groupBy("core", "sid", "bits").agg(F.min("p").alias("x"), F.max("p").alias("y"))
+    at = F.xxhash64(*place)
+    kinds = cut.select("core", "sid", "bits", at.alias("p")).groupBy("core", "sid", "bits").agg(F.min("p").alias("x"), F.max("p").alias("y"))
     kinds = table(kinds.select("core", "sid", "bits", (F.col("x") != F.col("y")).alias("many")), "kinds")
-    per_core = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("n"))
-    few = table(kinds.join(per_core.where((F.col("n") > 1) & (F.col("n") <= CROWD)).select("core"), "core", "left_semi"), "few")
+    per_core = table(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cores")
+    most = F.lit(CROWD if widths else 1 << 62)
+    few = table(kinds.join(per_core.where(F.col("n") <= most), "core", "left_semi"), "few")
     total = few.agg(F.sum(F.length("bits"))).first()[0] or 0
-    shards = max(1, -(-int(total) // SHARD))
-    shard = F.pmod(F.xxhash64("core"), F.lit(shards)).cast("int")
-    spans = few.where("not many").select("core").distinct()
-    by_sort = few.select("core", "sid", "bits", shard.alias("shard")).groupBy("shard").applyInPandas(_sort_shard, "core long, sid binary, a int, b int")
-    crowd = kinds.join(per_core.where(F.col("n") > CROWD).select("core"), "core", "left_semi").select("core", "sid", "bits")
-    window = crowd.mapInArrow(_windows, "core long, sid binary, a int, key binary")
-    place = F.xxhash64("sid", "a")
-    again = window.groupBy("key").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("key")
-    by_count = window.join(again, "key", "left_semi").select("core", "sid", "a", F.col("a").alias("b"))
-    whole_kind = kinds.where("many").select("core", "sid", F.lit(0).alias("a"), (F.length("bits") - LENGTH).cast("int").alias("b"))
-    marks = table(by_sort.unionByName(by_count).unionByName(whole_kind), "marks")
-    at = cut.select("core", "sid", "eid", "th", "lo").join(marks, ["core", "sid"])
-    at = at.select("eid", "th", F.struct((F.col("lo") + F.col("a")).alias("first"), (F.col("lo") + F.col("b")).alias("last")).alias("r")).distinct()
-    return classes, at.groupBy("eid", "th").agg(F.collect_list("r").alias("found"))
+    shard = F.pmod(F.xxhash64("core"), F.lit(max(1, -(-int(total) // SHARD)))).cast("int")
+    found = few.select("core", "sid", "bits", shard.alias("shard")).groupBy("shard").applyInPandas(_sort_shard, "core long, sid binary, a int, b int")
+    found = found.unionByName(kinds.where("many").select("core", "sid", F.lit(0).alias("a"), (F.length("bits") - LENGTH).cast("int").alias("b")))
+    crowds = per_core.where(F.col("n") > most)
+    if not crowds.isEmpty():
+        crowd = kinds.join(crowds, "core", "left_semi").select("core", "sid", "bits")
+        parts = crowd.mapInArrow(_split(widths[0]), "of long, part binary, core long, skip int, bits binary")
+        parts = marked(parts, ["of", "part", "skip"], widths[1:])
+        found = found.unionByName(parts.select(F.col("of").alias("core"), F.col("part").alias("sid"), (F.col("skip") + F.col("a")).alias("a"), (F.col("skip") + F.col("b")).alias("b")))
+    return cut.select(*place, "core", "sid").join(table(found, "marks"), ["core", "sid"]).select(*place, "a", "b")
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
