@@ -152,6 +152,88 @@ def test_pii_terms_and_sanitise(spark):
     assert clean[200]["text"] is None and clean[201]["text"] == "plain" and all(clean[100 + i]["text"] == rows[8 + i][1] for i in range(60))
 
 
+def pii_by_hand(rows, support=2, class_support=5, share=0.9):
+    """All spans of each row, from the definition."""
+    groups = collections.defaultdict(set)  # entity -> texts, and rows by counting below
+    held = []
+    for _, t in rows:
+        found = set()
+        for s, k, e in base_spans(t):
+            v, d = (t or "")[s:e], re.sub("[^0-9]", "", (t or "")[s:e])
+            kind = BASE[k][0]
+            value = v.lower() if k == 0 else v if k == 1 else d
+            group = value.split("@")[-1] if k == 0 else ".".join(v.split(".")[:2]) if k == 1 else d[:6] if k == 2 else d[:-7]
+            found |= {(0, kind, value), (1, kind, group), (2, kind, "")}
+        held.append(found)
+        for e in found:
+            groups[e].add(t or "")
+    word = re.compile(r"[^\W\d_]+")
+    terms = [{m[0].lower() for m in word.finditer(t or "") if len(m[0]) > 2 or m[0][0].isupper()} for _, t in rows]
+    n, total = collections.Counter(x for ts in terms for x in ts), len(rows)
+    size = collections.Counter(e for found in held for e in found)
+    both, texts = collections.Counter(), collections.defaultdict(set)
+    for found, ts, (_, t) in zip(held, terms, rows):
+        for e in found:
+            for x in ts:
+                both[e, x] += 1
+                texts[e, x].add(t)
+    least = lambda e: support if e[0] == 0 else class_support
+    tells = {
+        (e, x) for (e, x), k in both.items()
+        if len(groups[e]) >= least(e) and len(texts[e, x]) >= least(e) and total > size[e]
+        and np.log2(k * len(texts[e, x]) / (len(texts[e, x]) + 1) * total / (size[e] * n[x])) >= share * np.log2(total / size[e])
+    }
+    out = []
+    for found, (_, t) in zip(held, rows):
+        hide = {x for e, x in tells if e in found}
+        base = base_spans(t)
+        more = [(m.start(), 4, m.end()) for m in word.finditer(t or "") if m[0].lower() in hide and (len(m[0]) > 2 or m[0][0].isupper()) and not any(s < m.end() and e > m.start() for s, _, e in base)]
+        out.append(",".join(f"{[*(b[0] for b in BASE), 'term'][k]}:{a}:{b}" for a, k, b in sorted([*base, *more])))
+    return out
+
+
+def pii_rows():
+    rng = random.Random(11)
+    rows = [(i, f"{words(rng, 20)} Zebulon {words(rng, 3)} zeb@ship.org {words(rng, 10)} Ob zebulon") for i in range(3)]
+    rows += [(20 + i, f"{words(rng, 15)} harbour {words(rng, 4)} u{i}@dock.net {words(rng, 8)}") for i in range(6)]
+    rows += [(40 + i, f"{words(rng, 15)} router 10.{i}.0.{i} subnet {words(rng, 9)}") for i in range(7)]
+    rows += [(60 + i, f"call {words(rng, 6)} +1 (555) 010-99{i}0 ext {words(rng, 5)}") for i in range(2)]
+    rows += [(1000 + i, words(rng, 40)) for i in range(400)] + [(300, None), (301, ""), (None, "zeb@ship.org zebulon"), (302, "harbour 4111 1111 1111 1111 router")]
+    return rows
+
+
+@pytest.mark.parametrize("times", [1, 2])
+def test_pii_terms_against_brute_force(spark, times):
+    rows = pii_rows()
+    want = pii_by_hand(rows)
+    assert pii_by_hand(rows * 2)[: len(rows)] == want  # rows that all stand twice change nothing
+    got = pii.detect(spark.createDataFrame(rows * times, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or -1, r["spans"]) for r in got) == sorted((i or -1, s) for (i, _), s in zip(rows * times, want * times))
+    kinds = collections.Counter(s.split(":")[0] for x in want for s in x.split(",") if s)
+    assert kinds["term"] > 20 and sum(r["n_term"] for r in got) == times * kinds["term"]
+    assert all("term" in s for (i, _), s in zip(rows, want) if i is not None and i < 50)  # single value, domain, kind
+
+
+def test_pii_many_spans(spark):
+    rng = random.Random(3)
+    t = " ".join(f"{words(rng, 1)} u{i}@h{i % 3}.org{'é' * (i % 2)}" for i in range(400)) + " tail"
+    docs = spark.createDataFrame([(1, t), (2, "é 9.9.9.9"), (3, "")], "doc_id long, text string")
+    got = by_id(pii.detect(docs))
+    assert got[1]["spans"] == ",".join(f"email:{a}:{b}" for a, _, b in base_spans(t)) and got[1]["n_email"] == 400
+    out = t
+    for a, _, b in reversed(base_spans(t)):
+        out = out[:a] + "<EMAIL>" + out[b:]
+    clean = by_id(pii.sanitise(docs))
+    assert clean[1]["text"] == out and clean[2]["text"] == "é <IP>" and clean[3]["text"] == ""
+
+
+def test_langid_numbers_are_no_letters(spark):
+    docs = spark.createDataFrame([(i, "bakoti tibako", "aa") for i in range(9)] + [(10 + i, "schung ungsch", "bb") for i in range(9)] + [(30, "² ½", None), (31, "Ⅷ ①", None), (32, "ko²ti", None), (33, "___", None)], "doc_id long, text string, lang string")
+    got = by_id(langid.predict(docs, langid.train(docs, F.lit(True), bpe.vocabulary("piece_bpe_32k.model"))))
+    assert [got[i]["lang_pred"] for i in (30, 31, 32, 33)] == ["und", "und", "aa", "und"] and got[30]["score"] == 0
+    assert langid.words_of("Ko²ti ko ÉÉ_x") == {"ko": 2, "ti": 1, "éé": 1, "x": 1}
+
+
 def test_langid_held_out(spark):
     rng = random.Random(1)
     syllables = {"aa": ["ba", "ko", "ti"], "bb": ["sch", "ung", "er"], "cc": ["eau", "oi", "que"]}
@@ -209,6 +291,15 @@ def test_char_model_counts_all_texts(spark):
     assert got.three["wyv"] == 10 and got.three["qqq"] == 28
 
 
+def test_clashing_labels(spark):
+    docs = spark.createDataFrame([(i, "fine words here" + (" vile" if i % 2 else "")) for i in range(40)], "doc_id long, text string")
+    marks = [(i, 1 if i % 2 else 0) for i in range(40)]
+    twice = spark.createDataFrame([*marks, *((i, 0) for i in range(40))], "doc_id long, toxic int")
+    for order in ("toxic", "-toxic"):
+        got = by_id(toxicity.score(docs, toxicity.train(docs, twice.orderBy(F.expr(order)), F.lit(True))))
+        assert {i for i, r in got.items() if r["predicted"]} == {i for i, x in marks if x}
+
+
 def test_viterbi_is_the_cheapest_reading():
     model = toxicity.CharModel({"hello": 5, "hall": 3, "shell": 2})
 
@@ -282,19 +373,23 @@ def test_bpe(docs):
 
 def test_bpe_tree_concatenation():
     rng = random.Random(9)
-    enc = bpe.Encoder(bpe.vocabulary(), leaf=50)
-    alphabets = ["ab", "abcdefghijklmnop", "aé漢🙂'st.", "0123456789", "the'sll<|endoftext|>", "İIßé́"]
-    for a in alphabets:
-        for n in (51, 200, 1500):
-            for _ in range(4):
-                s = "".join(rng.choice(a) for _ in range(n))
-                assert bpe.encode_unsplit(enc.tokenizer, s, 50) == enc.tokenizer.encode(s, add_special_tokens=False).ids, (a, n)
-    s = ("x" * 40 + "<|endoftext|>" + "y" * 47) * 5
-    assert bpe.encode_unsplit(enc.tokenizer, s, 50) == enc.tokenizer.encode(s, add_special_tokens=False).ids
-    for c in ("Word,", "don't!", "ÀB.", "<|ENDOFTEXT|>", "<|endoftext|>.", "x;:y", "é."):
-        enc.learn([[c]])
-        e = enc.tokenizer.encode(c, add_special_tokens=False)
-        assert enc.text([c]) == (len(e.ids), " ".join(map(str, e.ids)), enc.tokenizer.decode(e.ids, skip_special_tokens=False))
+    library = bpe.load(bpe.vocabulary())
+
+    def same(enc, all_texts):
+        for s, (n, ids, decoded, joins) in zip(all_texts, enc.many(all_texts)):
+            e = library.encode(s, add_special_tokens=False)
+            assert (n, ids) == (len(e.ids), " ".join(map(str, e.ids))), s
+            assert decoded == library.decode(e.ids, skip_special_tokens=False)
+            assert (joins > 0) == (len(s) > enc.leaf)
+
+    alphabets = ["ab", "abcdefghijklmnop", "aé漢🙂'st.", "0123456789", "the'sll<|endoftext|>", "İIßé́", "ab  \n.'é"]
+    some = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (51, 200, 1500) for _ in range(4)]
+    some += [("x" * 40 + "<|endoftext|>" + "y" * 47) * 5, ("ing the " * 30 + "'s!!") * 9, " " * 300, "\x1c\u00a0 ²" * 60]
+    some += ["Word,", "don't!", "ÀB.", "<|ENDOFTEXT|>", "<|endoftext|>.", "x;:y", "é.", ""]
+    for leaf in (3, 50):
+        same(bpe.Encoder(bpe.vocabulary(), leaf=leaf), some)
+    # Words of many leaves: windows in the middle of one class of characters, and of mixed ones.
+    same(bpe.Encoder(bpe.vocabulary(), leaf=64), ["".join(rng.choice(a) for _ in range(9000)) for a in alphabets[:4]] + ["lol" * 3000, "a" * 9000])
 
 
 def test_suffix_array():
@@ -307,9 +402,9 @@ def test_suffix_array():
                 assert suffix_array.suffix_array(np.array([*s, 0], np.int64), k).tolist() == want
 
 
-@pytest.mark.parametrize("crowd", [8192, 0])
+@pytest.mark.parametrize("crowd", [8192, 3, 0])
 def test_suffix_dedup(docs, monkeypatch, crowd):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)  # 0: every core goes the way of crowded ones
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)  # 0: every core is cut further, down to single windows
     data = [(t or "").encode() for t in texts()]
     seen = collections.Counter(b[i : i + 200] for b in data for i in range(len(b) - 199))
     got = by_id(suffix_dedup.suffix_dedup(docs))
@@ -344,6 +439,19 @@ def test_fuse_filter():
         assert f.contains(rng.integers(0, 1 << 63, 20000, dtype=np.uint64)).mean() < 0.01
 
 
+def test_packing_repeated_rows(spark, monkeypatch):
+    """Null and repeated ids of one length are one run; parts of it and several levels of chunks."""
+    monkeypatch.setattr(packing, "CHUNK", 8)
+    monkeypatch.setattr(packing, "STEP", 2)
+    rows = [(None, 7)] * 50 + [(1, 7)] * 3 + [(i, 1 + i % 9) for i in range(2, 300)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long"), buckets=3, budget=30).collect()
+    assert collections.Counter((r["doc_id"], r["n_tokens"]) for r in got) == collections.Counter(rows)
+    for bucket in {r["bucket"] for r in got}:
+        mine = [r for r in got if r["bucket"] == bucket]
+        fits = 30 // mine[0]["padded_len"]
+        assert sorted(r["batch_id"] * fits + r["slot"] for r in mine) == list(range(len(mine)))
+
+
 def test_packing(docs, spark):
     bins = [(3, 5, 15), (4, 1, 4), (9, 2, 18), (10, 7, 70), (30, 1, 30)]
     import itertools
