@@ -1,4 +1,4 @@
-"""Order-dependent kernels that run per gene in pandas: fragment absorption and phased grouping."""
+"""Fragment absorption: order-dependent, so a gene is one group of the kernel."""
 
 from __future__ import annotations
 
@@ -16,34 +16,31 @@ def _contained(a: dict, b: dict, wobble: int, ends: int, percent: int) -> tuple[
             return None
         shares = (overlap * 100 // (ea[0] - sa[0]), overlap * 100 // (eb[0] - sb[0]))
         return (min(sa[0], sb[0]), max(ea[0], eb[0])) if max(shares) > percent else None
+    last = len(sa) - 1
     if len(sb) == 1:
-        for i in range(len(sa)):
-            if sa[i] < eb[0] and sb[0] < ea[i]:
-                up = sa[i] - sb[0] < (ends if i == 0 else wobble)
-                down = i > 0 and eb[0] - ea[i] < (ends if i == len(sa) - 1 else wobble)
-                if up and down:
-                    return (min(sa[0], sb[0]) if i == 0 else sa[0], max(ea[-1], eb[0]) if i == len(sa) - 1 else ea[-1])
-        return None
+        # Inside any one exon, but for a little; the outer bounds of the model allow for more.
+        held = [
+            i for i in range(len(sa))
+            if sa[i] < eb[0] and sb[0] < ea[i] and sa[i] - sb[0] < (ends if i == 0 else wobble) and eb[0] - ea[i] < (ends if i == last else wobble)
+        ]
+        if not held:
+            return None
+        return min(sa[0], sb[0]) if 0 in held else sa[0], max(ea[-1], eb[0]) if last in held else ea[-1]
     starts, stops = [], []
     for i in range(len(sa)):
         for j in range(len(sb)):
             if sa[i] <= eb[j] and sb[j] <= ea[i]:
-                if j == 0:
-                    ok = sa[i] - sb[j] <= (ends if i == 0 else wobble)
-                else:
-                    ok = abs(sa[i] - sb[j]) <= wobble
-                if ok:
+                outer = j == 0, j == len(sb) - 1
+                up, down = sa[i] - sb[j], eb[j] - ea[i]
+                if (up if outer[0] else abs(up)) <= (ends if outer[0] and i == 0 else wobble):
                     starts.append((i, j))
-                if j == len(sb) - 1:
-                    ok = eb[j] - ea[i] <= (ends if i == len(sa) - 1 else wobble)
-                else:
-                    ok = abs(ea[i] - eb[j]) <= wobble
-                if ok:
+                if (down if outer[1] else abs(down)) <= (ends if outer[1] and i == last else wobble):
                     stops.append((i, j))
-    run = [i for i, _ in starts]
-    if starts != stops or [j for _, j in starts] != list(range(len(sb))):
+    # Both edges of each exon of the shorter model are met, by exons of the longer one that follow each other.
+    mine, theirs = ([{x[k] for x in edges} for edges in (starts, stops)] for k in (0, 1))
+    if mine[0] != mine[1] or theirs[0] != theirs[1] or theirs[0] != set(range(len(sb))):
         return None
-    if run != list(range(run[0], run[0] + len(run))) or (len(sa) == len(sb) and len(run) != len(sa)):
+    if max(mine[0]) - min(mine[0]) + 1 != len(mine[0]) or (len(sa) == len(sb) and len(mine[0]) != len(sa)):
         return None
     return min(sa[0], sb[0]), max(ea[-1], eb[-1])
 
@@ -53,7 +50,7 @@ def absorb(rows: list[dict], wobble: int = 10, ends: int = 500, percent: int = 2
     gone: dict = {}
     for a in rows:
         for b in rows:
-            if a is b or a["tx"] in gone or b["tx"] in gone:
+            if a is b or a["tx"] in gone or b["tx"] in gone or a["e"][-1] < b["s"][0] or b["e"][-1] < a["s"][0]:
                 continue
             size = lambda x: (len(x["s"]), x["e"][-1] - x["s"][0], -x["s"][0])
             long, short = (a, b) if size(a) >= size(b) else (b, a)

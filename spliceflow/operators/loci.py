@@ -86,9 +86,9 @@ def flipped(m: DataFrame) -> DataFrame:
     return m.withColumn("f5", F.when(plus, F.reverse("starts")).otherwise(neg("ends"))).withColumn("f3", F.when(plus, F.reverse("ends")).otherwise(neg("starts")))
 
 
-def nocap_match(f5a: Column, f3a: Column, f5b: Column, f3b: Column, five: int, junction: int, three: int) -> Column:
-    """Models without a cap, aligned at the 3' end: ``a`` is the longer one. All edges up to the last
-    compared exon match; its 5' edge may stop short of the longer model's."""
+def loose_match(f5a: Column, f3a: Column, f5b: Column, f3b: Column, five: int, junction: int, three: int) -> Column:
+    """Models of which one has no cap, aligned at the 3' end: ``a`` is the longer one. All edges up to the
+    last compared exon match; its 5' edge may stop short of the longer model's."""
     m = F.least(F.size(f5a), F.size(f5b))
 
     def at(i: Column) -> Column:
@@ -100,18 +100,19 @@ def nocap_match(f5a: Column, f3a: Column, f5b: Column, f3b: Column, five: int, j
     return F.forall(F.sequence(F.lit(0), m - 1), at)
 
 
-def nocap_pairs(m: DataFrame, five: int = 10, junction: int = 2, three: int = 5) -> DataFrame:
-    """(long, short) pairs that match without a cap; more exons, then the further 5' end, then the
-    smaller id make a model the long one. 3' ends lie within a band."""
+def loose_pairs(m: DataFrame, five: int = 10, junction: int = 2, three: int = 5) -> DataFrame:
+    """(long, short) pairs that match where one has no cap (``capped``). A capped model is the long one and
+    has as many exons or more; else more exons, then the further 5' end, then the smaller id make a model
+    the long one. 3' ends lie within a band."""
     f = flipped(m)
     band = max(three, 1)
     here = F.floor(F.col("f3")[0] / band)
-    a = f.select(F.col("tx").alias("a"), "scaf", "strand", F.col("f5").alias("f5a"), F.col("f3").alias("f3a"), F.explode(F.array(here - 1, here, here + 1)).alias("band"))
-    b = f.select(F.col("tx").alias("b"), "scaf", "strand", F.col("f5").alias("f5b"), F.col("f3").alias("f3b"), here.alias("band"))
+    a = f.select(F.col("tx").alias("a"), "scaf", "strand", F.col("capped").alias("ca"), F.col("f5").alias("f5a"), F.col("f3").alias("f3a"), F.explode(F.array(here - 1, here, here + 1)).alias("band"))
+    b = f.where("NOT capped").select(F.col("tx").alias("b"), "scaf", "strand", F.col("f5").alias("f5b"), F.col("f3").alias("f3b"), here.alias("band"))
     na, nb, xa, xb = F.size("f5a"), F.size("f5b"), F.element_at("f5a", -1), F.element_at("f5b", -1)
-    longer = (na > nb) | ((na == nb) & ((xa < xb) | ((xa == xb) & (F.col("a") < F.col("b")))))
+    longer = F.when(F.col("ca"), na >= nb).otherwise((na > nb) | ((na == nb) & ((xa < xb) | ((xa == xb) & (F.col("a") < F.col("b"))))))
     met = a.join(b, ["scaf", "strand", "band"]).where("a <> b").where(longer)
-    return met.where(nocap_match(F.col("f5a"), F.col("f3a"), F.col("f5b"), F.col("f3b"), five, junction, three)).select(F.col("a").alias("long_tx"), F.col("b").alias("short_tx"))
+    return met.where(loose_match(F.col("f5a"), F.col("f3a"), F.col("f5b"), F.col("f3b"), five, junction, three)).select(F.col("a").alias("long_tx"), F.col("b").alias("short_tx"))
 
 
 def grouped_models(m: DataFrame, **thresholds: int) -> DataFrame:

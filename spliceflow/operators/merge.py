@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import reduce
 
@@ -58,77 +60,70 @@ def load(sources: list[Source]) -> DataFrame:
     return rows.withColumn("n", F.size("starts")).withColumn("ts", F.col("starts")[0]).withColumn("te", F.element_at("ends", -1))
 
 
-def _capped_same(a: dict, b: dict, five: int, junction: int, three: int) -> bool:
-    if len(a["f5"]) != len(b["f5"]):
-        return False
-    last = len(a["f5"]) - 1
-    return all(
-        abs(a["f5"][i] - b["f5"][i]) <= (five if i == last else junction) and abs(a["f3"][i] - b["f3"][i]) <= (three if i == 0 else junction) for i in range(last + 1)
-    )
-
-
-def _loose_same(a: dict, b: dict, five: int, junction: int, three: int) -> bool:
-    """At least one side has no cap. The long one: a capped model, else more exons, else the further 5' end."""
-    na, nb = len(a["f5"]), len(b["f5"])
-    if a["capped"] != b["capped"]:
-        long, short = (a, b) if a["capped"] else (b, a)
-        if len(short["f5"]) > len(long["f5"]):
-            return False
-    else:
-        long, short = (a, b) if (na, -a["f5"][-1]) >= (nb, -b["f5"][-1]) else (b, a)
-    m = min(na, nb)
-    for i in range(m):
-        if abs(long["f3"][i] - short["f3"][i]) > (three if i == 0 else junction):
-            return False
-        near = abs(long["f5"][i] - short["f5"][i])
-        if i < m - 1:
-            if near > junction:
-                return False
-        elif near > (five if i == len(long["f5"]) - 1 else junction) and long["f5"][i] >= short["f5"][i]:
-            return False
-    return True
-
-
-def _closure(items: list[dict], same) -> list[list[dict]]:
-    """Components of ``same`` in order of their first member."""
-    left, out = list(items), []
-    while left:
-        group, todo = [], [left.pop(0)]
-        while todo:
-            x = todo.pop()
-            group.append(x)
-            near = [y for y in left if same(x, y)]
-            left = [y for y in left if y not in near]
-            todo += near
-        out.append(sorted(group, key=lambda x: x["tx"]))
-    return out
-
-
-def phased_groups(items: list[dict], five: int, junction: int, three: int) -> list[list[dict]]:
-    """Capped components; then models without a cap join every capped group with a member, however it
-    got there, of as many exons or more that matches; then those left over form components."""
-    groups = _closure([x for x in items if x["capped"]], lambda a, b: _capped_same(a, b, five, junction, three))
-    loose = [x for x in items if not x["capped"]]
+def phased_groups(items: list[tuple[int, bool, int]], capped_links: dict[int, set[int]], loose_links: dict[int, set[int]]) -> list[list[int]]:
+    """``items``: (tx, capped, exons) in order. Capped components; then models without a cap join every
+    capped group with a member, however it got there, of as many exons or more that matches; then those
+    left over form components."""
+    capped, size = {t for t, c, _ in items if c}, {t: n for t, _, n in items}
+    place = {t: i for i, (t, _, _) in enumerate(items)}
+
+    def closure(left: list[int], links: dict[int, set[int]]) -> list[list[int]]:
+        left, seen, out = list(left), set(), []
+        inside = set(left)
+        for t in left:
+            if t in seen:
+                continue
+            group, todo = [], [t]
+            seen.add(t)
+            while todo:
+                x = todo.pop()
+                group.append(x)
+                more = (links.get(x, set()) & inside) - seen
+                seen |= more
+                todo += more
+            out.append(sorted(group))
+        return out
+
+    groups = closure([t for t, c, _ in items if c], capped_links)
     joined = set()
     for g in groups:
-        for x in loose:
-            if any(len(y["f5"]) >= len(x["f5"]) and _loose_same(y, x, five, junction, three) for y in g):
-                g.append(x)
-                joined.add(x["tx"])
-    return groups + _closure([x for x in loose if x["tx"] not in joined], lambda a, b: _loose_same(a, b, five, junction, three))
+        # In order of the models without a cap: one that joins counts for those behind it.
+        fits = [x for t in g for x in loose_links.get(t, ()) if x not in capped and size[t] >= size[x]]
+        queue, inside = sorted({place[x] for x in fits}), set(g)
+        while queue:
+            at = heapq.heappop(queue)
+            x = items[at][0]
+            if x in inside:
+                continue
+            g.append(x)
+            inside.add(x)
+            joined.add(x)
+            for y in loose_links.get(x, ()):
+                if y not in capped and y not in inside and place[y] > at and size[x] >= size[y]:
+                    heapq.heappush(queue, place[y])
+    return groups + closure([t for t, c, _ in items if not c and t not in joined], loose_links)
 
 
 def _phased(rows: DataFrame, five: int, junction: int, three: int) -> DataFrame:
-    """(tx, gene, model): phases depend on order, so a gene is one group of the kernel."""
-
-    def work(gene: pd.DataFrame) -> pd.DataFrame:
+    """(tx, gene, model): phases depend on order, so a gene is one group of the kernel; it meets only the
+    pairs that match, found by joins on bands."""
+    capped = loci.capped_pairs(rows.where("capped"), five, junction, three).withColumn("loose", F.lit(False))
+    loose = loci.loose_pairs(rows, five, junction, three).select(F.col("long_tx").alias("a"), F.col("short_tx").alias("b"), F.lit(True).alias("loose"))
+    side = lambda c: rows.select(F.col("tx").alias(c), F.col("gene").alias(f"g{c}"))
+    links = capped.unionByName(loose).join(side("a"), "a").join(side("b"), "b").where("ga = gb").select(F.col("ga").alias("gene"), "a", "b", "loose")
+
+    def work(gene: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         gene = gene.sort_values(["ts", "te", "tx"])
-        items = [{"tx": int(t), "capped": bool(c), "f5": list(map(int, a)), "f3": list(map(int, b))} for t, c, a, b in zip(gene["tx"], gene["capped"], gene["f5"], gene["f3"])]
-        out = [(x["tx"], int(gene["gene"].iloc[0]), i) for i, g in enumerate(phased_groups(items, five, junction, three)) for x in g]
+        links: tuple[dict, dict] = (defaultdict(set), defaultdict(set))
+        for a, b, loose in zip(pairs["a"], pairs["b"], pairs["loose"]):
+            links[loose][int(a)].add(int(b))
+            links[loose][int(b)].add(int(a))
+        items = [(int(t), bool(c), int(n)) for t, c, n in zip(gene["tx"], gene["capped"], gene["n"])]
+        out = [(t, int(gene["gene"].iloc[0]), i) for i, g in enumerate(phased_groups(items, *links)) for t in g]
         return pd.DataFrame(out, columns=["tx", "gene", "nth"])
 
-    f = loci.flipped(rows).select("gene", "tx", "capped", "f5", "f3", "ts", "te")
-    return f.groupBy("gene").applyInPandas(work, "tx long, gene long, nth long").select("tx", "gene", F.concat_ws("-", F.col("gene").cast("string"), F.col("nth").cast("string")).alias("model"))
+    found = rows.select("gene", "tx", "capped", "n", "ts", "te").groupBy("gene").cogroup(links.groupBy("gene")).applyInPandas(work, "tx long, gene long, nth long")
+    return found.select("tx", "gene", F.concat_ws("-", F.col("gene").cast("string"), F.col("nth").cast("string")).alias("model"))
 
 
 def _colour(names: list[str]) -> Column:

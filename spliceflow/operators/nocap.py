@@ -5,8 +5,10 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from spliceflow.operators import loci
 
@@ -40,84 +42,100 @@ def relation(a: tuple[list[int], list[int]], b: tuple[list[int], list[int]], fiv
     return SHORTENED if ahead > 0 else DIFFERENT
 
 
-class _Groups:
-    """Groups in order of creation; a read may be in several."""
+def nocap_steps(
+    names: list[str], edges: list[tuple[list[int], list[int]]], reach: list[tuple[int, int]], five: int, junction: int, three: int
+) -> list[list[tuple[int, int, int, int]]]:
+    """Groups as steps (step, shape, a, b), in order: those of a shape's reads join whose number is in [a, b].
 
-    def __init__(self) -> None:
-        self.members: dict[int, dict[int, None]] = {}
-        self.of: dict[int, dict[int, None]] = {}
-        self.made = 0
-
-    def settle(self, read: int) -> None:
-        if read not in self.of:
-            self.made += 1
-            self.of[read], self.members[self.made] = {self.made: None}, {read: None}
-
-    def share(self, a: int, b: int) -> bool:
-        return not self.of[a].keys().isdisjoint(self.of[b])
-
-    def follow(self, read: int, leader: int) -> None:
-        """``read`` joins all groups of ``leader``; a group of its own alone goes."""
-        mine = list(self.of[read])
-        if len(mine) == 1 and len(self.members[mine[0]]) == 1:
-            del self.members[mine[0]], self.of[read][mine[0]]
-        for g in self.of[leader]:
-            self.of[read][g] = self.members[g][read] = None
-
-
-def nocap_groups(names: list[str], edges: list[tuple[list[int], list[int]]], five: int, junction: int, three: int) -> list[list[int]]:
-    """Groups of read numbers. From many exons to few, the furthest 5' end leads: equal reads join it
-    and lead in turn by name, and shorter forms with fewer exons join each leader they fit."""
+    Reads of one shape (equal edges) relate alike to all, so only shapes are compared; ``names`` has the
+    least read name of each, ``reach`` its first and last read's number, and shapes come in the order of
+    their first reads. From many exons to few, the furthest 5' end leads, of equal ones the first read:
+    shapes that equal it join its groups and lead in turn by name, and shorter forms with fewer exons
+    join each leader they fit. A shape that joins another leaves a group that it has alone. Reads whose
+    own turn is over join no equal ones; a shape that is a shorter form may have such reads and others.
+    """
+    far = lambda x: edges[x][0][-1]
     levels: dict[int, list[int]] = defaultdict(list)
     for i, (f5, _) in enumerate(edges):
         levels[len(f5)].append(i)
-    groups, below = _Groups(), set()
-
-    def lead(h: int, open_: dict[int, None], lower: list[int]) -> list[int]:
-        groups.settle(h)
-        joined = []
-        for pool, wanted in ((open_, EQUAL), (lower, SHORTENED)):
-            if wanted == EQUAL and h in below:
-                continue
-            for x in pool:
-                if x == h:
-                    continue
-                groups.settle(x)
-                if not groups.share(h, x) and relation(edges[h], edges[x], five, junction, three) == wanted:
-                    groups.follow(x, h)
-                    if wanted == EQUAL:
-                        joined.append(x)
-                    else:
-                        below.add(x)
-        return joined
-
-    for n in sorted(levels, reverse=True):
-        lower = [x for m in sorted(levels, reverse=True) if m < n for x in levels[m]]
-        open_ = dict.fromkeys(levels[n])
-        for h in sorted(levels[n], key=lambda x: edges[x][0][-1]):
-            del open_[h]
-            waiting = [(names[x], x) for x in lead(h, open_, lower)]
+    deep = sorted(levels, reverse=True)
+    # The outermost exon of a shape must overlap the leader's exon at that place: one look for a level.
+    outer = {n: (np.array([far(x) for x in levels[n]]), np.array([edges[x][1][-1] for x in levels[n]])) for n in deep}
+    order = [x for n in deep for x in levels[n]]
+    if order:
+        order.insert(0, order.pop(min(range(len(levels[deep[0]])), key=lambda i: (far(order[i]), i))))
+    steps = {g: [(0, x, reach[x][0], reach[x][0])] for g, x in enumerate(order)}
+    home = {x: [g] for g, x in enumerate(order)}
+    alone, shortened, led = set(order), set(), set()
+    clock, turn = 0, order[0] if order else 0
+
+    def matches(leader: int, n: int, wanted: int) -> list[int]:
+        f5, f3 = edges[leader][0][n - 1], edges[leader][1][n - 1]
+        mine = set(home[leader])
+        near = np.flatnonzero((outer[n][0] < f3) & (outer[n][1] > f5)).tolist()
+        return [x for x in (levels[n][i] for i in near) if x != leader and mine.isdisjoint(home[x]) and relation(edges[leader], edges[x], five, junction, three) == wanted]
+
+    def waits(x: int) -> bool:
+        """Some reads of the shape still have their turn before them."""
+        return (far(x), reach[x][1] if x in shortened else reach[x][0]) > (far(turn), reach[turn][0])
+
+    def join(leader: int, shapes: list[int], after: int = -1) -> None:
+        nonlocal clock
+        clock += 1
+        for x in shapes:
+            if x in alone:
+                alone.discard(x)
+                del steps[home[x].pop()]
+            for g in home[leader]:
+                steps[g].append((clock, x, max(after, reach[x][0]) if far(x) == far(turn) else reach[x][0], reach[x][1]))
+                home[x].append(g)
+
+    def lead(x: int) -> list[int]:
+        if x in led:
+            return []
+        led.add(x)
+        equal, fit = [], []
+        if x not in shortened:
+            equal = [y for y in matches(x, len(edges[x][0]), EQUAL) if waits(y)]
+            join(x, equal, reach[turn][0] + 1)
+            if x in alone and reach[x][0] < reach[x][1]:
+                steps[home[x][0]].append((clock, x, reach[x][0] + 1, reach[x][1]))
+        for n in deep:
+            if n < len(edges[x][0]) and (more := matches(x, n, SHORTENED)):
+                join(x, more)
+                fit += more
+        shortened.update(fit)
+        if equal or fit or reach[x][0] < reach[x][1]:
+            alone.discard(x)
+        return equal
+
+    for n in deep:
+        for turn in sorted(levels[n], key=far):
+            waiting = [(names[y], y) for y in lead(turn)]
             heapq.heapify(waiting)
-            queued = {x for _, x in waiting}
             while waiting:
-                _, x = heapq.heappop(waiting)
-                queued.discard(x)
-                for y in lead(x, open_, lower):
-                    if y not in queued:
-                        queued.add(y)
-                        heapq.heappush(waiting, (names[y], y))
-    return [list(g) for g in groups.members.values()]
+                _, y = heapq.heappop(waiting)
+                for z in lead(y):
+                    heapq.heappush(waiting, (names[z], z))
+    return [steps[g] for g in sorted(steps)]
 
 
 def nocap_members(rows: DataFrame, five: int, junction: int, three: int) -> DataFrame:
     """``rows``: gene, tx, read_id, strand, starts, ends. (gene, nth, at, tx): groups of each gene and the
-    place of each read in its groups."""
+    place of each read in its groups. Only shapes meet in the kernel; reads join its steps."""
+    reads = loci.flipped(rows).select("gene", "tx", "read_id", "f5", "f3")
+    shapes = loci.kept(reads.groupBy("gene", "f5", "f3").agg(F.min("tx").alias("first"), F.max("tx").alias("last"), F.min("read_id").alias("name")))
 
     def work(gene: pd.DataFrame) -> pd.DataFrame:
-        gene = gene.sort_values("tx")
+        gene = gene.sort_values("first")
         edges = [(list(map(int, a)), list(map(int, b))) for a, b in zip(gene["f5"], gene["f3"])]
-        found = nocap_groups(gene["read_id"].tolist(), edges, five, junction, three)
-        tx, g = gene["tx"].tolist(), int(gene["gene"].iloc[0])
-        return pd.DataFrame([(g, i, at, tx[x]) for i, group in enumerate(found) for at, x in enumerate(group)], columns=["gene", "nth", "at", "tx"])
-
-    return loci.flipped(rows).select("gene", "tx", "read_id", "f5", "f3").groupBy("gene").applyInPandas(work, "gene long, nth long, at long, tx long")
+        first, g = gene["first"].tolist(), int(gene["gene"].iloc[0])
+        found = nocap_steps(gene["name"].tolist(), edges, list(zip(first, gene["last"].tolist())), five, junction, three)
+        out = [(g, first[x], i, step, -len(edges[x][0]), a, b) for i, steps in enumerate(found) for step, x, a, b in steps]
+        return pd.DataFrame(out, columns=["gene", "first", "nth", "step", "fewer", "a", "b"])
+
+    steps = loci.kept(shapes.groupBy("gene").applyInPandas(work, "gene long, first long, nth long, step long, fewer long, a long, b long"))
+    of = reads.join(shapes.select("gene", "f5", "f3", "first"), ["gene", "f5", "f3"]).select("gene", "tx", "first")
+    member = steps.join(of, ["gene", "first"]).where("tx BETWEEN a AND b")
+    at = F.row_number().over(Window.partitionBy("gene", "nth").orderBy("step", "fewer", "tx")) - 1
+    return member.select("gene", "nth", at.cast("long").alias("at"), "tx")

@@ -172,7 +172,7 @@ x AS (SELECT p.a, p.b, bool_and(abs(x.f3 - y.f3) <= CASE WHEN x.i = 0 THEN 5 ELS
   FROM p JOIN f x ON x.tx = p.a JOIN f y ON y.tx = p.b AND y.i = x.i GROUP BY p.a, p.b)
 SELECT a AS long_tx, b AS short_tx FROM x WHERE ok""")
 def nocap_pairs(spark, sf_dir):
-    return loci.nocap_pairs(_models(spark, sf_dir))
+    return loci.loose_pairs(_models(spark, sf_dir).withColumn("capped", F.lit(False)))
 
 
 @query(f"WITH {v.EXON}, {v.MODEL} SELECT scaf, strand, min(tx) AS tx, count(*) AS members, array_to_string(starts, ',') AS starts, array_to_string(ends, ',') AS ends FROM model GROUP BY scaf, strand, starts, ends")
@@ -407,12 +407,14 @@ def saturation_curve(spark, sf_dir):
     return reads.saturation(e.select(F.col("event_id").alias("ord"), F.col("event_id").alias("read_id"), F.col("user_id").alias("gene")), 20)
 
 
-_CH = "s AS (SELECT user_id // 5 AS gene, user_id AS trans, CASE WHEN event_id % 2 = 0 THEN 'ref' ELSE 'alt' END AS source, CASE WHEN user_id % 2 = 0 THEN event_id // 4 % 700 ELSE 100000 + (user_id // 5) * 10 + event_id % 7 END AS read_id FROM events WHERE event_id % 3 <> 0)"
+# Every event counts: two thirds have one source, the others both.
+_CH = "s AS (SELECT user_id // 5 AS gene, user_id AS trans, unnest(CASE event_id % 6 WHEN 0 THEN ['ref', 'alt'] WHEN 3 THEN ['ref', 'alt'] WHEN 2 THEN ['ref'] WHEN 4 THEN ['ref'] ELSE ['alt'] END) AS source, CASE WHEN user_id % 2 = 0 THEN event_id // 4 % 700 ELSE 100000 + (user_id // 5) * 10 + event_id % 7 END AS read_id FROM events)"
 
 
 def _change_rows(spark, sf_dir) -> DataFrame:
-    e = v.read(spark, sf_dir, "events").where("event_id % 3 <> 0")
-    rows = e.select(F.floor(F.col("user_id") / 5).alias("gene"), F.col("user_id").alias("trans"), F.when(F.col("event_id") % 2 == 0, "ref").otherwise("alt").alias("source"), F.when(F.col("user_id") % 2 == 0, F.floor(F.col("event_id") / 4) % 700).otherwise(F.floor(F.col("user_id") / 5) * 10 + F.col("event_id") % 7 + 100000).alias("read_id"))
+    e = v.read(spark, sf_dir, "events")
+    source = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("ref"), F.lit("alt"))).when(F.col("event_id") % 2 == 0, F.array(F.lit("ref"))).otherwise(F.array(F.lit("alt")))
+    rows = e.select(F.floor(F.col("user_id") / 5).alias("gene"), F.col("user_id").alias("trans"), F.explode(source).alias("source"), F.when(F.col("user_id") % 2 == 0, F.floor(F.col("event_id") / 4) % 700).otherwise(F.floor(F.col("user_id") / 5) * 10 + F.col("event_id") % 7 + 100000).alias("read_id"))
     return rows.withColumn("gene", F.col("gene").cast("string")).withColumn("trans", F.col("trans").cast("string"))
 
 

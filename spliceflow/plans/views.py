@@ -13,7 +13,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tx, scaf, strand, src, k, s, e."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    li = read(spark, sf_dir, "lineitem").where("l_linenumber <= 4").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     rows = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
     k = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     rows = rows.withColumn("k", k.cast("long"))
@@ -30,7 +30,7 @@ EXON = """exon0 AS (
   SELECT o_orderkey AS tx, 'c' || CAST(o_custkey // 50 AS VARCHAR) AS scaf, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand,
          o_orderpriority AS src, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS days, l_partkey, CAST(l_quantity AS BIGINT) AS q,
          row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k
-  FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber <= 4),
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 exon AS (SELECT tx, scaf, strand, src, k, (days // 10) * 200 + (k - 1) * 60 + l_partkey % 4 AS s, (days // 10) * 200 + (k - 1) * 60 + l_partkey % 4 + 30 + q % 8 AS e FROM exon0)"""
 
 MODEL = """model AS (SELECT tx, any_value(scaf) AS scaf, any_value(strand) AS strand, any_value(src) AS src, min(s) AS ts, max(e) AS te, count(*) AS n,

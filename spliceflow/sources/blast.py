@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spliceflow.sources.readers import records
+
 _PERCENT = re.compile(r" Identities = [^/,]*/\S+ \(([^%,]*)%")
 _SCHEMA = "ord long, query string, hits array<struct<subject: string, subject_length: bigint, identity: string, aligned: bigint>>"
 
@@ -27,64 +29,50 @@ def _number(text: str) -> int:
     return int(text) if text.strip().lstrip("-").isdigit() else 0
 
 
+def _closed(block: list[str]) -> list[str] | None:
+    """A hit's lines up to the first two blank ones that have anything behind them; None if there are none."""
+    for k in range(2, len(block)):
+        if not block[k - 1] and not block[k - 2]:
+            return block[: k - 2]
+    return None
+
+
+def _hit(block: list[str], style: str) -> tuple[str, int, str, int]:
+    """(subject, its length, identity, aligned places) of one hit; of its alignments the last one counts."""
+    size = next((k for k, x in enumerate(block) if x.startswith("Length=")), None)
+    name = "" if size is None else _subject(block[0][1:].lstrip() + "".join(block[1:size]), style)
+    scores = [k for k, x in enumerate(block) if x.startswith(" Identities")]
+    cells = {k: x.split() for k, x in enumerate(block) if x.startswith("Sbjct ")}
+    percent = _PERCENT.match(block[scores[-1]]) if scores else None
+    begins = [next((cells[k] for k in cells if k > s), None) for s in scores]
+    first = next((c[1] if len(c) > 1 else "" for c in reversed(begins) if c), "")
+    end = next((c[3] for c in reversed(cells.values()) if len(c) > 3), "")
+    return name, 0 if size is None else _number(block[size][7:]), percent.group(1) if percent else "0", _number(end) + 1 - _number(first)
+
+
 def parse_query(block: str, style: str = "uniref", last: bool = False) -> tuple[str, list[tuple[str, int, str, int]]] | None:
     """(query, hits) from what follows ``Query=``; None for sequences marked missing_nucleotides.
 
-    Two blank lines with anything behind them close a hit; one that ends with the file is lost. Of a
-    hit's alignments the last one counts.
+    Two blank lines with anything behind them (the next query at least) close a hit; others are lost.
     """
-    lines = block.split("\n")
-    if block.endswith("\n"):
-        lines.pop()
-    lines = [x.rstrip("\r") for x in lines]
+    lines = [x.rstrip("\r") for x in block.removesuffix("\n").split("\n")]
     head, at = (lines[0].split() or [""])[0], 1
     if lines[0].endswith("-") and len(lines) > 1:
         head, at = head + lines[1], 2
     if "missing_nucleotides" in lines[0] or "missing_nucleotides" in head:
         return None
-    while at < len(lines) and not lines[at].startswith("Length="):
-        head += lines[at]
-        at += 1
-    hits: list[tuple[str, int, str, int]] = []
-    name, parts, size, percent, first, end = "", None, 0, "0", 0, 0
-    is_open = armed = False
-    blanks, before = 0, 1
-    for line in [*lines[at + 1 :], *([] if last else ["Query="])]:
-        if parts is not None:
-            if line.startswith("Length="):
-                name, parts = _subject("".join(parts), style), None
-                size = size or _number(line[7:])
-                continue
-            parts.append(line)
-        if blanks > 1 and is_open:
-            hits.append((name, size, percent, end + 1 - first))
-            is_open, blanks = False, 0
-            name, size, percent, first, end = "", 0, "0", 0, 0
-        if not line and is_open:
-            blanks = blanks + 1 if before == 0 else 1
-        before = len(line)
-        if line:
-            blanks = 0
-        if line.startswith(">"):
-            parts, size, is_open, blanks = [line[1:].lstrip()], 0, True, 0
-        elif line.startswith(" Identities"):
-            found = _PERCENT.match(line)
-            percent, armed = found.group(1) if found else "0", True
-        elif line.startswith("Sbjct "):
-            cells = line.split()
-            if armed:
-                first, armed = _number(cells[1]) if len(cells) > 1 else 0, False
-            if len(cells) > 3:
-                end = _number(cells[3])
-        elif line == "***** No hits found *****":
-            name, size, percent, first, end = "", 0, "0", 0, 0
-    return head, hits
+    size = next((k for k in range(at, len(lines)) if lines[k].startswith("Length=")), len(lines))
+    head += "".join(lines[at:size])
+    body = lines[size + 1 :] + ([] if last else ["Query="])
+    marks = [k for k, x in enumerate(body) if x.startswith(">")]
+    # A hit's block ends with the mark of the next one, which stands behind its blank lines.
+    found = [_closed(body[a : b + 1]) for a, b in zip(marks, [*marks[1:], len(body)])]
+    return head, [_hit(x, style) for x in found if x]
 
 
 def blastp(spark: SparkSession, path: str, style: str = "uniref") -> DataFrame:
     """(ord, query, hits): one row a query, in file order; ``style``: uniref or ensembl subject names."""
-    blocks = spark.read.option("lineSep", "Query=").text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    blocks = spark.createDataFrame(blocks, "ord long, value string")
+    blocks = records(spark, path, "Query=")
     total = blocks.count()
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

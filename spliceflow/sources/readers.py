@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Splits whose starts are broadcast; beyond it they are joined like any table.
+SPLITS = 100_000
+
+
+def records(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """(ord, value): the lines, or what ``separator`` sets apart, by number over all files in order.
+
+    Rows of one split count on from its first; a split starts at what those before it hold.
+    """
+    read = spark.read if separator is None else spark.read.option("lineSep", separator)
+    rows = read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    size = rows.groupBy("_f", "_b").agg(F.min("_m").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1))
+    start = size.select("_f", "_b", (F.coalesce(before, F.lit(0)) - F.col("_least")).alias("_at"))  # one row a split
+    start = F.broadcast(start) if rows.rdd.getNumPartitions() <= SPLITS else start
+    return rows.join(start, ["_f", "_b"]).select((F.col("_m") + F.col("_at")).alias("ord"), "value")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(ord, value): the lines of a text file by number."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(rows, "ord long, value string")
+    return records(spark, path)
 
 
 def bed12(spark: SparkSession, path: str) -> DataFrame:
@@ -45,11 +62,14 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(rec_no, id, description, seq): one row a record, in file order."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    rows = spark.createDataFrame(rows, "rec_no long, value string")
-    head = F.trim(F.substring_index("value", "\n", 1))
+    rows = records(spark, path, "\n>")
+    # Only the file's first record still has its mark; what stands before the first mark is no record.
+    head = F.col("value").startswith(">")
+    rows = rows.where((F.col("ord") > 0) | head).withColumn("value", F.when((F.col("ord") == 0) & head, F.expr("substring(value, 2)")).otherwise(F.col("value")))
+    rows = rows.where(F.trim(F.regexp_replace("value", r"\s", "")) != "")
+    title = F.trim(F.regexp_replace(F.substring_index("value", "\n", 1), "\r", ""))
     seq = F.upper(F.regexp_replace(F.expr("substring(value, length(substring_index(value, '\n', 1)) + 1)"), r"\s", ""))
-    return rows.select("rec_no", F.split(head, r"\s+")[0].alias("id"), head.alias("description"), seq.alias("seq"))
+    return rows.select(F.col("ord").alias("rec_no"), F.split(title, r"\s+")[0].alias("id"), title.alias("description"), seq.alias("seq"))
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
