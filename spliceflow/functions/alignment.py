@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def cigar_ops(cigar: Column) -> Column:
-    """array<struct<len, op>>; = and X count as M."""
-    parts = F.regexp_extract_all(cigar, F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0))
+    """array<struct<len, op>>; = and X count as M. A number without an operation at the end is an error."""
+    open_end = F.raise_error(F.concat(F.lit("a number without an operation ends "), cigar)).cast("array<string>")
+    parts = F.when(cigar.rlike("[0-9]$"), open_end).otherwise(F.regexp_extract_all(cigar, F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0)))
     size = lambda t: F.length(t)
     return F.transform(parts, lambda t: F.struct(F.substring(t, F.lit(1), size(t) - 1).cast("long").alias("len"), F.translate(F.substring(t, size(t), F.lit(1)), "=X", "MM").alias("op")))
 

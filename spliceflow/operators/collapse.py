@@ -86,11 +86,23 @@ def overlapping(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 
 
 def numbered(genes: DataFrame, models: DataFrame) -> DataFrame:
-    """``genes``: gene, rank columns g1..g4; ``models``: gene, key (sortable). Adds gene_no and model_no.
-    Only genes are ranked in one order; there are far fewer of them than reads."""
-    ranked = genes.withColumn("gene_no", F.row_number().over(Window.orderBy("g1", "g2", "g3", "g4")))
+    """``genes``: gene, rank columns g1 (of the scaffold) to g3; ``models``: gene, key (sortable). Adds gene_no
+    and model_no. Genes are ranked scaffold by scaffold; only scaffolds meet in one order."""
+    size = genes.groupBy("g1").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("g1").rowsBetween(Window.unboundedPreceding, -1))
+    size = size.select("g1", F.coalesce(before, F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("g1").orderBy("g2", "g3"))
+    ranked = genes.withColumn("nth", nth).join(size, "g1").select("gene", (F.col("before") + F.col("nth")).cast("int").alias("gene_no"))
     within = F.row_number().over(Window.partitionBy("gene").orderBy("key"))
-    return models.withColumn("model_no", within).join(ranked.select("gene", "gene_no"), "gene")
+    return models.withColumn("model_no", within).join(ranked, "gene")
+
+
+def joined_duplicates(built: DataFrame, tie: str = "tie") -> DataFrame:
+    """``built``: gene, scaf, strand, starts, ends, model and more. Models of equal bounds become the one with
+    the least ``tie``; ``all`` lists them."""
+    own = [c for c in built.columns if c not in ("gene", "scaf", "strand", "starts", "ends")]
+    same = built.groupBy("gene", "scaf", "strand", "starts", "ends").agg(F.min_by(F.struct(*own), tie).alias("kept"), F.collect_list("model").alias("all"))
+    return same.select("gene", "scaf", "strand", "starts", "ends", "kept.*", "all")
 
 
 def _capped_members(rows: DataFrame, five: int, junction: int, three: int) -> DataFrame:
@@ -167,17 +179,15 @@ def collapse(
     where = members.groupBy("model").agg(*(F.first(c).alias(c) for c in ("gene", "scaf", "strand", "tie")))
     built = bounds.join(said, "model").join(where, "model").withColumns({"starts": F.col("s.coord"), "ends": F.col("e.coord"), "start_wobble": F.col("s.wobble"), "end_wobble": F.col("e.wobble")}).drop("s", "e")
     if merge_dup:
-        kept = [c for c in built.columns if c not in ("gene", "scaf", "strand", "starts", "ends")]
-        same = built.groupBy("gene", "scaf", "strand", "starts", "ends").agg(F.min_by(F.struct(*kept), "tie").alias("kept"), F.collect_list("model").alias("all"))
-        built = same.select("gene", "scaf", "strand", "starts", "ends", "kept.*", "all")
+        built = joined_duplicates(built)
     else:
         built = built.withColumn("all", F.array("model"))
     inter = F.flatten(F.zip_with("starts", "ends", lambda a, b: F.array(a, b)))
     built = built.withColumn("key", F.concat(F.array(F.col("starts")[0], F.element_at("ends", -1)), inter, F.array("tie")))
-    found = loci.islands(rows, ["scaf"], "ts", "te", ["te", "tx"], "locus")
+    # A gene lies in one locus and loci lie apart, so genes by their start are genes by locus.
     appear = rows.groupBy("scaf").agg(F.min("tx").alias("g1"))
-    genes = found.groupBy("gene", "scaf", "strand").agg(F.min("locus").alias("g2"), F.min("ts").alias("g3")).join(appear, "scaf").withColumn("g4", F.col("strand"))
-    out = numbered(genes.select("gene", "g1", "g2", "g3", "g4"), built)
+    genes = rows.groupBy("gene", "scaf", "strand").agg(F.min("ts").alias("g2")).join(appear, "scaf").withColumn("g3", F.col("strand"))
+    out = numbered(genes.select("gene", "g1", "g2", "g3"), built)
     out = out.withColumn("gene_id", F.concat(F.lit("G"), F.col("gene_no").cast("string"))).withColumn("trans_id", F.concat("gene_id", F.lit("."), F.col("model_no").cast("string")))
     less = lambda c: F.transform(c, lambda x: x - 1)
     out = out.withColumn("starts", less("starts")).withColumn("ends", less("ends"))

@@ -6,18 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def gtf_features(m: DataFrame) -> DataFrame:
-    """``m``: gene, tx, scaf, strand, starts, ends. Gene, transcript and exon rows with 1-based
-    inclusive bounds; exon numbers run from the 5' end; a gene row's tx is 0."""
-    gene = m.groupBy("gene", "scaf", "strand").agg(F.min(F.col("starts")[0]).alias("s"), F.max(F.element_at("ends", -1)).alias("e"))
-    gene = gene.select("gene", F.lit(0).cast("long").alias("tx"), "scaf", "strand", F.lit("gene").alias("feature"), (F.col("s") + 1).alias("start"), F.col("e").alias("end"), F.lit(0).alias("exon_number"))
-    trans = m.select("gene", "tx", "scaf", "strand", F.lit("transcript").alias("feature"), (F.col("starts")[0] + 1).alias("start"), F.element_at("ends", -1).alias("end"), F.lit(0).alias("exon_number"))
-    exon = m.select("gene", "tx", "scaf", "strand", F.size("starts").alias("n"), F.posexplode(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e"))).alias("k", "x"))
-    number = F.when(F.col("strand") == "+", F.col("k") + 1).otherwise(F.col("n") - F.col("k"))
-    exon = exon.select("gene", "tx", "scaf", "strand", F.lit("exon").alias("feature"), (F.col("x.s") + 1).alias("start"), F.col("x.e").alias("end"), number.alias("exon_number"))
-    return gene.unionByName(trans).unionByName(exon)
-
-
 def _gtf_line(source: str, attributes: Column) -> Column:
     s = lambda c: F.col(c).cast("string")
     return F.concat_ws("\t", "scaf", F.lit(source), "feature", s("start"), s("end"), F.lit("."), "strand", F.lit("."), attributes)
@@ -81,21 +69,21 @@ def coding_features(exons: DataFrame) -> DataFrame:
     return exons.withColumn("y", F.explode(found)).drop("start", "end").select("*", "y.*").drop("y")
 
 
-def bed_to_gtf_orf(m: DataFrame, source: str = "PBRI") -> DataFrame:
+def bed_to_gtf_orf(m: DataFrame, source: str = "PBRI", tool: str = "spliceflow") -> DataFrame:
     """``m``: ord, id_line (gene;trans;protein;degrade;match;nmd;..), scaf, strand, starts, ends, cds_start,
-    cds_end (BED). (gene_ord, ord, sect, place, sub, line) with coding features."""
+    cds_end (BED). (gene_ord, ord, sect, place, sub, line) with coding features, made by ``tool``."""
     ids = F.split("id_line", ";")
     part = lambda i, to: F.coalesce(F.get(ids, i), F.lit("")).alias(to)
     m = m.select(
         "ord", "scaf", "strand", "starts", "ends", (F.col("cds_start") + 1).alias("cds_start"), "cds_end", (F.col("starts")[0] + 1).alias("left"), F.element_at("ends", -1).alias("right"),
-        *(part(i, c) for i, c in enumerate(("gene", "trans", "protein", "degrade", "match", "nmd"))), F.lit("tama").alias("made"),
+        *(part(i, c) for i, c in enumerate(("gene", "trans", "protein", "degrade", "match", "nmd"))), F.lit(tool).alias("made"),
     )
     gene = m.groupBy("gene").agg(F.min("ord").alias("gene_ord"), F.min_by("scaf", "ord").alias("scaf"), F.min_by("strand", "ord").alias("strand"), F.min("left").alias("start"), F.max("right").alias("end"))
     rows = m.join(gene.select("gene", "gene_ord"), "gene")
     flat = lambda sect, place, sub, line: (sect.alias("sect"), place.cast("int").alias("place"), sub.alias("sub"), line.alias("line"))
     zero, gid, tid = F.lit(0), ("gene_id", "gene"), ("transcript_id", "trans")
     made = [("gene_source", "made"), ("transcript_source", "made")]
-    head = gene.withColumn("made", F.lit("tama")).withColumn("feature", F.lit("gene")).select("gene_ord", F.lit(-1).cast("long").alias("ord"), *flat(zero, zero, zero, _gtf_line(source, _quoted([gid, made[0]], " "))))
+    head = gene.withColumn("made", F.lit(tool)).withColumn("feature", F.lit("gene")).select("gene_ord", F.lit(-1).cast("long").alias("ord"), *flat(zero, zero, zero, _gtf_line(source, _quoted([gid, made[0]], " "))))
     whole = rows.withColumn("feature", F.lit("transcript")).withColumn("start", F.col("left")).withColumn("end", F.col("right"))
     whole = whole.select("gene_ord", "ord", *flat(zero, zero, zero, _gtf_line(source, _quoted([gid, tid, *made], " "))))
     tags = [("prot_id", "protein"), ("degrade_flag", "degrade"), ("match_flag", "match"), ("nmd_flag", "nmd")]
@@ -103,12 +91,6 @@ def bed_to_gtf_orf(m: DataFrame, source: str = "PBRI") -> DataFrame:
     return head.unionByName(whole).unionByName(part_rows)
 
 
-def from_gtf_exons(features: DataFrame) -> DataFrame:
-    """Models from exon rows alone: (tx, scaf, strand, starts, ends) in 0-based half-open bounds."""
-    packed = features.where("feature = 'exon'").groupBy("tx", "scaf", "strand").agg(F.array_sort(F.collect_list(F.struct((F.col("start") - 1).alias("s"), F.col("end").alias("e")))).alias("x"))
-    return packed.select("tx", "scaf", "strand", F.col("x.s").alias("starts"), F.col("x.e").alias("ends"))
-
-
 def reshuffle_ids(rows: DataFrame, column: str, order: list[int], delimiter: str = ";") -> DataFrame:
     """Fields of a packed id in the given 1-based order; a missing one is an error."""
     parts = F.split(F.col(column), f"[{delimiter}]")
@@ -156,8 +138,3 @@ def split_scaffolds(rows: DataFrame, parts: int) -> DataFrame:
         plan.append((r["scaf"], file))
     table = rows.sparkSession.createDataFrame(plan, "scaf string, file long")
     return rows.join(table, "scaf")
-
-
-def tail_runs(reads: DataFrame) -> DataFrame:
-    """Length of each read's closing run of A, and how many reads have it."""
-    return reads.select(F.length(F.regexp_extract("seq", "(A*)$", 1)).alias("tail")).groupBy("tail").agg(F.count(F.lit(1)).alias("reads"))

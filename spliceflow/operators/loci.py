@@ -8,12 +8,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bases of a bin; a scaffold's intervals are walked bin by bin, with what reaches over from those before.
+BIN = 1 << 20
+
+
+def _binned(rows: DataFrame, keys: list[str], start: str, *held: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows with _bin, per keys and _bin the largest _held of all bins before)."""
+    rows = rows.withColumn("_bin", F.floor(F.col(start) / BIN))
+    top = rows.groupBy(*keys, "_bin").agg(F.max(F.struct(*held)).alias("_held"))
+    before = F.max("_held").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    return rows, top.select(*keys, "_bin", before.alias("_held"))
+
+
 def islands(rows: DataFrame, keys: list[str], start: str, end: str, order: list[str], name: str, touching: bool = True) -> DataFrame:
-    """Numbers runs of overlapping intervals; intervals that only touch join where ``touching``."""
-    w = Window.partitionBy(*keys).orderBy(start, *order)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    """Numbers runs of overlapping intervals; intervals that only touch join where ``touching``.
+
+    Windows hold one bin of ``BIN`` bases; the reach and the number of islands of the bins before, one
+    row each, are carried over.
+    """
+    rows, over = _binned(rows, keys, start, F.col(end).alias("end"))
+    w = Window.partitionBy(*keys, "_bin").orderBy(start, *order)
+    reach = F.greatest(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_held.end"))
     fresh = (F.col(start) > reach) if touching else (F.col(start) >= reach)
-    return rows.withColumn("_new", F.when(reach.isNull() | fresh, 1).otherwise(0)).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    rows = rows.join(over, [*keys, "_bin"]).withColumn("_new", F.when(reach.isNull() | fresh, 1).otherwise(0))
+    made = rows.groupBy(*keys, "_bin").agg(F.sum("_new").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    made = made.select(*keys, "_bin", F.coalesce(before, F.lit(0)).alias("_before"))
+    number = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_nth", number).join(made, [*keys, "_bin"]).withColumn(name, F.col("_before") + F.col("_nth")).drop("_bin", "_held", "_new", "_nth", "_before")
+
+
+def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the place (from 1) in the order of ``order``. Ranges of rows are numbered on their own; only
+    their sizes, one a task, meet in one window."""
+    dealt = kept(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    size = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    size = F.broadcast(size.select("_part", F.coalesce(before, F.lit(0)).alias("_before")))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_nth", nth).join(size, "_part").withColumn(name, F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before")
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -44,12 +77,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def gene_groups(exons: DataFrame, tx: str = "tx") -> DataFrame:
-    """(tx, gene): transcripts whose exons overlap, in chains, by scaffold and strand. An exon island
-    is a chain of overlapping exons, so transcripts and islands make a sparse bipartite graph."""
-    found = islands(exons, ["scaf", "strand"], "s", "e", ["e", tx, "k"], "island")
-    least = found.groupBy("scaf", "strand", "island").agg(F.min(tx).alias("hub"))
-    edges = found.join(least, ["scaf", "strand", "island"]).select(F.col(tx).alias("a"), F.col("hub").alias("b"))
-    group = components(edges, "a", "b")
+    """(tx, gene): transcripts whose exons overlap, in chains, by scaffold and strand. Each exon is linked
+    with the transcript whose exon reaches furthest of all that start before it, if it overlaps that one;
+    this sparse graph has the components of all overlapping pairs."""
+    keys = ["scaf", "strand"]
+    rows, over = _binned(exons.select(*keys, tx, "k", "s", "e"), keys, "s", F.col("e").alias("end"), F.col(tx).alias("who"))
+    w = Window.partitionBy(*keys, "_bin").orderBy("s", "e", tx, "k").rowsBetween(Window.unboundedPreceding, -1)
+    furthest = F.greatest(F.max(F.struct(F.col("e").alias("end"), F.col(tx).alias("who"))).over(w), F.col("_held"))
+    edges = rows.join(over, [*keys, "_bin"]).withColumn("_far", furthest).where(F.col("s") <= F.col("_far.end"))
+    group = components(edges.select(F.col(tx).alias("a"), F.col("_far.who").alias("b")), "a", "b")
     return exons.select(tx).distinct().join(group.withColumnRenamed("id", tx), tx, "left").select(tx, F.coalesce("component", tx).alias("gene"))
 
 

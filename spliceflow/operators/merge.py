@@ -126,10 +126,15 @@ def _phased(rows: DataFrame, five: int, junction: int, three: int) -> DataFrame:
     return found.select("tx", "gene", F.concat_ws("-", F.col("gene").cast("string"), F.col("nth").cast("string")).alias("model"))
 
 
-def _colour(names: list[str]) -> Column:
-    """Of the column ``sources``: sorted names."""
+def colour(sources: Column, names: list[str]) -> Column:
+    """Of an array of sorted source names: the colour of the only one's rank, or that of several."""
     rank = F.create_map(*(F.lit(x) for i, n in enumerate(sorted(set(names))) for x in (n, COLOURS[min(i, len(COLOURS) - 1)])))
-    return F.when(F.size("sources") > 1, F.lit(COLOURS[-1])).otherwise(F.element_at(rank, F.col("sources")[0]))
+    return F.when(F.size(sources) > 1, F.lit(COLOURS[-1])).otherwise(F.element_at(rank, sources[0]))
+
+
+def sources_of() -> Column:
+    """Aggregates the names of a model's sources."""
+    return F.array_sort(F.collect_set("src"))
 
 
 def merge(
@@ -179,17 +184,17 @@ def merge(
     extra = F.array_sort(F.collect_list(F.when(among(ids_of), F.struct("tx", F.concat_ws(";", "gene_id", "trans_id").alias("id")))))
     cds = F.max(F.when(among(cds_of), F.struct("tx", F.col("cds_start").alias("a"), F.col("cds_end").alias("b"))))
     where = members.groupBy("model").agg(
-        *(F.first(c).alias(c) for c in ("gene", "scaf", "strand")), F.array_sort(F.collect_set("src")).alias("sources"), F.min("tx").alias("least"), extra.alias("extra"), cds.alias("cds"),
+        *(F.first(c).alias(c) for c in ("gene", "scaf", "strand")), sources_of().alias("sources"), F.min("tx").alias("least"), extra.alias("extra"), cds.alias("cds"),
         F.count(F.lit(1)).alias("num_clusters"),
     )
     built = bounds.join(where, "model").withColumn("key", F.concat(F.flatten(F.zip_with("starts", "ends", lambda a, b: F.array(a, b))), F.array("least")))
-    found = loci.islands(rows, ["scaf"], "ts", "te", ["te", "tx"], "locus", touching=False)
-    genes = found.groupBy("gene").agg(F.first("scaf").alias("g1"), F.min("locus").alias("g2"), F.min("ts").alias("g3"), F.first("strand").alias("g4"))
+    # A gene lies in one locus and loci lie apart, so genes by their start are genes by locus.
+    genes = rows.groupBy("gene").agg(F.first("scaf").alias("g1"), F.min("ts").alias("g2"), F.first("strand").alias("g3"))
     out = numbered(genes, built).withColumn("gene_id", F.concat(F.lit("G"), F.col("gene_no").cast("string"))).withColumn("trans_id", F.concat("gene_id", F.lit("."), F.col("model_no").cast("string")))
     has = F.coalesce(F.col("cds.a") != 0, F.lit(False))
     thick = (F.when(has, F.col("cds.a")).otherwise(F.col("starts")[0]), F.when(has, F.col("cds.b")).otherwise(F.element_at("ends", -1)))
     ids = F.concat_ws(";", "gene_id", "trans_id", F.col("extra.id"))
-    out = out.withColumn("line", bed_line(F.col("scaf"), ids, F.col("strand"), F.col("starts"), F.col("ends"), rgb=_colour([s.name for s in sources]), thick=thick))
+    out = out.withColumn("line", bed_line(F.col("scaf"), ids, F.col("strand"), F.col("starts"), F.col("ends"), rgb=colour(F.col("sources"), [s.name for s in sources]), thick=thick))
     mine = members.select("model", "tx", "scaf", "strand", "starts", "ends", "gene_id", F.col("src").alias("source"), F.col("trans_id").alias("source_trans"))
     uid = F.concat(F.col("trans_id"), F.lit(";"), F.concat_ws("_", "source", "source_trans"))
     from_ = mine.join(out.select("model", "trans_id", F.col("gene_id").alias("gene"), "gene_no", "model_no"), "model").withColumn("line", bed_line(F.col("scaf"), uid, F.col("strand"), F.col("starts"), F.col("ends")))

@@ -48,29 +48,6 @@ def spliced_to_genome(strand: Column, starts: Column, ends: Column, place: Colum
     return F.aggregate(F.arrays_zip(starts.alias("s"), ends.alias("e")), zero, step, lambda a: a["hit"])
 
 
-def project_cds(rows: DataFrame, nmd_distance: int = 50) -> DataFrame:
-    """``rows``: tx, strand, starts, ends, nuc_start, nuc_end (spliced places). Adds thick bounds,
-    degrade and nmd flags: a stop more than ``nmd_distance`` spliced bases before the last junction."""
-    at = lambda c: spliced_to_genome(F.col("strand"), F.col("starts"), F.col("ends"), F.col(c))
-    sizes = F.zip_with("ends", "starts", lambda e, s: e - s)
-    forward = F.when(F.col("strand") == "+", sizes).otherwise(F.reverse(sizes))
-    ends = F.transform(F.sequence(F.lit(1), F.size(forward)), lambda i: F.aggregate(F.slice(forward, F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x))
-    behind = F.size(F.filter(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda j: j - F.col("nuc_end") > nmd_distance))
-    return rows.withColumn("g1", at("nuc_start")).withColumn("g2", at("nuc_end")).where(F.col("g1").isNotNull() & F.col("g2").isNotNull()).select(
-        "tx", F.least("g1", "g2").alias("thick_start"), (F.greatest("g1", "g2") + 1).alias("thick_end"),
-        F.when(F.col("nuc_start") < 3, "5prime_degrade").otherwise("full_length").alias("degrade_flag"),
-        F.when((F.size("starts") > 1) & (behind > 0), F.concat(F.lit("NMD"), behind.cast("string"))).otherwise("prot_ok").alias("nmd_flag"),
-    )
-
-
-def extract_cds(rows: DataFrame) -> DataFrame:
-    """Exons cut to [cds_start, cds_end); rows without a CDS (0, 0) go."""
-    x = F.filter(
-        F.zip_with("starts", "ends", lambda s, e: F.struct(F.greatest(s, F.col("cds_start")).alias("s"), F.least(e, F.col("cds_end")).alias("e"))), lambda x: x["s"] < x["e"],
-    )
-    return rows.where("cds_end > 0").withColumn("x", x).where(F.size("x") > 0).select("tx", F.col("x.s").alias("starts"), F.col("x.e").alias("ends"))
-
-
 def seek(seqs: DataFrame, lengths: int = 4) -> DataFrame:
     """``seqs``: rec_no, id, seq. (rec_no, place, header, protein): the longest reading frames of each
     record; one marked missing_nucleotides (no protein) where a codon holds another letter than ACGT."""

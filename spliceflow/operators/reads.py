@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spliceflow.operators import loci
+
 
 def support_levels(support: DataFrame) -> DataFrame:
     """gene, trans, gene_reads, trans_reads: distinct reads of the gene and of the model."""
@@ -43,10 +45,10 @@ def single_read(models: DataFrame, support: DataFrame, level: str = "gene", keep
 
 def renumbered(models: DataFrame, kept: DataFrame) -> DataFrame:
     """``models``: ord, gene, trans and more. Adds new_gene and new_trans, null for rows that ``kept`` (gene,
-    trans) lacks; genes and models keep their order. Only genes are ranked in one window."""
+    trans) lacks; genes and models keep their order."""
     rows = models.join(kept.select("gene", "trans", F.lit(True).alias("stays")).distinct(), ["gene", "trans"], "left")
     genes = rows.groupBy("gene").agg(F.min("ord").alias("first"), F.max("stays").alias("any")).where("any")
-    genes = genes.select("gene", F.concat(F.lit("G"), F.row_number().over(Window.orderBy("first")).cast("string")).alias("g"))
+    genes = loci.ranked(genes.select("gene", "first"), ["first"], "place").select("gene", F.concat(F.lit("G"), F.col("place").cast("string")).alias("g"))
     nth = F.sum(F.when(F.col("stays"), 1).otherwise(0)).over(Window.partitionBy("gene").orderBy("ord"))
     rows = rows.withColumn("nth", nth).join(genes, "gene", "left")
     return rows.withColumn("new_gene", F.when(F.col("stays"), F.col("g"))).withColumn("new_trans", F.concat("new_gene", F.lit("."), F.col("nth").cast("string"))).drop("stays", "nth", "g")
@@ -105,16 +107,17 @@ def degradation_signature(capped_models: int, nocap_models: int) -> float:
 
 def saturation(reads: DataFrame, bin_size: int) -> DataFrame:
     """``reads``: ord, read_id, gene. (read_count, genes) at every ``bin_size``-th read; the genes are
-    those of the reads before it. Positions come from per-chunk totals, so no task gets all reads."""
+    those of the reads before it. Ranges of reads are counted on their own, so no task gets all reads."""
     first = reads.groupBy("read_id").agg(F.min_by("gene", "ord").alias("gene"), F.min("ord").alias("ord"))
     opens = first.groupBy("gene").agg(F.min("ord").alias("ord")).withColumn("opens", F.lit(1))
-    rows = first.join(opens, ["gene", "ord"], "left").withColumn("chunk", F.floor(F.col("ord") / 65536))
-    inside = Window.partitionBy("chunk").orderBy("ord")
-    rows = rows.withColumn("nth", F.row_number().over(inside)).withColumn("seen", F.coalesce(F.sum(F.coalesce("opens", F.lit(0))).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sizes = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("c"), F.sum(F.coalesce("opens", F.lit(0))).alias("o"))
-    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("chunk", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c"), F.coalesce(F.sum("o").over(before), F.lit(0)).alias("o"))
-    rows = rows.join(F.broadcast(sizes), "chunk").select((F.col("nth") + F.col("c")).alias("read_count"), (F.col("seen") + F.col("o")).alias("genes"))
+    rows = first.join(opens, ["gene", "ord"], "left").select("ord", F.coalesce("opens", F.lit(0)).alias("opens"))
+    rows = loci.kept(rows.repartitionByRange("ord").withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("part").orderBy("ord")
+    rows = rows.withColumn("nth", F.row_number().over(inside)).withColumn("seen", F.sum("opens").over(inside) - F.col("opens"))
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("c"), F.sum("opens").alias("o"))  # one row a task
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c"), F.coalesce(F.sum("o").over(before), F.lit(0)).alias("o"))
+    rows = rows.join(F.broadcast(sizes), "part").select((F.col("nth") + F.col("c")).alias("read_count"), (F.col("seen") + F.col("o")).alias("genes"))
     return rows.where(F.col("read_count") % bin_size == 0)
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from spliceflow.functions import alignment as al
 from spliceflow.functions import sequence as sq
 from spliceflow.functions.render import bed_line
-from spliceflow.operators import cleanup, convert, fragments, loci, nocap, orf, reads, variants
+from spliceflow.operators import cleanup, collapse, convert, fragments, loci, merge, nocap, orf, reads, variants
 from spliceflow.plans import views as v
+from spliceflow.sources import annotation
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -153,13 +154,12 @@ def merge_priority_vote(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {v.EXON}, {v.MODEL}, {_GROUPED},
 s AS (SELECT DISTINCT g.model, m.src FROM grouped g JOIN model m USING (tx)), rank AS (SELECT src, row_number() OVER (ORDER BY src) AS colour FROM (SELECT DISTINCT src FROM model))
-SELECT model, string_agg(src, ',' ORDER BY src) AS sources, count(*) AS n_sources, CASE WHEN count(*) > 1 THEN 10 ELSE CAST(max(colour) AS INTEGER) END AS colour FROM s JOIN rank USING (src) GROUP BY model""")
+SELECT model, string_agg(src, ',' ORDER BY src) AS sources, count(*) AS n_sources, CASE WHEN count(*) > 1 THEN '200,0,255' ELSE ['255,0,0', '255,100,0', '255,200,0', '200,255,0', '0,255,200'][CAST(max(colour) AS INTEGER)] END AS colour FROM s JOIN rank USING (src) GROUP BY model""")
 def merge_sources(spark, sf_dir):
     m = _models(spark, sf_dir)
-    per = loci.grouped_models(m).join(m.select("tx", "src"), "tx").groupBy("model").agg(F.array_sort(F.collect_set("src")).alias("x"))
-    names = [r["src"] for r in m.select("src").distinct().orderBy("src").limit(100).collect()]
-    place = F.array_position(F.array(*map(F.lit, names)), F.col("x")[0]).cast("int")
-    return per.select("model", F.array_join("x", ",").alias("sources"), F.size("x").cast("long").alias("n_sources"), F.when(F.size("x") > 1, 10).otherwise(place).alias("colour"))
+    per = loci.grouped_models(m).join(m.select("tx", "src"), "tx").groupBy("model").agg(merge.sources_of().alias("x"))
+    names = [r["src"] for r in m.select("src").distinct().collect()]  # a merge's list of sources, given by hand there
+    return per.select("model", F.array_join("x", ",").alias("sources"), F.size("x").cast("long").alias("n_sources"), merge.colour(F.col("x"), names).alias("colour"))
 
 
 @query(f"""WITH {v.EXON}, {v.MODEL},
@@ -177,8 +177,9 @@ def nocap_pairs(spark, sf_dir):
 
 @query(f"WITH {v.EXON}, {v.MODEL} SELECT scaf, strand, min(tx) AS tx, count(*) AS members, array_to_string(starts, ',') AS starts, array_to_string(ends, ',') AS ends FROM model GROUP BY scaf, strand, starts, ends")
 def model_dedup(spark, sf_dir):
-    m = _models(spark, sf_dir).groupBy("scaf", "strand", "starts", "ends").agg(F.min("tx").alias("tx"), F.count(F.lit(1)).alias("members"))
-    return m.withColumn("starts", _csv("starts")).withColumn("ends", _csv("ends"))
+    m = _models(spark, sf_dir).select(F.col("scaf").alias("gene"), "scaf", "strand", "starts", "ends", F.col("tx").alias("tie"), F.col("tx").alias("model"))
+    m = collapse.joined_duplicates(m)
+    return m.select("scaf", "strand", F.col("model").alias("tx"), F.size("all").cast("long").alias("members"), _csv("starts").alias("starts"), _csv("ends").alias("ends"))
 
 
 @query(f"""WITH {v.EXON}, {v.MODEL} SELECT tx, concat_ws(chr(9), scaf, ts, te, 'G' || tx || ';G' || tx || '.1', '40', strand, ts, te, '255,0,0', n,
@@ -188,19 +189,33 @@ def bed12_render(spark, sf_dir):
     return _models(spark, sf_dir).select("tx", bed_line(F.col("scaf"), F.concat(F.lit("G"), t, F.lit(";G"), t, F.lit(".1")), F.col("strand"), F.col("starts"), F.col("ends")).alias("line"))
 
 
-@query(f"""WITH RECURSIVE {v.EXON}, {v.MODEL}, {_GROUPED}, m AS (SELECT g.model AS gene, model.* FROM model JOIN grouped g USING (tx))
-SELECT gene, CAST(0 AS BIGINT) AS tx, scaf, strand, 'gene' AS feature, min(ts) + 1 AS start, max(te) AS "end", 0 AS exon_number FROM m GROUP BY gene, scaf, strand
-UNION ALL SELECT gene, tx, scaf, strand, 'transcript', ts + 1, te, 0 FROM m
-UNION ALL SELECT m.gene, m.tx, m.scaf, m.strand, 'exon', e.s + 1, e.e, CAST(CASE WHEN m.strand = '+' THEN e.k ELSE m.n - e.k + 1 END AS INTEGER) FROM m JOIN exon e ON e.tx = m.tx""")
+_ID = "'gene_id \"G' || gene || '\";'"
+
+
+@query(f"""WITH RECURSIVE {v.EXON}, {v.MODEL}, {_GROUPED}, m AS (SELECT g.model AS gene, model.* FROM model JOIN grouped g USING (tx)), f AS (SELECT *, first_value(scaf) OVER w AS gs, first_value(strand) OVER w AS gd FROM m WINDOW w AS (PARTITION BY gene ORDER BY tx)),
+x AS (SELECT gene, CAST(-1 AS BIGINT) AS ord, CAST(0 AS INTEGER) AS place, any_value(gs) AS scaf, any_value(gd) AS strand, 'gene' AS feature, min(ts) + 1 AS a, max(te) AS b, {_ID} AS att FROM f GROUP BY gene
+UNION ALL SELECT gene, tx, 0, scaf, strand, 'transcript', ts + 1, te, {_ID} || ' transcript_id "T' || tx || '"; uniq_trans_id "T' || tx || '";' FROM m
+UNION ALL SELECT m.gene, m.tx, CAST(e.k AS INTEGER), m.scaf, m.strand, 'exon', e.s + 1, e.e, {_ID} || ' transcript_id "T' || m.tx || '"; exon_number "' || CASE WHEN m.strand = '+' THEN e.k ELSE m.n - e.k + 1 END || '"; uniq_trans_id "T' || m.tx || '";' FROM m JOIN exon e ON e.tx = m.tx)
+SELECT gene, ord, place, concat_ws(chr(9), scaf, 'PBRI', feature, a, b, '.', strand, '.', att) AS line FROM x""")
 def bed2gtf_features(spark, sf_dir):
     m = _models(spark, sf_dir)
-    return convert.gtf_features(loci.grouped_models(m).join(m, "tx").withColumnRenamed("model", "gene"))
+    m = loci.grouped_models(m).join(m, "tx").select(F.col("tx").alias("ord"), F.concat(F.lit("G"), F.col("model").cast("string")).alias("gene"), F.concat(F.lit("T"), F.col("tx").cast("string")).alias("trans"), "scaf", "strand", "starts", "ends")
+    lines = convert.bed_to_gtf(m)
+    return lines.select(F.regexp_extract("line", 'gene_id "G([0-9]+)"', 1).cast("long").alias("gene"), "ord", "place", "line")
 
 
 @query(f"WITH {v.EXON}, {v.MODEL} SELECT tx, scaf, strand, array_to_string(starts, ',') AS starts, array_to_string(ends, ',') AS ends FROM model")
 def gtf2bed_roundtrip(spark, sf_dir):
-    m = convert.from_gtf_exons(convert.gtf_features(_models(spark, sf_dir).withColumn("gene", F.col("tx"))))
-    return m.select("tx", "scaf", "strand", _csv("starts").alias("starts"), _csv("ends").alias("ends"))
+    name = lambda c: F.concat(F.lit(c), F.col("tx").cast("string"))
+    m = _models(spark, sf_dir).select(F.col("tx").alias("ord"), name("G").alias("gene"), name("T").alias("trans"), "scaf", "strand", "starts", "ends")
+    c = F.split("line", "\t")
+    rows = convert.bed_to_gtf(m).select(
+        (F.col("gene_ord") * 64 + F.col("place") + (F.col("ord") >= 0).cast("int")).alias("ord"),
+        *(c[i].cast("long" if n in ("start", "end") else "string").alias(n) for i, n in enumerate(("seqname", "source", "feature", "start", "end", "score", "strand", "frame", "attributes"))),
+    )
+    # The gene's own line names no model, which this dialect takes as an error.
+    m = annotation.models(rows.where("feature <> 'gene'"), "cupcake")
+    return m.select(F.regexp_extract("id_line", "T([0-9]+)$", 1).cast("long").alias("tx"), F.col("scaffold").alias("scaf"), "strand", _csv("starts").alias("starts"), _csv("ends").alias("ends"))
 
 
 @query()
@@ -252,10 +267,10 @@ def read_accept(spark, sf_dir):
 _FLAGS = "r AS (SELECT event_id, [0, 16, 4, 256, 2048, 7][CAST(event_id % 6 AS INTEGER) + 1] AS flag, CASE WHEN user_id % 3 = 0 THEN '+' WHEN user_id % 3 = 1 THEN '-' END AS xs FROM events)"
 
 
-@query(f"WITH {_FLAGS} SELECT event_id, flag, xs FROM r WHERE (flag = 0 AND xs = '-') OR (flag = 16 AND xs = '+')")
+@query(f"WITH {_FLAGS} SELECT event_id, CASE flag WHEN 0 THEN '+' ELSE '-' END || xs AS strands FROM r WHERE (flag = 0 AND xs = '-') OR (flag = 16 AND xs = '+')")
 def strand_check(spark, sf_dir):
-    r = _flags(spark, sf_dir)
-    return r.where(((F.col("flag") == 0) & (F.col("xs") == "-")) | ((F.col("flag") == 16) & (F.col("xs") == "+")))
+    sam = _flags(spark, sf_dir).select(F.col("event_id").alias("read_id"), "flag", F.col("xs").alias("xs_strand"), F.lit("c").alias("scaffold"), F.lit(1).alias("start_pos"), F.lit("1M").alias("cigar"))
+    return collapse.strand_conflicts(sam).select(F.col("read_id").alias("event_id"), "strands")
 
 
 def _flags(spark, sf_dir) -> DataFrame:
@@ -305,23 +320,30 @@ def orf_top4(spark, sf_dir):
 
 
 @query(f"""WITH {v.EXON}, {v.MODEL},
-x AS (SELECT tx, strand, k, s, e, sum(e - s) OVER (PARTITION BY tx ORDER BY CASE WHEN strand = '+' THEN k ELSE -k END ROWS UNBOUNDED PRECEDING) AS upto FROM exon),
-want AS (SELECT tx, tx % 7 AS a, tx % 7 + 20 AS b FROM model),
-g AS (SELECT w.tx, w.a, w.b, max(CASE WHEN w.a >= upto - (e - s) AND w.a < upto THEN CASE WHEN strand = '+' THEN s + w.a - (upto - (e - s)) ELSE e - 1 - (w.a - (upto - (e - s))) END END) AS g1,
-  max(CASE WHEN w.b >= upto - (e - s) AND w.b < upto THEN CASE WHEN strand = '+' THEN s + w.b - (upto - (e - s)) ELSE e - 1 - (w.b - (upto - (e - s))) END END) AS g2,
-  count(*) AS n, count_if(upto - w.b > 50) AS far, max(upto) - w.b > 50 AS tail FROM want w JOIN x ON x.tx = w.tx GROUP BY w.tx, w.a, w.b)
-SELECT tx, CAST(least(g1, g2) AS BIGINT) AS thick_start, CAST(greatest(g1, g2) + 1 AS BIGINT) AS thick_end, CASE WHEN a < 3 THEN '5prime_degrade' ELSE 'full_length' END AS degrade_flag,
-  CASE WHEN n > 1 AND far - (CASE WHEN tail THEN 1 ELSE 0 END) > 0 THEN 'NMD' || (far - 1) ELSE 'prot_ok' END AS nmd_flag FROM g WHERE g1 IS NOT NULL AND g2 IS NOT NULL""")
+p AS (SELECT m.*, tx % 7 AS n1, tx % 7 + 20 AS n2, (SELECT sum(x.e - x.s) FROM exon x WHERE x.tx = m.tx) AS len FROM model m),
+w AS (SELECT *, CASE WHEN strand = '+' THEN n1 ELSE len - (n2 - 2) END AS f, CASE WHEN strand = '+' THEN n2 - 2 ELSE len - n1 END AS t FROM p),
+x AS (SELECT tx, k - 1 AS i, s, e, coalesce(sum(e - s) OVER (PARTITION BY tx ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, sum(e - s) OVER (PARTITION BY tx ORDER BY k ROWS UNBOUNDED PRECEDING) AS z FROM exon),
+h AS (SELECT w.tx, coalesce(arg_max(i, i) FILTER (f >= a AND f < z), 0) AS si, coalesce(arg_max(s + f - a, i) FILTER (f >= a AND f < z), 0) AS cs, coalesce(arg_max(i, i) FILTER (t >= a AND t <= z), 0) AS ei, coalesce(arg_max(s + t - a, i) FILTER (t >= a AND t <= z), 0) AS ce FROM w JOIN x ON x.tx = w.tx GROUP BY w.tx),
+g AS (SELECT h.*, w.strand, n - 1 - ei AS tail, CASE WHEN strand = '+' THEN n - 1 - ei > 0 AND starts[-1] - ce > 50 ELSE si > 0 AND cs - ends[1] > 50 END AS far FROM h JOIN w USING (tx))
+SELECT tx, CAST(CASE WHEN tx % 5 = 0 OR tx % 11 = 0 THEN 0 ELSE cs END AS BIGINT) AS cds_start, CAST(CASE WHEN tx % 5 = 0 OR tx % 11 = 0 THEN 0 ELSE ce END AS BIGINT) AS cds_end,
+  CASE WHEN tx % 11 = 0 THEN 'T' || tx || ';none;missing;no_orf;missing;na' WHEN tx % 5 = 0 THEN 'T' || tx || ';P' || tx || ';missing;missing_nucleotides;missing;missing'
+  ELSE 'T' || tx || ';P' || tx || ';' || CASE WHEN tx % 3 = 1 THEN '5prime_degrade' ELSE 'full_length' END || ';full_match;' || CASE WHEN far THEN 'NMD' || CASE WHEN strand = '+' THEN tail ELSE si END ELSE 'prot_ok' END || ';F1' END AS id_line FROM g""")
 def cds_project(spark, sf_dir):
-    return orf.project_cds(_models(spark, sf_dir).withColumn("nuc_start", F.col("tx") % 7).withColumn("nuc_end", F.col("tx") % 7 + 20))
+    m = _models(spark, sf_dir).withColumn("id_line", F.concat(F.lit("T"), F.col("tx").cast("string")))
+    sizes = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+    match = F.when(F.col("tx") % 5 == 0, "missing_nucleotides").otherwise("full_match")
+    parsed = m.where("tx % 11 <> 0").select(F.col("id_line").alias("id"), F.lit("F1").alias("frame"), (F.col("tx") % 7).alias("nuc_start"), (F.col("tx") % 7 + 20).alias("nuc_end"), (F.col("tx") % 3).alias("rel_start"), F.concat(F.lit("P"), F.col("tx").cast("string")).alias("subject"), match.alias("match"))
+    lengths = m.select(F.col("id_line").alias("id"), sizes.alias("length"))
+    done = orf.add_cds(m.select("tx", "id_line", "strand", "starts", "ends"), parsed, lengths)
+    return done.select("tx", F.col("cds_start").cast("long").alias("cds_start"), F.col("cds_end").cast("long").alias("cds_end"), "id_line")
 
 
 @query(f"""WITH {v.EXON}, {v.MODEL}, c AS (SELECT tx, ts + tx % 15 AS a, te - tx % 25 AS b FROM model),
 x AS (SELECT e.tx, e.k, greatest(s, a) AS s, least(e.e, b) AS e FROM exon e JOIN c ON c.tx = e.tx)
 SELECT tx, string_agg(s, ',' ORDER BY k) AS starts, string_agg(e, ',' ORDER BY k) AS ends FROM x WHERE s < e GROUP BY tx""")
 def cds_extract(spark, sf_dir):
-    m = _models(spark, sf_dir).withColumn("cds_start", F.col("ts") + F.col("tx") % 15).withColumn("cds_end", F.col("te") - F.col("tx") % 25)
-    return orf.extract_cds(m).select("tx", _csv("starts").alias("starts"), _csv("ends").alias("ends"))
+    m = _models(spark, sf_dir).withColumn("cds_start", F.col("ts") + F.col("tx") % 15).withColumn("cds_end", F.col("te") - F.col("tx") % 25).withColumn("id_line", F.col("tx").cast("string"))
+    return orf.coding_models(m).select("tx", _csv("starts").alias("starts"), _csv("ends").alias("ends"))
 
 
 # ---- read support, filters, statistics -------------------------------------------------------------
@@ -492,7 +514,8 @@ def id_reshuffle(spark, sf_dir):
 
 @query(f"WITH {v.SEQ} SELECT CAST(length(regexp_extract(seq, 'A*$')) AS INTEGER) AS tail, count(*) AS reads FROM seqs GROUP BY 1")
 def tail_histogram(spark, sf_dir):
-    return convert.tail_runs(v.sequences(spark, sf_dir))
+    runs = v.sequences(spark, sf_dir).select(F.length(F.regexp_extract("seq", "(A*)$", 1)).alias("polya_count"))
+    return cleanup.tail_histogram(runs).select(F.col("polya_num").alias("tail"), F.col("polya_num_count").alias("reads"))
 
 
 # ---- kernels and reports ----------------------------------------------------------------------------
