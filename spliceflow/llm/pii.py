@@ -6,7 +6,7 @@ the first two numbers of an address, the first six digits of a card, a phone num
 seven digits) and its kind. A *term* is a word of three letters or more, or a shorter one with a
 capital, anywhere in a document with it. Over the corpus, IC(e) = -log2 p(e) is what an entity is
 worth and PMI(e, t) = log2 p(e, t) / (p(e) p(t)) is what a term tells of it, with p over rows and, as
-few texts may meet by chance, log2((k + 1) / k) taken off where k different texts hold both. A term
+few texts may meet by chance, log2((k + 2) / (k + 1)) taken off where k different texts hold both. A term
 whose PMI is at least ``SHARE`` of IC discloses the entity, if k is ``SUPPORT`` or more
 (``CLASS_SUPPORT`` for groups and kinds, which chance meets more often): all its occurrences in the
 documents that hold the entity become spans of kind ``term``, but for those inside base spans.
@@ -45,8 +45,13 @@ _WORD = r"(?<!\p{L})(?:\p{L}{3,}+|\p{Lu}\p{L}?+)(?!\p{L})"
 SPAN = "array<struct<s:long,k:int,e:long,v:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, also where lambdas use it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _blocks(items: Column) -> Column:
-    """An array that is not empty, in arrays of ``BLOCK``."""
+    """An array that is not empty, in arrays of ``BLOCK``; ``items`` is a variable."""
     last = F.floor((F.size(items) - 1) / BLOCK).cast("int")
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
 
@@ -60,9 +65,7 @@ def _before(values: Column, join) -> Column:
 
 def found(text: Column, pattern: str, kind: int) -> Column:
     """All matches as structs (s, k, e, v) in code points; the pieces between them give their places."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
-    sized = F.zip_with(gaps, hits, lambda a, b: F.struct(F.length(a).cast("long").alias("a"), F.length(b).cast("long").alias("b"), b.alias("v")))
+    none = F.array().cast(SPAN)
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["a"]
@@ -72,10 +75,16 @@ def found(text: Column, pattern: str, kind: int) -> Column:
     def inside(block: Column, at: Column) -> Column:
         return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
 
-    blocks = _blocks(sized)
-    sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda acc, x: acc + x["a"] + x["b"]))
-    placed = F.flatten(F.zip_with(blocks, _before(sums, lambda x, y: x + y), inside))
-    return F.when(F.size(hits) > 0, placed).otherwise(F.array().cast(SPAN))
+    def placed(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda acc, x: acc + x["a"] + x["b"]))
+        return F.flatten(F.zip_with(blocks, _before(sums, lambda x, y: x + y), inside))
+
+    def of(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+        sized = F.zip_with(gaps, hits, lambda a, b: F.struct(F.length(a).cast("long").alias("a"), F.length(b).cast("long").alias("b"), b.alias("v")))
+        return F.when(F.size(hits) > 0, _let(sized, lambda items: _let(_blocks(items), placed))).otherwise(none)
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
 
 
 def _octets(v: Column) -> Column:
@@ -150,15 +159,15 @@ def disclosing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, clas
     worth = F.log2(total / F.col("n_entity"))
     told = lambda both: F.log2(both * total / (F.col("n_entity") * F.col("n_term")))
     # With both = n_entity, the most there can be, common words fall out before pairs are counted.
-    tops = each.agg(F.max(F.pow("n_entity", F.lit(share)) * F.pow(total, F.lit(1 - share))).alias("most"))
-    counts = counts.crossJoin(F.broadcast(tops)).where(F.col("n_term") <= F.col("most") * 1.001).drop("most")
+    most = each.agg(F.max(F.pow("n_entity", F.lit(share)) * F.pow(total, F.lit(1 - share)))).first()[0]
+    counts = counts.where(F.col("n_term") <= F.lit((most or 0.0) * 1.001))
     there = held.select("doc_id", "th", F.explode(terms(F.col("text"))).alias("term")).join(counts, "term")
     there = table(there.select(F.col("doc_id").alias("t_id"), F.col("th").alias("t_th"), "term", "n_term"), "there")
     held_by = mine.join(each, "entity")
     pairs = held_by.join(there, held_by["doc_id"].eqNullSafe(there["t_id"]) & (held_by["th"] == there["t_th"])).drop("t_id", "t_th")
     pairs = pairs.where((worth > 0) & (told(F.least("n_entity", "n_term")) >= F.lit(share) * worth))
     good = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("rows").alias("n_both"), F.countDistinct("th").alias("texts"))
-    good = good.where((F.col("texts") >= least) & (told(F.col("n_both") * F.col("texts") / (F.col("texts") + 1)) >= F.lit(share) * worth)).select("entity", "term")
+    good = good.where((F.col("texts") >= least) & (told(F.col("n_both") * (F.col("texts") + 1) / (F.col("texts") + 2)) >= F.lit(share) * worth)).select("entity", "term")
     return pairs.join(table(good, "good"), ["entity", "term"], "left_semi").select("doc_id", "th", "term").distinct()
 
 
@@ -196,18 +205,21 @@ def redacted(text: Column, spans: Column) -> Column:
     ends = lambda block: F.array_max(F.transform(block, lambda x: x["e"]))
 
     def inside(block: Column, from_: Column) -> Column:
-        piece = whole(text, from_, F.greatest(from_, ends(block)) - from_)
+        def of(piece: Column) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                between = whole(piece, acc["at"] - from_, x["s"] - acc["at"])
+                kept = F.concat(acc["out"], between, F.element_at(names, x["k"] + 1))
+                return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], kept).otherwise(acc["out"]).alias("out"))
+
+            return F.aggregate(block, F.struct(from_.alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
 
-        def step(acc: Column, x: Column) -> Column:
-            between = whole(piece, acc["at"] - from_, x["s"] - acc["at"])
-            kept = F.concat(acc["out"], between, F.element_at(names, x["k"] + 1))
-            return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], kept).otherwise(acc["out"]).alias("out"))
+        return _let(whole(text, from_, F.greatest(from_, ends(block)) - from_), of)
 
-        return F.aggregate(block, F.struct(from_.alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+    def joined(blocks: Column) -> Column:
+        starts = _before(F.transform(blocks, ends), F.greatest)
+        return F.concat(F.array_join(F.zip_with(blocks, starts, inside), ""), whole(text, F.array_max(F.transform(blocks, ends)), F.length(text)))
 
-    blocks = _blocks(spans)
-    starts = _before(F.transform(blocks, ends), F.greatest)
-    return F.concat(F.array_join(F.zip_with(blocks, starts, inside), ""), whole(text, ends(spans), F.length(text)))
+    return _let(spans, lambda items: _let(_blocks(items), joined))
 
 
 def sanitise(docs: DataFrame, support: int = SUPPORT, class_support: int = CLASS_SUPPORT, share: float = SHARE) -> DataFrame:

@@ -181,7 +181,7 @@ def pii_by_hand(rows, support=2, class_support=5, share=0.9):
     tells = {
         (e, x) for (e, x), k in both.items()
         if len(groups[e]) >= least(e) and len(texts[e, x]) >= least(e) and total > size[e]
-        and np.log2(k * len(texts[e, x]) / (len(texts[e, x]) + 1) * total / (size[e] * n[x])) >= share * np.log2(total / size[e])
+        and np.log2(k * (len(texts[e, x]) + 1) / (len(texts[e, x]) + 2) * total / (size[e] * n[x])) >= share * np.log2(total / size[e])
     }
     out = []
     for found, (_, t) in zip(held, rows):
