@@ -26,10 +26,20 @@ def a_count(seq: Column) -> Column:
     return F.length(seq) - F.length(F.replace(seq, F.lit("A"), F.lit("")))
 
 
+def downstream_span(start: Column, end: Column, strand: Column, width: int = 20) -> Column:
+    """struct<s, e> (0-based, half-open) of ``width`` bases after a read's 3' end: from index ``end`` on the
+    plus strand, those before index ``start`` (1-based: the first aligned base) on the minus strand."""
+    start, end = start.cast("long"), end.cast("long")
+    first = F.greatest(start - width, F.lit(0).cast("long"))
+    plus = strand == "+"
+    return F.struct(F.when(plus, end).otherwise(first).alias("s"), F.when(plus, end + width).otherwise(start).alias("e"))
+
+
+def oriented(bases: Column, strand: Column) -> Column:
+    return F.when(strand == "+", bases).otherwise(reverse_complement(bases))
+
+
 def polya_window(genome: Column, start: Column, end: Column, strand: Column, width: int = 20) -> Column:
-    """``width`` bases after a read's 3' end: from index ``end`` on the plus strand, and the reverse
-    complement of those before index ``start`` (1-based: the first aligned base) on the minus strand."""
-    after = F.substring(genome, (end + 1).cast("int"), F.lit(width))
-    first = F.greatest(start - width, F.lit(0))
-    before = F.substring(genome, (first + 1).cast("int"), (start - first).cast("int"))
-    return F.when(strand == "+", after).otherwise(reverse_complement(before))
+    """The bases of ``downstream_span`` as the read goes on."""
+    span = downstream_span(start, end, strand, width)
+    return oriented(F.substring(genome, (span["s"] + 1).cast("int"), (span["e"] - span["s"]).cast("int")), strand)

@@ -74,9 +74,10 @@ def _after(ops: list[tuple[int, str]], j: int, blocks: dict[int, list[tuple[int,
 
 
 def walk(cigar: str, seq: str, ref: str, start: int, near: int = 10) -> Walk:
-    """``ref`` is the genome from the alignment's 1-based ``start`` on; places of variation are 0-based."""
+    """``ref`` holds the genome's bases of the exons from the 1-based ``start`` on, without the gaps between
+    them; places of variation are 0-based."""
     ops = [(int(n), "M" if op in "=X" else op) for n, op in _OP.findall(cigar)]
-    out, at, to, seen, gaps = Walk(), 0, 0, [], []
+    out, at, to, on, seen, gaps = Walk(), 0, 0, 0, [], []
     blocks: dict[int, list[tuple[int, str]]] = {}
     first = start - 1
     for k, (n, op) in enumerate(ops):
@@ -95,11 +96,12 @@ def walk(cigar: str, seq: str, ref: str, start: int, near: int = 10) -> Walk:
             out.dele += n
             out.variation.append((first + to, "D", str(n)))
             to += n
+            on += n
         elif op == "N":
             gaps.append((k, to, len(seen)))
             to += n
         elif op == "M":
-            x, y = seq[at : at + n], ref[to : to + n]
+            x, y = seq[at : at + n], ref[on : on + n]
             blocks[k] = []
             if x.upper() != y:
                 for i, (q, g) in enumerate(zip(x, y)):
@@ -109,6 +111,7 @@ def walk(cigar: str, seq: str, ref: str, start: int, near: int = 10) -> Walk:
             seen += blocks[k]
             at += n
             to += n
+            on += n
     out.mis = len(seen)
     for k, to, known in gaps:
         out.sj_pre.append(_before(ops, k, first + to, seen[:known], near))

@@ -10,22 +10,22 @@ from pyspark.sql import functions as F
 
 from spliceflow.functions import alignment as al
 from spliceflow.functions.render import bed_line
-from spliceflow.operators import loci
+from spliceflow.functions.sequence import a_count, downstream_span, oriented
+from spliceflow.operators import genome, loci
 from spliceflow.operators.alignments import CLEAN, walk
 from spliceflow.operators.nocap import nocap_members
 
 
-def _aligned(sam: DataFrame, genome: DataFrame) -> DataFrame:
-    """Mapped primary rows with exon bounds and the stretch of genome (``ref``) that each spans."""
+def _aligned(sam: DataFrame, bases: DataFrame) -> DataFrame:
+    """Mapped primary rows with exon bounds and the genome's bases of the exons, one after the other (``ref``)."""
     rows = sam.withColumn("flag_class", al.flag_class(F.col("flag"))).where(F.col("flag_class").isin("forward_strand", "reverse_strand"))
     rows = rows.withColumn("x", al.exons(al.cigar_ops(F.col("cigar")), F.col("start_pos")))
-    names = genome.select(F.col("id").alias("scaffold"), F.col("seq").alias("genome"))
-    span = (F.element_at("x.ends", -1) - F.col("start_pos")).cast("int")
-    rows = rows.join(names, "scaffold", "left").withColumn("ref", F.substring(F.coalesce("genome", F.lit("")), F.col("start_pos").cast("int"), span))
-    return rows.select("ord", "read_id", "flag_class", "scaffold", "start_pos", F.col("x.starts").alias("starts"), F.col("x.ends").alias("ends"), "cigar", "seq", "ref")
+    rows = rows.select("ord", "read_id", "flag_class", "scaffold", "start_pos", F.col("x.starts").alias("starts"), F.col("x.ends").alias("ends"), "cigar", "seq")
+    spans = F.zip_with("starts", "ends", lambda s, e: F.struct((s - 1).alias("s"), (e - 1).alias("e")))
+    return genome.stretches(rows, bases, spans, "ref")
 
 
-def read_metrics(sam: DataFrame, genome: DataFrame, min_coverage: float = 99.0, min_identity: float = 85.0, how: str = "ident_cov", near: int = 10) -> DataFrame:
+def read_metrics(sam: DataFrame, bases: DataFrame, min_coverage: float = 99.0, min_identity: float = 85.0, how: str = "ident_cov", near: int = 10) -> DataFrame:
     """Per mapped read: error counts, coverage, identity, acceptance, exon bounds (1-based, end
     exclusive), and for each junction the errors up to ``near`` bases before and after it."""
 
@@ -41,14 +41,14 @@ def read_metrics(sam: DataFrame, genome: DataFrame, min_coverage: float = 99.0,
         "ord long, read_id string, flag_class string, scaffold string, starts array<long>, ends array<long>, cigar string, length long, hard long, soft long, ins long, dele long, mis long,"
         "sj_pre array<string>, sj_post array<string>"
     )
-    rows = _aligned(sam, genome).mapInPandas(work, schema)
+    rows = _aligned(sam, bases).mapInPandas(work, schema)
     c = F.col
     cov = al.coverage(c("length"), c("hard"), c("soft"))
     ident = al.identity(c("length"), c("hard"), c("soft"), c("ins"), c("dele"), c("mis"), how)
     return rows.withColumn("coverage", cov).withColumn("identity", ident).withColumn("accepted", (c("coverage") >= min_coverage) & (c("identity") >= min_identity))
 
 
-def variation(sam: DataFrame, genome: DataFrame) -> DataFrame:
+def variation(sam: DataFrame, bases: DataFrame) -> DataFrame:
     """(scaf, pos, vtype, alt, read_id): clips, mismatches, insertions and deletions of every mapped
     read, accepted or not; places are 0-based."""
 
@@ -61,7 +61,7 @@ def variation(sam: DataFrame, genome: DataFrame) -> DataFrame:
             ]
             yield pd.DataFrame(rows, columns=["scaf", "pos", "vtype", "alt", "read_id"])
 
-    return _aligned(sam, genome).mapInPandas(work, "scaf string, pos long, vtype string, alt string, read_id string")
+    return _aligned(sam, bases).mapInPandas(work, "scaf string, pos long, vtype string, alt string, read_id string")
 
 
 def strand_conflicts(sam: DataFrame) -> DataFrame:
@@ -213,12 +213,11 @@ def trans_report(models: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def polya_report(accepted: DataFrame, genome: DataFrame, percent: float = 70.0) -> DataFrame:
+def polya_report(accepted: DataFrame, bases: DataFrame, percent: float = 70.0) -> DataFrame:
     """Reads whose 20 downstream bases hold more than ``percent`` of A."""
-    from spliceflow.functions.sequence import a_count, polya_window
-
-    names = genome.select(F.col("id").alias("scaffold"), F.col("seq").alias("genome"))
     strand = F.when(F.col("flag_class") == "forward_strand", "+").otherwise("-")
-    window = polya_window(F.col("genome"), F.col("starts")[0], F.element_at("ends", -1), strand)
-    rows = accepted.join(names, "scaffold").select("read_id", strand.alias("strand"), window.alias("downstream")).withColumn("a_count", a_count(F.col("downstream")))
+    span = downstream_span(F.col("starts")[0], F.element_at("ends", -1), strand)
+    rows = accepted.join(bases.select(F.col("id").alias("scaffold")), "scaffold", "left_semi").select("ord", "read_id", "scaffold", strand.alias("strand"), span.alias("span"))
+    rows = genome.stretches(rows, bases, F.array("span"), "stretch").select("read_id", "strand", oriented(F.col("stretch"), F.col("strand")).alias("downstream"))
+    rows = rows.withColumn("a_count", a_count(F.col("downstream")))
     return rows.withColumn("a_percent", F.col("a_count") / F.length("downstream") * 100).where(F.col("a_percent") > percent)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spliceflow.operators.genome import TILE, tiles
+
 BIN = 1000
 
 
@@ -40,15 +42,16 @@ def report(variation: DataFrame, accepted: DataFrame, genome: DataFrame, min_rea
     ``variation`` holds every mapped read's differences, ``accepted`` the reads that passed (scaffold,
     starts, ends, read_id). Scaffolds without an accepted read and places off the genome go.
     """
-    names = genome.select(F.col("id").alias("scaf"), F.col("seq").alias("genome"))
+    size = genome.select(F.col("id").alias("scaf"), F.length("seq").alias("size"))
     sound = variation.join(accepted.select(F.col("scaffold").alias("scaf")).distinct(), "scaf", "left_semi")
-    sound = sound.join(names.select("scaf", F.length("genome").alias("size")), "scaf").where("pos >= 0 AND pos < size").drop("size")
+    sound = sound.join(size, "scaf").where("pos >= 0 AND pos < size").drop("size")
     called = calls(sound, min_reads)
     pairs = F.explode(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e")))
     exons = accepted.select(F.col("scaffold").alias("scaf"), "read_id", pairs.alias("x")).select("scaf", "read_id", "x.s", "x.e")
     cover = covering(called, sound, exons)
     reads = sound.groupBy("scaf", "pos", "vtype", "alt").agg(F.array_join(F.array_sort(F.collect_set("read_id")), ",").alias("cluster_list"))
-    base = F.when(F.col("vtype") == "M", F.substring("genome", (F.col("pos") + 1).cast("int"), F.lit(1))).otherwise("NA")
-    rows = coverage(called, cover).join(reads, ["scaf", "pos", "vtype", "alt"]).join(names, "scaf")
+    base = F.when(F.col("vtype") == "M", F.substring("piece", (F.col("pos") % TILE + 1).cast("int"), F.lit(1))).otherwise("NA")
+    rows = coverage(called, cover).join(reads, ["scaf", "pos", "vtype", "alt"]).withColumn("tile", F.floor(F.col("pos") / TILE))
+    rows = rows.join(tiles(genome).withColumnRenamed("scaffold", "scaf"), ["scaf", "tile"])
     rows = rows.select("scaf", "pos", "vtype", base.alias("ref_allele"), "alt", F.col("n_reads").alias("count"), "cov_count", "cluster_list")
     return rows, coverage_groups(cover)
