@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spliceflow.llm.common import id_text
+from spliceflow.llm.common import id_text, in_batches
 
 LEAF, REACH = 1024, 1
 #: Characters of remembered words a worker; all are forgotten beyond it. Words beyond ``LONG`` characters are not remembered.
@@ -264,4 +264,4 @@ def encode(docs: DataFrame, path: str, ids: bool = True, leaf: int = LEAF) -> Da
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_joins long" + (", ids array<int>, decoded string" if ids else "")
-    return id_text(docs).mapInArrow(work, schema)
+    return in_batches(id_text(docs)).mapInArrow(work, schema)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Bytes of a batch of rows on its way to Python, instead of the default of 64 MB.
+BATCH = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -39,6 +42,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, whose session sends batches of some ``BATCH`` bytes to Python from now on."""
+    conf = rows.sparkSession.conf
+    if conf.get(_BATCH) == "67108864b":  # a size that someone chose stays
+        conf.set(_BATCH, f"{BATCH}b")
+    return rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

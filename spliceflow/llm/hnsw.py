@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceflow.llm.common import table
+from spliceflow.llm.common import in_batches, table
 
 #: Vectors a shard, links a node (twice that on the lowest layer), search widths, queries a block.
 SHARD, LINKS, BUILD_WIDTH, SEARCH_WIDTH, BLOCK = 4096, 16, 96, 128, 512
@@ -225,6 +225,6 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, shard_size: int = SH
 
     # Few rows a batch: each holds a shard's graph.
     met = block.join(index, ["shard", "dim"]).repartition(max(1, min(shards * blocks, 4096)), "shard", F.monotonically_increasing_id())
-    best = met.select("qs", "dim", "start", "original", "layers", "ids").mapInArrow(work, "query_id long, vec_id long, score double")
+    best = in_batches(met.select("qs", "dim", "start", "original", "layers", "ids")).mapInArrow(work, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceflow.llm.common import hash_unit
+from spliceflow.llm.common import hash_unit, in_batches
 
 SAMPLE, WORDS, ROUNDS = 6000, 6000, 3
 LONGEST, SPAN = 16, 32
@@ -234,4 +234,4 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, int], np.ndarray]
                 got = [scorer.text(t) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(work, "doc_id long, lang_pred string, score double")
+    return in_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))).mapInArrow(work, "doc_id long, lang_pred string, score double")

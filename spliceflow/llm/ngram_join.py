@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceflow.llm.common import id_text, table
+from spliceflow.llm.common import id_text, in_batches, table
 from spliceflow.llm.components import connected_components
 from spliceflow.llm.shingles import shingles
 
@@ -77,7 +77,7 @@ def heavy_shingles(docs: DataFrame, width: int, most: int = HEAVY) -> tuple[np.n
     # The more texts a task counts, the rarer the shingles it sees twice; all cores still have work.
     rows = id_text(docs).select("text")
     tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // 8))
-    found = rows.coalesce(tasks).mapInArrow(work, "h long, n long")
+    found = in_batches(rows.coalesce(tasks)).mapInArrow(work, "h long, n long")
     found = table(found.groupBy("h").agg(F.sum("n").alias("n")), "frequent")
     # A histogram over eighths of powers of two gives the least count that keeps the list within ``most``.
     step = F.floor(F.log2("n") * 8).cast("int")
@@ -147,7 +147,7 @@ def sets(docs: DataFrame, width: int, num: int, den: int, heavy: tuple[np.ndarra
                 cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(gk, pa.binary()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "fp", "gk", "bits", "prefix"])
 
-    return id_text(docs).mapInArrow(work, "doc_id long, n long, fp binary, gk binary, bits binary, prefix array<long>")
+    return in_batches(id_text(docs)).mapInArrow(work, "doc_id long, n long, fp binary, gk binary, bits binary, prefix array<long>")
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int, name: str) -> DataFrame:
@@ -164,7 +164,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, nu
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda s: classes.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"b{s}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "ba", "nb", "bb")
-    pairs = table(pairs.mapInArrow(likely, "a long, b long"), f"{name}-pairs")
+    pairs = table(in_batches(pairs).mapInArrow(likely, "a long, b long"), f"{name}-pairs")
     need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = table(id_text(docs).join(need, "doc_id", "left_semi"), f"{name}-texts")
 
@@ -187,7 +187,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, nu
 
     second = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     both = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return table(both.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long"), f"{name}-links")
+    return table(in_batches(both.select("a", "b", "ta", "tb")).mapInArrow(work, "a long, b long"), f"{name}-links")
 
 
 def _passes(na: Column, pa_: Column, nb: Column, pb: Column, num: int, den: int) -> Column:

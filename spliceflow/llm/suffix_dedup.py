@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spliceflow.llm.common import table
+from spliceflow.llm.common import in_batches, table
 from spliceflow.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM, BLOCK = 200, 40, 96
@@ -206,7 +206,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = rows.select("eid", "th", F.sha2("text", 256).alias("sha"))
     per = whole.groupBy("sha", "th").agg(F.min("eid").alias("eid"), F.count(F.lit(1)).alias("copies"))
     classes = table(per, "classes")
-    found = table(rows.select("eid", "th", "text").mapInArrow(_find, "eid long, th long, core array<long>, lo array<int>, hi array<int>"), "blocks")
+    found = table(in_batches(rows.select("eid", "th", "text")).mapInArrow(_find, "eid long, th long, core array<long>, lo array<int>, hi array<int>"), "blocks")
     flat = found.select("eid", "th", F.explode(F.arrays_zip("core", "lo", "hi")).alias("x")).select("eid", "th", "x.core", "x.lo", "x.hi")
     place = F.xxhash64("th", "lo")
     twice = flat.select("core", place.alias("p")).groupBy("core").agg(F.min("p").alias("x"), F.max("p").alias("y")).where("x <> y").select("core")
@@ -214,7 +214,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hits = table(flat.join(twice, "core", "left_semi"), "hits")
     wanted = hits.join(classes.select("eid", "th"), ["eid", "th"], "left_semi").distinct()
     wanted = table(wanted.groupBy("eid", "th").agg(F.collect_list(F.struct("core", "lo", "hi")).alias("wanted")), "wanted")
-    cut = rows.select("eid", "th", "text").join(wanted, ["eid", "th"]).mapInArrow(_cut, "core long, eid long, th long, lo int, bits binary")
+    cut = in_batches(rows.select("eid", "th", "text").join(wanted, ["eid", "th"])).mapInArrow(_cut, "core long, eid long, th long, lo int, bits binary")
     marks = marked(cut, ["eid", "th", "lo"], WIDTHS)
     at = marks.select("eid", "th", F.struct((F.col("lo") + F.col("a")).alias("first"), (F.col("lo") + F.col("b")).alias("last")).alias("r")).distinct()
     return classes, at.groupBy("eid", "th").agg(F.collect_list("r").alias("found"))
@@ -237,7 +237,7 @@ def marked(cut: DataFrame, place: list[str], widths: tuple[int, ...]) -> DataFra
     crowds = per_core.where(F.col("n") > most)
     if not crowds.isEmpty():
         crowd = kinds.join(crowds, "core", "left_semi").select("core", "sid", "bits")
-        parts = crowd.mapInArrow(_split(widths[0]), "of long, part binary, core long, skip int, bits binary")
+        parts = in_batches(crowd).mapInArrow(_split(widths[0]), "of long, part binary, core long, skip int, bits binary")
         parts = marked(parts, ["of", "part", "skip"], widths[1:])
         found = found.unionByName(parts.select(F.col("of").alias("core"), F.col("part").alias("sid"), (F.col("skip") + F.col("a")).alias("a"), (F.col("skip") + F.col("b")).alias("b")))
     return cut.select(*place, "core", "sid").join(table(found, "marks"), ["core", "sid"]).select(*place, "a", "b")
@@ -251,4 +251,4 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     # Copies of a text that stands elsewhere carry no runs of their own: all of it goes if it is long enough.
     lone = classes.where("copies = 1").select("eid", "th").join(found, ["eid", "th"], "left").select("eid", "th", F.lit(1).cast("long").alias("copies"), "found")
     joined = rows.join(lone, ["eid", "th"], "left").select("doc_id", "text", F.coalesce("copies", F.lit(2)).alias("copies"), "found")
-    return joined.mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return in_batches(joined).mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceflow.llm.common import hash_unit, sample_rate, table
+from spliceflow.llm.common import hash_unit, in_batches, sample_rate, table
 
 SAMPLE, FEATURES = 4000, 3000
 REMEMBERED, SHORT, BREAK = 80_000, 64, 1.0
@@ -197,7 +197,7 @@ def _map(docs: DataFrame, columns: list[str], schema: str, shared, make, each) -
             for at in range(0, batch.num_rows, 256):
                 yield each(tool, batch.slice(at, 256))
 
-    return docs.select(*columns).mapInArrow(work, schema)
+    return in_batches(docs.select(*columns)).mapInArrow(work, schema)
 
 
 def trigrams(docs: DataFrame) -> DataFrame:
