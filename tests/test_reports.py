@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spliceflow import __main__ as cli
 from spliceflow.functions import alignment
-from spliceflow.operators import fragments, loci, nocap, reads, reports
+from spliceflow.operators import fragments, genome, loci, nocap, reads, reports
 from spliceflow.sources import readers
 
 
@@ -91,6 +91,16 @@ def test_islands_and_genes_over_bins(spark, monkeypatch):
     assert {r["tx"]: r["gene"] for r in loci.gene_groups(exons).collect()} == {x: find(x) for x in root}
 
 
+def test_stretches_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(genome, "TILE", 8)
+    rng = random.Random(5)
+    seq = {n: "".join(rng.choice("ACGT") for _ in range(k)) for n, k in (("a", 70), ("b", 8), ("c", 1))}
+    spans = [(i, rng.choice("abcd"), sorted((s, s + rng.randrange(20)) for s in rng.sample(range(-5, 75), 3))) for i in range(60)]
+    rows = spark.createDataFrame(spans, "ord long, scaffold string, x array<struct<s: long, e: long>>")
+    got = genome.stretches(rows, spark.createDataFrame(list(seq.items()), "id string, seq string"), F.col("x"), "ref").collect()
+    assert {r["ord"]: r["ref"] for r in got} == {i: "".join(seq.get(n, "")[max(s, 0) : max(e, 0)] for s, e in x) for i, n, x in spans}
+
+
 def test_ranked_and_saturation(spark):
     rng = random.Random(4)
     rows = [(i, rng.randrange(100), f"r{rng.randrange(700)}") for i in range(1000)]
