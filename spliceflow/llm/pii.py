@@ -6,7 +6,7 @@ the first two numbers of an address, the first six digits of a card, a phone num
 seven digits) and its kind. A *term* is a word of three letters or more, or a shorter one with a
 capital, anywhere in a document with it. Over the corpus, IC(e) = -log2 p(e) is what an entity is
 worth and PMI(e, t) = log2 p(e, t) / (p(e) p(t)) is what a term tells of it, with p over rows and, as
-few texts may meet by chance, log2((k + 2) / (k + 1)) taken off where k different texts hold both. A term
+few texts may meet by chance, log2((k + 2) / (k + 1)) taken off where k documents hold both. A term
 whose PMI is at least ``SHARE`` of IC discloses the entity, if k is ``SUPPORT`` or more
 (``CLASS_SUPPORT`` for groups and kinds, which chance meets more often): all its occurrences in the
 documents that hold the entity become spans of kind ``term``, but for those inside base spans.
@@ -18,8 +18,8 @@ the same matches in linear time. A text's spans are walked in blocks of ``BLOCK`
 or string of all of them grows span by span.
 
 Defined cases: a null text is the empty text and has no spans; rows with a null doc_id stay and
-take part; repeated rows give repeated results, and as every row counts in p and copies of a text
-count once as support, a table with all rows twice has the same spans; an empty table gives an empty
+take part; repeated rows give repeated results, and as every row counts in p and rows that repeat
+a doc_id and text are one document in k, a table with all rows twice has the same spans; an empty table gives an empty
 result; columns other than doc_id and text are not read (``sanitise`` keeps them).
 """
 
@@ -151,7 +151,7 @@ def disclosing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, clas
     held = table(held, "held")
     mine = held.select("doc_id", "th", "rows", F.explode(F.array_distinct(F.flatten(F.transform("base", entities)))).alias("entity"))
     least = F.when(F.col("entity").startswith("0"), F.lit(support)).otherwise(F.lit(class_support))
-    each = mine.groupBy("entity").agg(F.sum("rows").alias("n_entity"), F.countDistinct("th").alias("texts")).where(F.col("texts") >= least)
+    each = mine.groupBy("entity").agg(F.sum("rows").alias("n_entity"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= least)
     each = table(each.drop("texts"), "entities")  # joined from a table, a frequent entity's rows can be split
     words = docs.select(F.explode(terms(F.coalesce(docs["text"].cast("string"), F.lit("")))).alias("term"))
     counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") >= support)
@@ -166,7 +166,7 @@ def disclosing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, clas
     held_by = mine.join(each, "entity")
     pairs = held_by.join(there, held_by["doc_id"].eqNullSafe(there["t_id"]) & (held_by["th"] == there["t_th"])).drop("t_id", "t_th")
     pairs = pairs.where((worth > 0) & (told(F.least("n_entity", "n_term")) >= F.lit(share) * worth))
-    good = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("rows").alias("n_both"), F.countDistinct("th").alias("texts"))
+    good = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("rows").alias("n_both"), F.count(F.lit(1)).alias("texts"))
     good = good.where((F.col("texts") >= least) & (told(F.col("n_both") * (F.col("texts") + 1) / (F.col("texts") + 2)) >= F.lit(share) * worth)).select("entity", "term")
     return pairs.join(table(good, "good"), ["entity", "term"], "left_semi").select("doc_id", "th", "term").distinct()
 

@@ -154,9 +154,9 @@ def test_pii_terms_and_sanitise(spark):
 
 def pii_by_hand(rows, support=2, class_support=5, share=0.9):
     """All spans of each row, from the definition."""
-    groups = collections.defaultdict(set)  # entity -> texts, and rows by counting below
+    groups = collections.defaultdict(set)  # entity -> documents
     held = []
-    for _, t in rows:
+    for i, t in rows:
         found = set()
         for s, k, e in base_spans(t):
             v, d = (t or "")[s:e], re.sub("[^0-9]", "", (t or "")[s:e])
@@ -166,17 +166,17 @@ def pii_by_hand(rows, support=2, class_support=5, share=0.9):
             found |= {(0, kind, value), (1, kind, group), (2, kind, "")}
         held.append(found)
         for e in found:
-            groups[e].add(t or "")
+            groups[e].add((i, t))
     word = re.compile(r"[^\W\d_]+")
     terms = [{m[0].lower() for m in word.finditer(t or "") if len(m[0]) > 2 or m[0][0].isupper()} for _, t in rows]
     n, total = collections.Counter(x for ts in terms for x in ts), len(rows)
     size = collections.Counter(e for found in held for e in found)
     both, texts = collections.Counter(), collections.defaultdict(set)
-    for found, ts, (_, t) in zip(held, terms, rows):
+    for found, ts, row in zip(held, terms, rows):
         for e in found:
             for x in ts:
                 both[e, x] += 1
-                texts[e, x].add(t)
+                texts[e, x].add(row)
     least = lambda e: support if e[0] == 0 else class_support
     tells = {
         (e, x) for (e, x), k in both.items()
@@ -198,6 +198,7 @@ def pii_rows():
     rows += [(20 + i, f"{words(rng, 15)} harbour {words(rng, 4)} u{i}@dock.net {words(rng, 8)}") for i in range(6)]
     rows += [(40 + i, f"{words(rng, 15)} router 10.{i}.0.{i} subnet {words(rng, 9)}") for i in range(7)]
     rows += [(60 + i, f"call {words(rng, 6)} +1 (555) 010-99{i}0 ext {words(rng, 5)}") for i in range(2)]
+    rows += [(80 + i, "one oddment held by ann@hall.org twice") for i in range(2)]  # copies
     rows += [(1000 + i, words(rng, 40)) for i in range(400)] + [(300, None), (301, ""), (None, "zeb@ship.org zebulon"), (302, "harbour 4111 1111 1111 1111 router")]
     return rows
 
