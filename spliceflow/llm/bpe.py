@@ -18,7 +18,10 @@ class of characters throughout, so a word of mixed classes also needs the shared
 pre-token.
 
 A leaf's words are remembered with their ids, as the library does in its own cache, so equal words
-are merged once a worker; at most ``REMEMBERED`` characters of words are held.
+are merged once a worker; at most ``REMEMBERED`` characters of words are held, and those of the texts
+in hand. A plain word (``PLAIN``) is two pre-tokens at most, its letters and the signs behind them.
+Pre-tokens are merged apart, so each is remembered too, and the library's model merges the letters
+without a pass through its normalizer; all other words go through the whole library.
 
 Defined cases: a null text is the empty text (no ids); rows with a null doc_id stay; repeated rows
 give repeated results; an empty table gives an empty result; other columns are not read.
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,9 +40,11 @@ from pyspark.sql import DataFrame
 from spliceflow.llm.common import id_text, in_batches
 
 LEAF, REACH = 1024, 1
-#: Characters of remembered words a worker; all are forgotten beyond it. Words beyond ``LONG`` characters are not remembered.
+#: Characters of remembered words a worker; those not met again lately are forgotten beyond it. Words beyond ``LONG`` characters are not remembered.
 REMEMBERED, LONG = 4_000_000, 64
 WORD_END = "</w>"
+#: Letters that stand composed whatever follows within the word, then ASCII signs but the apostrophe, which begins pre-tokens of its own.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 Token = tuple[int, int, int]
 _state: dict[str, "Encoder"] = {}
 
@@ -59,15 +65,15 @@ def load(path: str):
 
 
 class Part:
-    """The encoding of text[start:end]: ids and tokens of each blank-separated word, as joined strings.
+    """The encoding of text[start:end]: ids of each blank-separated word, as joined strings.
 
     ``head`` and ``tail`` hold the bounds and tokens of a first or last word that spans several leaves.
     """
 
-    __slots__ = ("start", "end", "ids", "names", "head", "tail")
+    __slots__ = ("start", "end", "ids", "head", "tail")
 
-    def __init__(self, start: int, end: int, ids: list[str], names: list[str], head: tuple | None = None, tail: tuple | None = None):
-        self.start, self.end, self.ids, self.names, self.head, self.tail = start, end, ids, names, head, tail
+    def __init__(self, start: int, end: int, ids: list[str], head: tuple | None = None, tail: tuple | None = None):
+        self.start, self.end, self.ids, self.head, self.tail = start, end, ids, head, tail
 
 
 def _back(text: str, start: int, end: int, words: int) -> int:
@@ -92,12 +98,44 @@ def _ahead(text: str, start: int, end: int, words: int) -> int:
     return at
 
 
+class _Words(dict):
+    """Ids of words, joined by blanks; ``old`` holds those of the generation before."""
+
+    def __init__(self, tokenizer, old: dict[str, str]):
+        super().__init__()
+        from tokenizers import pre_tokenizers
+
+        self.tokenizer, self.merge, self.old, self.held = tokenizer, tokenizer.model.tokenize, old, 0
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: The characters that stand for the bytes of the letters beyond ASCII.
+        self.bytes = {k: level.pre_tokenize_str(chr(k))[0][0] for k in range(0xDF, 0x100)}
+
+    def __missing__(self, word: str) -> str:
+        got = self.old.get(word)
+        if got is None:
+            got = self.made(word)
+        if len(word) <= LONG:
+            self[word] = got
+            self.held += len(word)
+        return got
+
+    def made(self, word: str) -> str:
+        plain = PLAIN.fullmatch(word)
+        if not plain:
+            return " ".join(map(str, self.tokenizer.encode(word, add_special_tokens=False).ids))
+        head, tail = plain[1].lower(), plain[2]
+        if tail:
+            return f"{self[head]} {self[tail]}"
+        if head != word:
+            return self[head]
+        return " ".join([str(t.id) for t in self.merge(word if word.isascii() else word.translate(self.bytes))])
+
+
 class Encoder:
     def __init__(self, path: str, leaf: int = LEAF, reach: int = REACH):
         self.tokenizer, self.leaf, self.reach = load(path), leaf, reach
-        self.ids: dict[str, str] = {}
-        self.names: dict[str, str] = {}
-        self.held = 0
+        self.words = _Words(self.tokenizer, {})
+        self.names = {str(i): t for t, i in self.tokenizer.get_vocab().items()}
         #: Ids of tokens that end a pre-token.
         self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith(WORD_END)}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -105,25 +143,6 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch(texts, add_special_tokens=False)
 
-    def learn(self, words: set[str]) -> None:
-        """Encode unknown words, many in one call; the tokens' places tell whose they are."""
-        if self.held > REMEMBERED:
-            self.ids, self.names, self.held = {}, {}, 0
-        new = [w for w in words if w not in self.ids]
-        if not new:
-            return
-        made = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        ids, names, places = made.ids, made.tokens, made.offsets
-        k, at, n = 0, 0, len(ids)
-        for w in new:
-            at += len(w) + 1
-            first = k
-            while k < n and places[k][0] < at:
-                k += 1
-            self.ids[w] = " ".join(map(str, ids[first:k]))
-            self.names[w] = " ".join(names[first:k])
-            self.held += len(w)
-
     def leaves(self, start: int, end: int) -> list[tuple[int, int]]:
         """Halves of halves, down to the leaf size."""
         if end - start <= self.leaf:
@@ -135,23 +154,11 @@ class Encoder:
         """For each text the number of ids, the ids joined by blanks, the decoded text and the number of joins."""
         texts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
         cut = [self.leaves(0, len(t)) for t in texts]
-        words = [[t[a:b].split(" ") for a, b in c] for t, c in zip(texts, cut)]
-        short = {w for leaf in words for ws in leaf for w in ws}
-        long = {w for w in short if len(w) > LONG}
-        self.learn(short - long - {""})
-        rare = list(long)
-        apart = {w: (" ".join(map(str, e.ids)), " ".join(e.tokens)) for w, e in zip(rare, self._encode(rare))}
-        ids, names = self.ids, self.names
-        level: list[list[Part]] = []
-        for c, leaf in zip(cut, words):
-            row = []
-            for (a, b), ws in zip(c, leaf):
-                ws = [w for w in ws if w]
-                if long and not long.isdisjoint(ws):
-                    row.append(Part(a, b, [apart[w][0] if w in apart else ids[w] for w in ws], [apart[w][1] if w in apart else names[w] for w in ws]))
-                else:
-                    row.append(Part(a, b, list(map(ids.__getitem__, ws)), list(map(names.__getitem__, ws))))
-            level.append(row)
+        if self.words.held > REMEMBERED // 2:
+            self.words.old = {}
+            self.words = _Words(self.tokenizer, self.words)
+        known = self.words.__getitem__
+        level = [[Part(a, b, list(map(known, filter(None, t[a:b].split(" "))))) for a, b in c] for t, c in zip(texts, cut)]
         seams = [len(row) - 1 for row in level]
         while any(len(row) > 1 for row in level):
             pairs = [(i, k) for i, row in enumerate(level) for k in range(0, len(row) - 1, 2)]
@@ -166,7 +173,8 @@ class Encoder:
         out = []
         for row, n in zip(level, seams):
             got = " ".join(filter(None, row[0].ids))
-            out.append((got.count(" ") + 1 if got else 0, got, " ".join(filter(None, row[0].names)), n))
+            each = got.split()
+            out.append((len(each), got, " ".join(map(self.names.__getitem__, each)), n))
         return out
 
     def join(self, pairs: list[tuple[str, Part, Part]]) -> list[Part]:
@@ -191,12 +199,12 @@ class Encoder:
                 right = " ".join(filter(None, b.ids[cut : cut + reach])).split()
                 ids, end = list(map(str, got.ids)), len(got.ids) - len(right)
                 if len(left) <= end and ids[: len(left)] == left and ids[end:] == right and (cut or len(left) == end):
-                    mid = ([" ".join(ids[len(left) : end])], [" ".join(got.tokens[len(left) : end])]) if cut else ([], [])
-                    out[k] = Part(a.start, b.end, a.ids[:stop] + mid[0] + b.ids[cut:], a.names[:stop] + mid[1] + b.names[cut:], a.head, b.tail)
+                    mid = [" ".join(ids[len(left) : end])] if cut else []
+                    out[k] = Part(a.start, b.end, a.ids[:stop] + mid + b.ids[cut:], a.head, b.tail)
                 elif h > a.start or p < b.end:
                     again.append((k, cut, 2 * reach))
                 else:  # the window is both sides
-                    out[k] = Part(a.start, b.end, [" ".join(ids)], [" ".join(got.tokens)])
+                    out[k] = Part(a.start, b.end, [" ".join(ids)])
             todo = again
         return out
 
@@ -210,9 +218,9 @@ class Encoder:
         left = a.tail[2] if a.tail and a.tail[:2] == (h, seam) else self._tokens(text, h, seam)
         right = b.head[2] if b.head and b.head[:2] == (seam, p) else self._tokens(text, seam, p)
         tokens = self.join_tokens(text, left, right, h, seam, p)
-        ids, names = [" ".join(str(t[0]) for t in tokens)], [" ".join(self.tokenizer.id_to_token(t[0]) for t in tokens)]
+        ids = [" ".join(str(t[0]) for t in tokens)]
         word = (h, p, tokens)
-        return Part(a.start, b.end, a.ids[:-1] + ids + b.ids[1:], a.names[:-1] + names + b.names[1:], word if h == a.start else a.head, word if p == b.end else b.tail)
+        return Part(a.start, b.end, a.ids[:-1] + ids + b.ids[1:], word if h == a.start else a.head, word if p == b.end else b.tail)
 
     def join_tokens(self, text: str, left: list[Token], right: list[Token], start: int, seam: int, end: int) -> list[Token]:
         """Tokens of text[start:end], which has no blank, from those of its two sides."""
