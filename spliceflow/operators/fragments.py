@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from spliceflow.operators import groups
 
 
 def _contained(a: dict, b: dict, wobble: int, ends: int, percent: int) -> tuple[int, int] | None:
@@ -26,6 +29,9 @@ def _contained(a: dict, b: dict, wobble: int, ends: int, percent: int) -> tuple[
         if not held:
             return None
         return min(sa[0], sb[0]) if 0 in held else sa[0], max(ea[-1], eb[0]) if last in held else ea[-1]
+    # The shorter model's first junction is one of the longer one's, or nothing holds.
+    if not any(-wobble <= x - eb[0] <= wobble for x in ea):
+        return None
     starts, stops = [], []
     for i in range(len(sa)):
         for j in range(len(sb)):
@@ -46,31 +52,45 @@ def _contained(a: dict, b: dict, wobble: int, ends: int, percent: int) -> tuple[
 
 
 def absorb(rows: list[dict], wobble: int = 10, ends: int = 500, percent: int = 20) -> dict:
-    """Removed id -> id that absorbed it; the absorbing row's bounds change as it goes."""
+    """Removed id -> id that absorbed it; the absorbing row's bounds change as it goes. Each row meets
+    those that overlap it, in order, and again those behind once its own bounds have grown."""
     gone: dict = {}
-    for a in rows:
-        for b in rows:
-            if a is b or a["tx"] in gone or b["tx"] in gone or a["e"][-1] < b["s"][0] or b["e"][-1] < a["s"][0]:
-                continue
-            size = lambda x: (len(x["s"]), x["e"][-1] - x["s"][0], -x["s"][0])
-            long, short = (a, b) if size(a) >= size(b) else (b, a)
-            if (bounds := _contained(long, short, wobble, ends, percent)) is not None:
-                gone[short["tx"]] = long["tx"]
-                long["s"][0], long["e"][-1] = bounds
+    left, right = np.array([x["s"][0] for x in rows]), np.array([x["e"][-1] for x in rows])
+    size = lambda x: (len(x["s"]), x["e"][-1] - x["s"][0], -x["s"][0])
+
+    def met(i: int, after: int) -> list[int]:
+        return (np.flatnonzero((left[after:] <= right[i]) & (right[after:] >= left[i])) + after).tolist()
+
+    for i, a in enumerate(rows):
+        todo = met(i, 0) if a["tx"] not in gone else []
+        while todo:
+            for j in todo:
+                b = rows[j]
+                if i == j or b["tx"] in gone:
+                    continue
+                at, to = (i, j) if size(a) >= size(b) else (j, i)
+                long, short = rows[at], rows[to]
+                if (bounds := _contained(long, short, wobble, ends, percent)) is not None:
+                    gone[short["tx"]] = long["tx"]
+                    long["s"][0], long["e"][-1] = bounds
+                    grown = (left[at], right[at]) != bounds
+                    left[at], right[at] = bounds
+                    if at != i or grown:
+                        todo = met(i, j + 1) if at == i else []
+                        break
+            else:
+                todo = []
     return gone
 
 
-def absorb_fragments(models: DataFrame, wobble: int = 10, ends: int = 500, percent: int = 20) -> DataFrame:
+def absorb_fragments(models: DataFrame, wobble: int = 10, ends: int = 500, percent: int = 20, n_rows: int | None = None) -> DataFrame:
     """``models``: gene, tx, starts, ends. Adds absorbed_by (null for rows that stay) and final bounds."""
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("tx")
-        rows = [{"tx": int(t), "s": [int(x) for x in s], "e": [int(x) for x in e]} for t, s, e in zip(group["tx"], group["starts"], group["ends"])]
+    def work(gene: list[tuple]) -> list[tuple]:
+        rows = [{"tx": t, "s": s, "e": e} for _, t, s, e in gene]
         gone = absorb(rows, wobble, ends, percent)
-        return pd.DataFrame({
-            "gene": group["gene"].to_numpy(), "tx": [r["tx"] for r in rows], "absorbed_by": pd.array([gone.get(r["tx"]) for r in rows], dtype="Int64"),
-            "start": [r["s"][0] for r in rows], "end": [r["e"][-1] for r in rows],
-        })
+        return [(gene[0][0], r["tx"], gone.get(r["tx"]), r["s"][0], r["e"][-1]) for r in rows]
 
     kind = models.schema["gene"].dataType.simpleString()
-    return models.select("gene", "tx", "starts", "ends").groupBy("gene").applyInPandas(work, f"gene {kind}, tx long, absorbed_by long, start long, end long")
+    rows = models.select("gene", F.col("tx").cast("long").alias("tx"), *(F.col(c).cast("array<long>").alias(c) for c in ("starts", "ends")))
+    return groups.each(groups.dealt(rows, n_rows, "gene"), "gene", ["tx"], work, f"gene {kind}, tx long, absorbed_by long, start long, end long")

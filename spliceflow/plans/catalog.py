@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spliceflow.functions import alignment as al
 from spliceflow.functions import sequence as sq
 from spliceflow.functions.render import bed_line
-from spliceflow.operators import cleanup, collapse, convert, fragments, loci, merge, nocap, orf, reads, variants
+from spliceflow.operators import cleanup, collapse, convert, fragments, groups, loci, merge, nocap, orf, reads, variants
 from spliceflow.plans import views as v
 from spliceflow.sources import annotation
 
@@ -44,6 +44,21 @@ def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loci.models(v.exons(spark, sf_dir))
 
 
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loci.grouped(_models(spark, sf_dir), v.n_rows(spark, sf_dir))
+
+
+def _dealt(df: DataFrame, spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    return groups.dealt(df, v.n_rows(spark, sf_dir), *keys)
+
+
+def _genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models with their gene; the exons are read once."""
+    m, n = loci.kept(_models(spark, sf_dir)), v.n_rows(spark, sf_dir)
+    exon = m.select("tx", "scaf", "strand", F.explode(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e"))).alias("x")).select("tx", "scaf", "strand", "x.s", "x.e")
+    return groups.dealt(m, n, "tx").join(groups.dealt(loci.gene_groups(exon, n_rows=n), n, "tx"), "tx")
+
+
 def _csv(c: str):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
@@ -220,8 +235,7 @@ def gtf2bed_roundtrip(spark, sf_dir):
 
 @query()
 def fragments_absorb(spark, sf_dir):
-    m = _models(spark, sf_dir)
-    return fragments.absorb_fragments(m.join(loci.gene_groups(v.exons(spark, sf_dir)), "tx"))
+    return fragments.absorb_fragments(_genes(spark, sf_dir), n_rows=v.n_rows(spark, sf_dir))
 
 
 # ---- alignments, sequences, reading frames --------------------------------------------------------

@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spliceflow.operators import groups
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def n_rows(spark: SparkSession, sf_dir: str, name: str = "lineitem") -> int:
+    """Counted in the files' footers."""
+    return read(spark, sf_dir, name).count()
+
+
 def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tx, scaf, strand, src, k, s, e."""
+    """tx, scaf, strand, src, k, s, e. Rows of an order lie together, in as many tasks as lineitem's rows ask for."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    rows = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = o.join(groups.dealt(li, n_rows(spark, sf_dir), "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     k = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     rows = rows.withColumn("k", k.cast("long"))
     days = F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date"))
