@@ -6,11 +6,10 @@ import heapq
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceflow.operators import loci
+from spliceflow.operators import groups, loci
 
 DIFFERENT, EQUAL, SHORTENED = 0, 1, 2
 
@@ -120,22 +119,21 @@ def nocap_steps(
     return [steps[g] for g in sorted(steps)]
 
 
-def nocap_members(rows: DataFrame, five: int, junction: int, three: int) -> DataFrame:
+def nocap_members(rows: DataFrame, five: int, junction: int, three: int, n_rows: int | None = None) -> DataFrame:
     """``rows``: gene, tx, read_id, strand, starts, ends. (gene, nth, at, tx): groups of each gene and the
     place of each read in its groups. Only shapes meet in the kernel; reads join its steps."""
-    reads = loci.flipped(rows).select("gene", "tx", "read_id", "f5", "f3")
-    shapes = loci.kept(reads.groupBy("gene", "f5", "f3").agg(F.min("tx").alias("first"), F.max("tx").alias("last"), F.min("read_id").alias("name")))
-
-    def work(gene: pd.DataFrame) -> pd.DataFrame:
-        gene = gene.sort_values("first")
-        edges = [(list(map(int, a)), list(map(int, b))) for a, b in zip(gene["f5"], gene["f3"])]
-        first, g = gene["first"].tolist(), int(gene["gene"].iloc[0])
-        found = nocap_steps(gene["name"].tolist(), edges, list(zip(first, gene["last"].tolist())), five, junction, three)
-        out = [(g, first[x], i, step, -len(edges[x][0]), a, b) for i, steps in enumerate(found) for step, x, a, b in steps]
-        return pd.DataFrame(out, columns=["gene", "first", "nth", "step", "fewer", "a", "b"])
-
-    steps = loci.kept(shapes.groupBy("gene").applyInPandas(work, "gene long, first long, nth long, step long, fewer long, a long, b long"))
-    of = reads.join(shapes.select("gene", "f5", "f3", "first"), ["gene", "f5", "f3"]).select("gene", "tx", "first")
-    member = steps.join(of, ["gene", "first"]).where("tx BETWEEN a AND b")
+    shape = Window.partitionBy("gene", "f5", "f3")
+    reads = groups.dealt(loci.flipped(rows).select("gene", "tx", "read_id", "f5", "f3"), n_rows, "gene")
+    reads = loci.kept(reads.withColumns({"first": F.min("tx").over(shape), "last": F.max("tx").over(shape), "name": F.min("read_id").over(shape)}))
+    shapes = reads.where("tx = first").select("gene", "first", "last", "name", *(F.col(c).cast("array<long>").alias(c) for c in ("f5", "f3")))
+
+    def work(gene: list[tuple]) -> list[tuple]:
+        g, first, last, name, f5, f3 = (list(c) for c in zip(*gene))
+        found = nocap_steps(name, list(zip(f5, f3)), list(zip(first, last)), five, junction, three)
+        return [(g[0], first[x], i, step, -len(f5[x]), a, b) for i, steps in enumerate(found) for step, x, a, b in steps]
+
+    steps = groups.each(groups.dealt(shapes, n_rows, "gene"), "gene", ["first"], work, "gene long, first long, nth long, step long, fewer long, a long, b long")
+    steps = groups.dealt(steps, n_rows, "gene", "first")
+    member = groups.dealt(steps.join(groups.dealt(reads.select("gene", "tx", "first"), n_rows, "gene", "first"), ["gene", "first"]).where("tx BETWEEN a AND b"), n_rows, "gene", "nth")
     at = F.row_number().over(Window.partitionBy("gene", "nth").orderBy("step", "fewer", "tx")) - 1
     return member.select("gene", "nth", at.cast("long").alias("at"), "tx")

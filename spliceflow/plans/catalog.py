@@ -538,8 +538,7 @@ def tail_histogram(spark, sf_dir):
 @query()
 def nocap_models(spark, sf_dir):
     """Groups of models without a cap, by gene: order-dependent, so without SQL."""
-    m = _models(spark, sf_dir).join(loci.gene_groups(v.exons(spark, sf_dir)), "tx").withColumn("read_id", F.col("tx").cast("string"))
-    return nocap.nocap_members(m, 10, 2, 5)
+    return nocap.nocap_members(_genes(spark, sf_dir).withColumn("read_id", F.col("tx").cast("string")), 10, 2, 5, v.n_rows(spark, sf_dir))
 
 
 @query()
