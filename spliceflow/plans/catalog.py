@@ -98,7 +98,7 @@ reach AS (SELECT tx AS id, tx AS node FROM model UNION SELECT reach.id, pair.b F
 @query(f"""WITH RECURSIVE {v.EXON}, {v.MODEL}, {_REACH}
 SELECT id AS tx, min(node) AS gene FROM reach GROUP BY id""")
 def gene_components(spark, sf_dir):
-    return loci.gene_groups(v.exons(spark, sf_dir))
+    return loci.gene_groups(v.exons(spark, sf_dir), n_rows=v.n_rows(spark, sf_dir))
 
 
 _CAPPED = """capped AS (SELECT a.tx AS a, b.tx AS b FROM model a JOIN model b ON a.scaf = b.scaf AND a.strand = b.strand AND a.n = b.n AND a.tx < b.tx
