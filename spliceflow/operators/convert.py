@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,13 +18,26 @@ def _quoted(pairs: list[tuple[str, str]], tail: str = "") -> Column:
 def bed_to_gtf(m: DataFrame, source: str = "PBRI") -> DataFrame:
     """``m``: ord, gene, trans, scaf, strand, starts, ends (BED). (gene_ord, ord, place, line): gene,
     transcript and exon lines, genes in order of appearance, exons from the left, numbered from the 5' end."""
-    gene = m.groupBy("gene").agg(F.min("ord").alias("gene_ord"), F.min_by("scaf", "ord").alias("scaf"), F.min_by("strand", "ord").alias("strand"), (F.min(F.col("starts")[0]) + 1).alias("start"), F.max(F.element_at("ends", -1)).alias("end"))
-    rows = m.join(gene.select("gene", "gene_ord"), "gene")
+    # All of a gene's lines are made at once from its models, which lie together by gene where they are dealt so.
+    first = Window.partitionBy("gene").orderBy("ord")
+    of = first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    start, end, c = F.col("starts")[0] + 1, F.element_at("ends", -1), F.col
+    rows = m.withColumns({
+        "nth": F.row_number().over(first), "gene_ord": F.min("ord").over(of), "gene_scaf": F.first("scaf").over(of), "gene_strand": F.first("strand").over(of), "gene_start": F.min(start).over(of), "gene_end": F.max(end).over(of),
+    })
     none = F.lit(None)
-    head = gene.select("gene_ord", F.lit(-1).cast("long").alias("ord"), F.lit(0).alias("place"), "scaf", "strand", "gene", none.cast("string").alias("trans"), F.lit("gene").alias("feature"), "start", "end", none.cast("int").alias("number"))
-    whole = rows.select("gene_ord", "ord", F.lit(0).alias("place"), "scaf", "strand", "gene", "trans", F.lit("transcript").alias("feature"), (F.col("starts")[0] + 1).alias("start"), F.element_at("ends", -1).alias("end"), none.cast("int").alias("number"))
-    exon = _numbered_exons(rows).select("gene_ord", "ord", (F.col("k") + 1).alias("place"), "scaf", "strand", "gene", "trans", F.lit("exon").alias("feature"), "start", "end", "number")
-    return head.unionByName(whole).unionByName(exon).select("gene_ord", "ord", "place", _gtf_line(source, _quoted([("gene_id", "gene"), ("transcript_id", "trans"), ("exon_number", "number"), ("uniq_trans_id", "trans")])).alias("line"))
+
+    def line(feature: str, place: Column, at: Column, to: Column, scaf: str = "scaf", strand: str = "strand", trans: Column = c("trans"), number: Column = none, ord_: Column = c("ord")) -> Column:
+        return F.struct(
+            ord_.cast("long").alias("ord"), place.cast("int").alias("place"), c(scaf).alias("scaf"), c(strand).alias("strand"), trans.cast("string").alias("trans"), F.lit(feature).alias("feature"), at.cast("long").alias("start"), to.cast("long").alias("end"), number.cast("int").alias("number"),
+        )
+
+    head = F.when(c("nth") == 1, F.array(line("gene", F.lit(0), c("gene_start"), c("gene_end"), "gene_scaf", "gene_strand", none, ord_=F.lit(-1)))).otherwise(F.array())
+    whole = F.array(line("transcript", F.lit(0), start, end))
+    number = lambda k: F.when(c("strand") == "+", k + 1).otherwise(F.size("starts") - k)
+    exon = F.transform("starts", lambda s, k: line("exon", k + 1, s + 1, F.get("ends", k), number=number(k)))
+    rows = rows.select("gene_ord", "gene", F.explode(F.concat(head, whole, exon)).alias("x")).select("gene_ord", "gene", "x.*")
+    return rows.select("gene_ord", "ord", "place", _gtf_line(source, _quoted([("gene_id", "gene"), ("transcript_id", "trans"), ("exon_number", "number"), ("uniq_trans_id", "trans")])).alias("line"))
 
 
 def _numbered_exons(rows: DataFrame) -> DataFrame:

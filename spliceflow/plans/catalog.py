@@ -223,13 +223,15 @@ def bed2gtf_features(spark, sf_dir):
 def gtf2bed_roundtrip(spark, sf_dir):
     name = lambda c: F.concat(F.lit(c), F.col("tx").cast("string"))
     m = _models(spark, sf_dir).select(F.col("tx").alias("ord"), name("G").alias("gene"), name("T").alias("trans"), "scaf", "strand", "starts", "ends")
+    m = _dealt(m, spark, sf_dir, "gene")
     c = F.split("line", "\t")
+    # Lines are read as from a file, and those of a gene dealt anew.
     rows = convert.bed_to_gtf(m).select(
         (F.col("gene_ord") * 64 + F.col("place") + (F.col("ord") >= 0).cast("int")).alias("ord"),
         *(c[i].cast("long" if n in ("start", "end") else "string").alias(n) for i, n in enumerate(("seqname", "source", "feature", "start", "end", "score", "strand", "frame", "attributes"))),
     )
     # The gene's own line names no model, which this dialect takes as an error.
-    m = annotation.models(rows.where("feature <> 'gene'"), "cupcake")
+    m = annotation.models(rows.where("feature <> 'gene'"), "cupcake", v.n_rows(spark, sf_dir))
     return m.select(F.regexp_extract("id_line", "T([0-9]+)$", 1).cast("long").alias("tx"), F.col("scaffold").alias("scaf"), "strand", _csv("starts").alias("starts"), _csv("ends").alias("ends"))
 
 

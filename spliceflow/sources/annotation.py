@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spliceflow.functions.render import bed_line
+from spliceflow.operators.groups import dealt
 
 # Feature types that are transcripts in a lift-over GFF3.
 TRANSCRIPTS = (
@@ -53,7 +54,7 @@ def _described(rows: DataFrame, parts: DataFrame, *names: Column) -> DataFrame:
     )
 
 
-def _ensembl(rows: DataFrame) -> DataFrame:
+def _ensembl(rows: DataFrame, n_rows: int | None) -> DataFrame:
     a, blank = F.col("attributes"), F.lit("")
     rows = rows.withColumn("tid", F.coalesce(quoted(a, "transcript_id"), blank)).withColumn("gene", F.coalesce(quoted(a, "gene_id"), blank))
     kind = lambda key, to: F.coalesce(quoted(a, key), F.lit("NA")).alias(to)
@@ -61,7 +62,7 @@ def _ensembl(rows: DataFrame) -> DataFrame:
     return out.withColumns({"cds_start": F.coalesce("cds_start", "left"), "cds_end": F.coalesce("cds_end", "left")})
 
 
-def _liftoff(rows: DataFrame) -> DataFrame:
+def _liftoff(rows: DataFrame, n_rows: int | None) -> DataFrame:
     a, blank = F.col("attributes"), F.lit("")
     parent = F.coalesce(assigned(a, "Parent"), blank)
     whole = F.col("feature").isin(*TRANSCRIPTS)
@@ -70,46 +71,48 @@ def _liftoff(rows: DataFrame) -> DataFrame:
     return out.withColumns({"cds_start": F.coalesce("cds_start", F.lit(0)), "cds_end": F.coalesce("cds_end", F.lit(0))})
 
 
-def _ncbi(rows: DataFrame) -> DataFrame:
+def _ncbi(rows: DataFrame, n_rows: int | None) -> DataFrame:
     a, blank = F.col("attributes"), F.lit("")
     rows = rows.withColumn("tid", F.coalesce(quoted(a, "transcript_id"), blank)).withColumn("gene", F.coalesce(quoted(a, "gene_id"), blank)).where("tid <> 'unknown_transcript_1'")
     out = _parts(rows).where(F.size("starts") > 0).withColumn("left", F.col("starts")[0]).withColumn("right", F.element_at("ends", -1))
     return out.withColumns({"cds_start": F.coalesce("cds_start", "left"), "cds_end": F.coalesce("cds_end", "left"), "id_line": F.concat_ws(";", "gene", "tid")})
 
 
-def _listed(rows: DataFrame, rank: Column, once: bool) -> DataFrame:
+def _listed(rows: DataFrame, rank: Column, once: bool, n_rows: int | None) -> DataFrame:
     """Exons of (gene, tid) in the order of ``rank``, genes and models in order of appearance."""
-    gene = rows.groupBy("gene").agg(F.min("ord").alias("gene_ord"))
-    exon = rows.where(rank.isNotNull()).groupBy("gene", "tid").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), (F.col("start") - 1).alias("s"), F.col("end").alias("e")))).alias("x"))
+    need = F.when(rank.isNotNull(), F.struct(rank.alias("rank"), (F.col("start") - 1).alias("s"), F.col("end").alias("e")))
+    rows = rows.select("gene", "tid", "ord", "seqname", "strand", need.alias("exon"))
+    rows = rows if n_rows is None else dealt(rows, n_rows, "gene")
+    out = rows.groupBy("gene", "tid").agg(F.array_sort(F.collect_list("exon")).alias("x"), F.min("ord").alias("ord"), F.min_by(F.struct("seqname", "strand"), "ord").alias("first"))
+    out = out.withColumn("gene_ord", F.min("ord").over(Window.partitionBy("gene"))).where(F.size("x") > 0)
     if once:
         ok = F.size(F.array_distinct("x.rank")) == F.size("x")
-        exon = exon.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("an exon number occurs twice in "), F.col("tid"))).cast("boolean")))
-    first = rows.groupBy("gene", "tid").agg(F.min("ord").alias("ord"), *(F.min_by(c, "ord").alias(c) for c in ("seqname", "strand")))
-    out = exon.join(first, ["gene", "tid"]).join(gene, "gene").withColumn("starts", F.col("x.s")).withColumn("ends", F.col("x.e"))
+        out = out.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("an exon number occurs twice in "), F.col("tid"))).cast("boolean")))
+    out = out.select("gene", "tid", "ord", "gene_ord", "first.*", F.col("x.s").alias("starts"), F.col("x.e").alias("ends"))
     out = out.withColumn("left", F.col("starts")[0]).withColumn("right", F.element_at("ends", -1))
     return out.withColumns({"cds_start": F.col("left"), "cds_end": F.col("right"), "id_line": F.concat_ws(";", "gene", "tid")})
 
 
-def _stringtie(rows: DataFrame) -> DataFrame:
+def _stringtie(rows: DataFrame, n_rows: int | None) -> DataFrame:
     a = F.col("attributes")
     rows = rows.withColumn("gene", quoted(a, "gene_id")).withColumn("tid", quoted(a, "transcript_id")).where("gene IS NOT NULL AND tid IS NOT NULL")
-    return _listed(rows, quoted(a, "exon_number").cast("long"), once=True)
+    return _listed(rows, quoted(a, "exon_number").cast("long"), once=True, n_rows=n_rows)
 
 
-def _cupcake(rows: DataFrame) -> DataFrame:
+def _cupcake(rows: DataFrame, n_rows: int | None) -> DataFrame:
     a = F.col("attributes")
     need = lambda key: F.coalesce(quoted(a, key), F.raise_error(F.concat(F.lit(f"no {key}: "), a)))
     rows = rows.withColumn("gene", need("gene_id")).withColumn("tid", need("transcript_id"))
-    return _listed(rows, F.when(F.col("feature") == "exon", F.col("ord")), once=False)
+    return _listed(rows, F.when(F.col("feature") == "exon", F.col("ord")), once=False, n_rows=n_rows)
 
 
-DIALECTS: dict[str, Callable[[DataFrame], DataFrame]] = {"ensembl": _ensembl, "ncbi": _ncbi, "stringtie": _stringtie, "liftoff": _liftoff, "cupcake": _cupcake}
+DIALECTS: dict[str, Callable[[DataFrame, int | None], DataFrame]] = {"ensembl": _ensembl, "ncbi": _ncbi, "stringtie": _stringtie, "liftoff": _liftoff, "cupcake": _cupcake}
 
 
-def models(rows: DataFrame, dialect: str) -> DataFrame:
+def models(rows: DataFrame, dialect: str, n_rows: int | None = None) -> DataFrame:
     """``rows``: GTF/GFF rows (``readers.gtf``). gene_ord and ord (output order), id_line, bounds, CDS
     and BED line. Models without an exon go, but for ensembl and liftoff, which list transcripts."""
-    out = DIALECTS[dialect](rows)
+    out = DIALECTS[dialect](rows, n_rows)
     if "gene_ord" not in out.columns:
         out = out.withColumn("gene_ord", F.lit(0).cast("long"))
     c = F.col
