@@ -108,7 +108,7 @@ _CAPPED = """capped AS (SELECT a.tx AS a, b.tx AS b FROM model a JOIN model b ON
 
 @query(f"WITH {v.EXON}, {v.MODEL}, {_CAPPED} SELECT a, b FROM capped")
 def capped_pairs(spark, sf_dir):
-    return loci.capped_pairs(_models(spark, sf_dir))
+    return loci.capped_pairs(_models(spark, sf_dir), n_rows=v.n_rows(spark, sf_dir))
 
 
 _GROUPED = f"""{_CAPPED}, two AS (SELECT a, b FROM capped UNION ALL SELECT b, a FROM capped),
@@ -118,12 +118,11 @@ grouped AS (SELECT id AS tx, min(node) AS model FROM reach GROUP BY id)"""
 
 @query(f"WITH RECURSIVE {v.EXON}, {v.MODEL}, {_GROUPED} SELECT tx, model FROM grouped")
 def capped_models(spark, sf_dir):
-    return loci.grouped_models(_models(spark, sf_dir))
+    return loci.grouped_models(_models(spark, sf_dir), v.n_rows(spark, sf_dir))
 
 
 def _edges(spark, sf_dir, prio=None) -> DataFrame:
-    m = _models(spark, sf_dir)
-    rows = loci.grouped_models(m).join(m, "tx").select("tx", "model", "strand", "src", "n", F.posexplode(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e"))).alias("k", "x"))
+    rows = _dealt(_grouped(spark, sf_dir), spark, sf_dir, "model").select("tx", "model", "strand", "src", "n", F.posexplode(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e"))).alias("k", "x"))
     side = F.explode(F.array(F.struct(F.lit("s").alias("side"), F.col("x.s").alias("coord")), F.struct(F.lit("e").alias("side"), F.col("x.e").alias("coord"))))
     rows = rows.select("tx", "model", "strand", "src", "n", "k", side.alias("y")).select("tx", "model", "strand", "src", "n", F.col("k").cast("long").alias("k"), "y.side", "y.coord")
     return rows.withColumn("prio", F.lit(0) if prio is None else prio)
