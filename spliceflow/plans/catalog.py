@@ -212,9 +212,8 @@ UNION ALL SELECT gene, tx, 0, scaf, strand, 'transcript', ts + 1, te, {_ID} || '
 UNION ALL SELECT m.gene, m.tx, CAST(e.k AS INTEGER), m.scaf, m.strand, 'exon', e.s + 1, e.e, {_ID} || ' transcript_id "T' || m.tx || '"; exon_number "' || CASE WHEN m.strand = '+' THEN e.k ELSE m.n - e.k + 1 END || '"; uniq_trans_id "T' || m.tx || '";' FROM m JOIN exon e ON e.tx = m.tx)
 SELECT gene, ord, place, concat_ws(chr(9), scaf, 'PBRI', feature, a, b, '.', strand, '.', att) AS line FROM x""")
 def bed2gtf_features(spark, sf_dir):
-    m = _models(spark, sf_dir)
-    m = loci.grouped_models(m).join(m, "tx").select(F.col("tx").alias("ord"), F.concat(F.lit("G"), F.col("model").cast("string")).alias("gene"), F.concat(F.lit("T"), F.col("tx").cast("string")).alias("trans"), "scaf", "strand", "starts", "ends")
-    lines = convert.bed_to_gtf(m)
+    m = _grouped(spark, sf_dir).select(F.col("tx").alias("ord"), F.concat(F.lit("G"), F.col("model").cast("string")).alias("gene"), F.concat(F.lit("T"), F.col("tx").cast("string")).alias("trans"), "scaf", "strand", "starts", "ends")
+    lines = convert.bed_to_gtf(_dealt(m, spark, sf_dir, "gene"))
     return lines.select(F.regexp_extract("line", 'gene_id "G([0-9]+)"', 1).cast("long").alias("gene"), "ord", "place", "line")
 
 
