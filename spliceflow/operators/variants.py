@@ -5,34 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spliceflow.operators import groups
 from spliceflow.operators.genome import TILE, tiles
 
 BIN = 1000
 
 
-def calls(variation: DataFrame, min_reads: int = 5) -> DataFrame:
+def calls(variation: DataFrame, min_reads: int = 5, n_rows: int | None = None) -> DataFrame:
     """``variation``: scaf, pos, vtype, alt, read_id. Variants with enough distinct reads."""
-    return variation.groupBy("scaf", "pos", "vtype", "alt").agg(F.countDistinct("read_id").alias("n_reads")).where(F.col("n_reads") >= min_reads)
+    rows = groups.dealt(variation, n_rows, "scaf", "pos")
+    return rows.groupBy("scaf", "pos", "vtype", "alt").agg(F.countDistinct("read_id").alias("n_reads")).where(F.col("n_reads") >= min_reads)
 
 
-def covering(called: DataFrame, variation: DataFrame, exons: DataFrame, width: int = BIN) -> DataFrame:
+def covering(called: DataFrame, variation: DataFrame, exons: DataFrame, width: int = BIN, n_rows: int | None = None) -> DataFrame:
     """(scaf, pos, read_id): reads that carry any variant at a called position or have an exon over
     it. Positions and exons meet on bins of ``width`` bases."""
-    places = called.select("scaf", "pos").distinct()
-    carried = variation.join(places, ["scaf", "pos"], "left_semi").select("scaf", "pos", "read_id")
+    places = groups.dealt(called.select("scaf", "pos"), n_rows, "scaf", "pos").distinct()
+    carried = groups.dealt(variation.select("scaf", "pos", "read_id"), n_rows, "scaf", "pos").join(places, ["scaf", "pos"], "left_semi")
     bins = F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width))
-    spread = exons.select("scaf", "s", "e", "read_id", F.explode(bins).alias("bin"))
-    met = places.withColumn("bin", F.floor(F.col("pos") / width)).join(spread, ["scaf", "bin"]).where("s <= pos AND pos < e")
-    return carried.unionByName(met.select("scaf", "pos", "read_id")).distinct()
+    spread = groups.dealt(exons.select("scaf", "s", "e", "read_id", F.explode(bins).alias("bin")), n_rows, "scaf", "bin")
+    met = groups.dealt(places.withColumn("bin", F.floor(F.col("pos") / width)), n_rows, "scaf", "bin").join(spread, ["scaf", "bin"]).where("s <= pos AND pos < e")
+    return groups.dealt(carried.unionByName(met.select("scaf", "pos", "read_id")), n_rows, "scaf", "pos").distinct()
 
 
-def coverage(called: DataFrame, cover: DataFrame) -> DataFrame:
-    return called.join(cover.groupBy("scaf", "pos").agg(F.count(F.lit(1)).alias("cov_count")), ["scaf", "pos"])
+def coverage(called: DataFrame, cover: DataFrame, n_rows: int | None = None) -> DataFrame:
+    return groups.dealt(called, n_rows, "scaf", "pos").join(cover.groupBy("scaf", "pos").agg(F.count(F.lit(1)).alias("cov_count")), ["scaf", "pos"])
 
 
-def coverage_groups(cover: DataFrame) -> DataFrame:
+def coverage_groups(cover: DataFrame, n_rows: int | None = None) -> DataFrame:
     """Positions of a scaffold that the same reads cover."""
     line = cover.groupBy("scaf", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_set("read_id")), lambda x: x.cast("string")), ",").alias("reads"))
+    line = groups.dealt(line, n_rows, "scaf", "reads")
     return line.groupBy("scaf", "reads").agg(F.array_join(F.transform(F.array_sort(F.collect_set("pos")), lambda x: x.cast("string")), ",").alias("positions"))
 
 

@@ -481,31 +481,32 @@ _COVER = "cover AS (SELECT v.scaf, v.pos, v.read_id FROM variation v SEMI JOIN c
 def _variation(spark, sf_dir) -> DataFrame:
     o = v.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     li = v.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    rows = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = o.join(_dealt(li, spark, sf_dir, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     pick = lambda names, c, n: F.element_at(F.array(*map(F.lit, names)), (F.col(c) % n).cast("int") + 1)
     pos = F.floor(F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")) / 100) * 2000 + F.col("l_partkey") % 3
     return rows.select(F.concat(F.lit("c"), F.floor(F.col("o_custkey") / 50).cast("string")).alias("scaf"), pos.alias("pos"), pick("MID", "l_suppkey", 3).alias("vtype"), pick("ACGT", "l_partkey", 4).alias("alt"), F.col("l_orderkey").alias("read_id"))
 
 
 def _cover(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    called = variants.calls(_variation(spark, sf_dir))
-    return called, variants.covering(called, _variation(spark, sf_dir), v.exons(spark, sf_dir).withColumnRenamed("tx", "read_id"))
+    n, rows = v.n_rows(spark, sf_dir), loci.kept(_variation(spark, sf_dir))
+    called = loci.kept(variants.calls(rows, n_rows=n))
+    return called, variants.covering(called, rows, v.exons(spark, sf_dir).withColumnRenamed("tx", "read_id"), n_rows=n)
 
 
 @query(f"WITH {_VAR} SELECT * FROM calls")
 def variant_calls(spark, sf_dir):
-    return variants.calls(_variation(spark, sf_dir))
+    return variants.calls(_variation(spark, sf_dir), n_rows=v.n_rows(spark, sf_dir))
 
 
 @query(f"WITH {_VAR}, {_COVER}, n AS (SELECT scaf, pos, count(*) AS cov_count FROM cover GROUP BY ALL) SELECT calls.*, cov_count FROM calls JOIN n USING (scaf, pos)")
 def variant_coverage(spark, sf_dir):
-    return variants.coverage(*_cover(spark, sf_dir))
+    return variants.coverage(*_cover(spark, sf_dir), v.n_rows(spark, sf_dir))
 
 
 @query(f"""WITH {_VAR}, {_COVER}, l AS (SELECT scaf, pos, string_agg(read_id, ',' ORDER BY read_id) AS reads FROM cover GROUP BY ALL)
 SELECT scaf, reads, string_agg(pos, ',' ORDER BY pos) AS positions FROM l GROUP BY scaf, reads""")
 def varcov_groups(spark, sf_dir):
-    return variants.coverage_groups(_cover(spark, sf_dir)[1])
+    return variants.coverage_groups(_cover(spark, sf_dir)[1], v.n_rows(spark, sf_dir))
 
 
 @query("WITH t AS (SELECT count(*) AS n FROM documents) SELECT doc_id AS rec_no, doc_id // ((n + 6) // 7) AS chunk FROM documents, t")
