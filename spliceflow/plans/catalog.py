@@ -170,8 +170,8 @@ def merge_priority_vote(spark, sf_dir):
 s AS (SELECT DISTINCT g.model, m.src FROM grouped g JOIN model m USING (tx)), rank AS (SELECT src, row_number() OVER (ORDER BY src) AS colour FROM (SELECT DISTINCT src FROM model))
 SELECT model, string_agg(src, ',' ORDER BY src) AS sources, count(*) AS n_sources, CASE WHEN count(*) > 1 THEN '200,0,255' ELSE ['255,0,0', '255,100,0', '255,200,0', '200,255,0', '0,255,200'][CAST(max(colour) AS INTEGER)] END AS colour FROM s JOIN rank USING (src) GROUP BY model""")
 def merge_sources(spark, sf_dir):
-    m = _models(spark, sf_dir)
-    per = loci.grouped_models(m).join(m.select("tx", "src"), "tx").groupBy("model").agg(merge.sources_of().alias("x"))
+    m = _grouped(spark, sf_dir)
+    per = _dealt(m.select("model", "src"), spark, sf_dir, "model").groupBy("model").agg(merge.sources_of().alias("x"))
     names = [r["src"] for r in m.select("src").distinct().collect()]  # a merge's list of sources, given by hand there
     return per.select("model", F.array_join("x", ",").alias("sources"), F.size("x").cast("long").alias("n_sources"), merge.colour(F.col("x"), names).alias("colour"))
 
