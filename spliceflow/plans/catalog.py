@@ -192,7 +192,7 @@ def nocap_pairs(spark, sf_dir):
 @query(f"WITH {v.EXON}, {v.MODEL} SELECT scaf, strand, min(tx) AS tx, count(*) AS members, array_to_string(starts, ',') AS starts, array_to_string(ends, ',') AS ends FROM model GROUP BY scaf, strand, starts, ends")
 def model_dedup(spark, sf_dir):
     m = _models(spark, sf_dir).select(F.col("scaf").alias("gene"), "scaf", "strand", "starts", "ends", F.col("tx").alias("tie"), F.col("tx").alias("model"))
-    m = collapse.joined_duplicates(m)
+    m = collapse.joined_duplicates(_dealt(m, spark, sf_dir, "scaf", "strand", "starts", "ends"))
     return m.select("scaf", "strand", F.col("model").alias("tx"), F.size("all").cast("long").alias("members"), _csv("starts").alias("starts"), _csv("ends").alias("ends"))
 
 
