@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,11 +16,20 @@ def reverse_complement(seq: Column) -> Column:
     return F.translate(F.reverse(seq), "ACGTacgtNnRYSWKMBVDH", "TGCAtgcaNnYRSWMKVBHD")
 
 
-def translate_frame(seq: Column, frame: int) -> Column:
-    """Amino acids of one reading frame (0 to 2); codons outside ACGT give X."""
-    table = F.create_map(*(F.lit(x) for pair in CODONS.items() for x in pair))
-    codons = F.regexp_extract_all(F.substring(seq, F.lit(frame + 1), F.length(seq)), F.lit("(?s)..."), F.lit(0))
-    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.element_at(table, c), F.lit("X"))), "")
+_CODE = np.full(256, 255, np.uint8)
+_CODE[list(BASES.encode())] = range(4)
+_AMINO = np.frombuffer(AMINO.encode(), np.uint8)
+
+
+def proteins(seqs: list[str]) -> list[list[np.ndarray]]:
+    """Amino acids (as bytes) of the three reading frames of each sequence; all bases are of ACGT."""
+    code = _CODE[np.frombuffer("".join(seqs).encode(), np.uint8)]
+    every = _AMINO[(code[:-2] << 4) + (code[1:-1] << 2) + code[2:]] if len(code) > 2 else code[:0]
+    out, at = [], 0
+    for seq in seqs:
+        out.append([every[at + f : at + f + (len(seq) - f) // 3 * 3 : 3] if len(seq) - f > 2 else every[:0] for f in range(3)])
+        at += len(seq)
+    return out
 
 
 def a_count(seq: Column) -> Column:

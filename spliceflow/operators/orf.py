@@ -2,29 +2,80 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
+
+from spliceflow.functions import sequence as sq
+
+
+#: Bases that a task translates at a time.
+PIECE = 1 << 20
+
+
+def _translated(seqs: DataFrame, columns: list[tuple[str, str]], work: Callable[[list[np.ndarray]], list[tuple]]) -> DataFrame:
+    """(id, *columns): of each sequence over ACGT the rows that ``work`` makes of its three proteins."""
+    kind = seqs.schema["id"].dataType
+    arrow = pa.schema([("id", to_arrow_type(kind)), *((c, pa.type_for_alias(t)) for c, t in columns)])
 
-from spliceflow.functions.sequence import translate_frame
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            held, held_seqs, size = [], [], 0
+            for i, seq in enumerate(f.column(1)):
+                held.append(i)
+                held_seqs.append(seq.as_py())
+                size += len(held_seqs[-1])
+                if size >= PIECE:
+                    yield made(f.column(0), held, held_seqs)
+                    held, held_seqs, size = [], [], 0
+            if held:
+                yield made(f.column(0), held, held_seqs)
+
+    def made(ids: pa.Array, held: list[int], held_seqs: list[str]) -> pa.RecordBatch:
+        rows = [(i, *x) for i, proteins in zip(held, sq.proteins(held_seqs)) for x in work(proteins)]
+        at, *rest = zip(*rows) if rows else [()] * (1 + len(columns))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())).cast(arrow.field(0).type), *(pa.array(c, f.type) for c, f in zip(rest, list(arrow)[1:]))], schema=arrow)
+
+    clean = seqs.where(~F.col("seq").rlike("[^ACGT]")).select("id", "seq")
+    return clean.mapInArrow(batches, StructType([StructField("id", kind), *StructType.fromDDL(", ".join(f"{c} {t}" for c, t in columns).replace("int64", "long").replace("int32", "int"))]))
 
 
 def frames(seqs: DataFrame) -> DataFrame:
     """(id, frame 1..3, protein); sequences with a base outside ACGT give none."""
-    clean = seqs.where(~F.col("seq").rlike("[^ACGT]"))
-    rows = F.array(*(F.struct(F.lit(f + 1).alias("frame"), translate_frame(F.col("seq"), f).alias("protein")) for f in range(3)))
-    return clean.select("id", F.explode(rows).alias("x")).select("id", "x.frame", "x.protein")
+    return _translated(seqs, [("frame", "int32"), ("protein", "string")], lambda found: [(k, x.tobytes().decode()) for k, x in enumerate(found, 1)])
+
 
+def _spans(protein: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, stop), places from 1, of the segments' reading frames."""
+    stops, starts = np.flatnonzero(protein == ord("$")), np.flatnonzero(protein == ord("M"))
+    if not len(stops):
+        return
+    if stops[0] > 0 and protein[0] != ord("M"):
+        yield 1, int(stops[0])
+    at = np.searchsorted(starts, np.concatenate(([0], stops[:-1] + 1)))
+    some = at < len(starts)
+    first, stops = starts[at[some]], stops[some]
+    yield from ((a + 1, b) for a, b in zip(first.tolist(), stops.tolist()) if a < b)
 
-def orfs(seqs: DataFrame) -> DataFrame:
+
+def orfs(seqs: DataFrame, longest: int | None = None) -> DataFrame:
     """(id, frame, start, stop, length): amino-acid places from 1. Of each stop-terminated segment the
-    part from its first M; of a frame's first segment also the whole. A tail without a stop has none."""
-    pieces = frames(seqs).select("id", "frame", F.posexplode(F.split("protein", "\\$", -1)).alias("k", "seg"), F.size(F.split("protein", "\\$", -1)).alias("n"))
-    w = Window.partitionBy("id", "frame").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("before", F.coalesce(F.sum(F.length("seg") + 1).over(w), F.lit(0))).where(F.col("k") < F.col("n") - 1)
-    m = F.locate("M", F.col("seg"))
-    starts = F.array_distinct(F.array_compact(F.array(F.when((F.col("k") == 0) & (F.length("seg") > 0), F.lit(1)), F.when(m > 0, m))))
-    rows = pieces.select("id", "frame", "before", F.length("seg").alias("size"), F.explode(starts).alias("at"))
-    return rows.select("id", "frame", (F.col("before") + F.col("at")).cast("long").alias("start"), (F.col("before") + F.col("size")).cast("long").alias("stop"), (F.col("size") - F.col("at") + 1).cast("long").alias("length"))
+    part from its first M; of a frame's first segment also the whole. A tail without a stop has none.
+    With ``longest`` only those of a sequence's so many largest lengths."""
+
+    def work(found: list[np.ndarray]) -> list[tuple]:
+        rows = [(k, a, b, b - a + 1) for k, x in enumerate(found, 1) for a, b in _spans(x)]
+        if longest is None:
+            return rows
+        least = min(sorted({r[3] for r in rows})[-longest:], default=0)
+        return [r for r in rows if r[3] >= least]
+
+    return _translated(seqs, [("frame", "int32"), ("start", "int64"), ("stop", "int64"), ("length", "int64")], work)
 
 
 def top_orfs(found: DataFrame, lengths: int = 4) -> DataFrame:
@@ -54,7 +105,7 @@ def seek(seqs: DataFrame, lengths: int = 4) -> DataFrame:
     upper = seqs.select("rec_no", F.col("id").alias("name"), F.col("rec_no").alias("id"), F.upper("seq").alias("seq"))
     odd = upper.where(F.col("seq").rlike("[^ACGT]") & (F.length("seq") >= 3))
     bad = odd.select("rec_no", F.lit(0).alias("place"), F.concat("name", F.lit(":missing_nucleotides")).alias("header"), F.lit(None).cast("string").alias("protein"))
-    first = top_orfs(orfs(upper), lengths).withColumnRenamed("id", "rec_no")
+    first = top_orfs(orfs(upper, lengths), lengths).withColumnRenamed("id", "rec_no")
     read = frames(upper).select(F.col("id").alias("rec_no"), "frame", F.col("protein").alias("whole"))
     rows = first.join(read, ["rec_no", "frame"]).join(upper.select("rec_no", "name"), "rec_no")
     rows = rows.withColumn("protein", F.substring("whole", F.col("start").cast("int"), F.col("length").cast("int")))

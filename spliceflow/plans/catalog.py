@@ -330,7 +330,7 @@ o AS (SELECT DISTINCT id, frame, before + a AS start, before + length(seg) AS st
 r AS (SELECT *, dense_rank() OVER (PARTITION BY id ORDER BY length DESC) AS rank FROM o)
 SELECT id, CAST(frame AS INTEGER) AS frame, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, CAST(length AS BIGINT) AS length, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 4""")
 def orf_top4(spark, sf_dir):
-    return orf.top_orfs(orf.orfs(v.sequences(spark, sf_dir)))
+    return orf.top_orfs(orf.orfs(v.sequences(spark, sf_dir), longest=4))
 
 
 @query(f"""WITH {v.EXON}, {v.MODEL},
