@@ -74,12 +74,12 @@ SELECT tx, scaf, CAST(sum(CASE WHEN reach IS NULL OR ts {test} reach THEN 1 ELSE
 
 @query(_locus_sql(">"))
 def locus_islands(spark, sf_dir):
-    return loci.islands(_models(spark, sf_dir), ["scaf"], "ts", "te", ["te", "tx"], "locus").select("tx", "scaf", "locus")
+    return loci.islands(_models(spark, sf_dir), ["scaf"], "ts", "te", ["te", "tx"], "locus", n_rows=v.n_rows(spark, sf_dir)).select("tx", "scaf", "locus")
 
 
 @query(_locus_sql(">="))
 def locus_islands_strict(spark, sf_dir):
-    return loci.islands(_models(spark, sf_dir), ["scaf"], "ts", "te", ["te", "tx"], "locus", touching=False).select("tx", "scaf", "locus")
+    return loci.islands(_models(spark, sf_dir), ["scaf"], "ts", "te", ["te", "tx"], "locus", touching=False, n_rows=v.n_rows(spark, sf_dir)).select("tx", "scaf", "locus")
 
 
 @query(f"""WITH {v.EXON},
@@ -87,7 +87,7 @@ r AS (SELECT *, max(e) OVER (PARTITION BY scaf, strand ORDER BY s, e, tx, k ROWS
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY scaf, strand ORDER BY s, e, tx, k ROWS UNBOUNDED PRECEDING) AS island FROM r)
 SELECT scaf, strand, CAST(island AS BIGINT) AS island, min(s) AS s, max(e) AS e, count(*) AS n_exons FROM i GROUP BY scaf, strand, island""")
 def exon_islands(spark, sf_dir):
-    found = loci.islands(v.exons(spark, sf_dir), ["scaf", "strand"], "s", "e", ["e", "tx", "k"], "island")
+    found = loci.islands(v.exons(spark, sf_dir), ["scaf", "strand"], "s", "e", ["e", "tx", "k"], "island", n_rows=v.n_rows(spark, sf_dir))
     return found.groupBy("scaf", "strand", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count(F.lit(1)).alias("n_exons"))
 
 
